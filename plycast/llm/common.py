@@ -59,3 +59,25 @@ def text_key(text: str = "text") -> Column:
 
 def blank_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds __id and __key, never null, that are equal for rows of the same doc_id and text only."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__key": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), blank_null())})
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the component's smallest node) from edges a, b, by alternating large and small stars."""
+    e = cut(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = e.union(e.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select("b", "m").union(least.select("a", "m")).toDF("a", "b").filter("a <> b").distinct()
+        e = cut(small)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
+        if now == before:
+            return e.toDF("node", "root")
+        before = now

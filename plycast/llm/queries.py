@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plycast.llm import packing, quality_classifier, quality_rules, token_counts
+from plycast.llm import decontaminate, html_extraction, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, token_counts
 from plycast.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        F.col("doc_id").cast("long"), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__runs").cast("long").alias("n_runs"),
+        F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter(F.col("quality") == 1)
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -24,11 +39,56 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op6_best_fit_packing, op7_token_counts, op9_quality_classifier)
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_decontamination, op3_quality_rules, op5_html_extraction, op6_best_fit_packing,
+        op7_token_counts, op8_simhash_near_dedup, op9_quality_classifier, op10_pii,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": """
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+     every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split WHERE text IS NOT NULL),
+     held AS (SELECT doc_id, pos, line, length(line) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+              FROM every WHERE regexp_matches(line, '[^ \\t\\x0b\\f\\r]')),
+     placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+                       sum(size) OVER (PARTITION BY doc_id)::BIGINT AS total FROM held),
+     need AS (SELECT *, CASE WHEN total - at >= 40 THEN count(*) OVER (PARTITION BY doc_id ORDER BY at RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING) END AS t FROM placed),
+     blocks AS (SELECT a.doc_id, a.i, a.t, string_agg(b.line, chr(10) ORDER BY b.i) AS block
+                FROM need AS a JOIN need AS b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + a.t - 1 WHERE a.t IS NOT NULL GROUP BY 1, 2, 3),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY doc_id, i) AS copy FROM blocks),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + t)) AS i FROM ranked WHERE copy > 1),
+     runs AS (SELECT doc_id, i, (lag(i) OVER (PARTITION BY doc_id ORDER BY i)) IS DISTINCT FROM i - 1 AS first FROM gone),
+     counted AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE first) AS n_runs FROM runs GROUP BY 1),
+     kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS text
+              FROM every AS e LEFT JOIN held AS h ON e.doc_id = h.doc_id AND e.pos = h.pos LEFT JOIN gone AS g ON h.doc_id = g.doc_id AND h.i = g.i
+              WHERE g.i IS NULL GROUP BY 1)
+SELECT s.doc_id, coalesce(len(s.ls), 0)::BIGINT AS n_lines, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_runs, 0)::BIGINT AS n_runs,
+       length(CASE WHEN s.text IS NOT NULL THEN coalesce(k.text, '') END)::BIGINT AS n_chars,
+       md5(CASE WHEN s.text IS NOT NULL THEN coalesce(k.text, '') END) AS kept_md5
+FROM split AS s LEFT JOIN counted AS c ON s.doc_id = c.doc_id LEFT JOIN kept AS k ON s.doc_id = k.doc_id
+""",
+    "op5_html_extraction": """
+WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+     parts AS (SELECT page_id, url, list_transform(string_split(regexp_replace(a, '</?(p|h[1-6])>', chr(1), 'g'), chr(1)),
+                      lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+                          regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                          '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS blocks FROM body),
+     joined AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM parts)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
