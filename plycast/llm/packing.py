@@ -11,7 +11,6 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,10 +28,10 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 GROUP = 50_000
 END = struct.pack("<I", 0)
-MAX_WORDS = 300_000
+MAX_WORDS = 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: ASCII marks that the vocabulary's splitter keeps apart from letters before them; "'" and "<" can begin more.
-_MARKS = frozenset("!\"#$%&()*+,-./:;=>?@[\\]^`{|}~")
+_MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^`{|}~"
 
 
 class Words(dict):
@@ -44,27 +43,30 @@ class Words(dict):
 
         self.library = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MAX_WORDS:
             self.clear()
-        cut_at = len(word)
-        while cut_at and word[cut_at - 1] in _MARKS:
-            cut_at -= 1
-        core = word[:cut_at]
-        if cut_at < len(word) and core.isalpha():
-            ids = self[core] + self[word[cut_at:]]
-        elif core.isalpha() and "Σ" not in core and core != core.lower():
-            ids = self[core.lower()]
+        core = word.rstrip(_MARKS)
+        text = core.decode()
+        if text.isalpha() and text.lower().isalpha():
+            low = text.lower()
+            if len(core) < len(word):
+                ids = self[core] + self[word[len(core) :]]
+            elif low != text and "Σ" not in text:
+                ids = self[low.encode()]
+            else:
+                ids = self.encoded(text)
         else:
-            got = self.library.encode(word, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(got)}I", *got)
+            ids = self.encoded(word.decode())
         self[word] = ids
         return ids
 
-    _space = re.compile(r"[ \t\n\r\f\v]+")
+    def encoded(self, text: str) -> bytes:
+        got = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(got)}I", *got)
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, self._space.split(text))))
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 @lru_cache(1)
