@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plycast.llm import decontaminate, html_extraction, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, token_counts
+from plycast.llm import decontaminate, html_extraction, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 from plycast.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_array_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -54,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_decontamination, op3_quality_rules, op5_html_extraction, op6_best_fit_packing,
+        op1_line_dedup, op2_decontamination, op3_quality_rules, op4_suffix_array_dedup, op5_html_extraction, op6_best_fit_packing,
         op7_token_counts, op8_simhash_near_dedup, op9_quality_classifier, op10_pii,
     )
 }
