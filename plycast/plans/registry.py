@@ -18,3 +18,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Imports the modules that hold the queries."""
+    from plycast.plans import dump, scores  # noqa: F401
