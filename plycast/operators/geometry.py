@@ -1,0 +1,44 @@
+"""How pieces move, as a table made from rules: 3,948 rows and 4 for castling."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+SCHEMA = "piece string, src int, dst int, kind string, path array<int>"
+_STRAIGHT = ((0, 1), (0, -1), (1, 0), (-1, 0))
+_DIAGONAL = ((1, 1), (1, -1), (-1, 1), (-1, -1))
+_JUMPS = tuple((a * x, b * y) for a, b in ((1, 2), (2, 1)) for x in (1, -1) for y in (1, -1))
+
+
+@lru_cache(1)
+def moves() -> list[tuple]:
+    """piece (n k r b q, and P or p), from, to, kind (move, push, double, capture, castle) and the squares between that must be empty."""
+    out: list[tuple] = []
+    inside = lambda r, f: 0 <= r < 8 and 0 <= f < 8
+    for r in range(8):
+        for f in range(8):
+            for piece, steps, far in (("n", _JUMPS, 1), ("k", _STRAIGHT + _DIAGONAL, 1), ("r", _STRAIGHT, 7), ("b", _DIAGONAL, 7), ("q", _STRAIGHT + _DIAGONAL, 7)):
+                for dr, df in steps:
+                    path: list[int] = []
+                    for n in range(1, far + 1):
+                        to = (r + n * dr, f + n * df)
+                        if not inside(*to):
+                            break
+                        out.append((piece, r * 8 + f, to[0] * 8 + to[1], "move", list(path)))
+                        path.append(to[0] * 8 + to[1])
+            for piece, up, home in (("P", -1, 6), ("p", 1, 1)):
+                if r in (0, 7):
+                    continue
+                one = (r + up) * 8 + f
+                out.append((piece, r * 8 + f, one, "push", []))
+                if r == home:
+                    out.append((piece, r * 8 + f, one + up * 8, "double", [one]))
+                out.extend((piece, r * 8 + f, one + df, "capture", []) for df in (-1, 1) if inside(r + up, f + df))
+    out += [("k", 60, 62, "castle", [61, 62]), ("k", 60, 58, "castle", [59, 58, 57]), ("k", 4, 6, "castle", [5, 6]), ("k", 4, 2, "castle", [3, 2, 1])]
+    return out
+
+
+def table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(moves(), SCHEMA)

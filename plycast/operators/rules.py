@@ -1,0 +1,224 @@
+"""Rules of play over tables of positions: replay, attacks, legal moves, notation, ends.
+
+A position is a row (a key, and board, turn, castling, ep, half, full). Moves are found by joining its pieces to the
+table of ``geometry``, which is small and fixed, and by an anti-join of those that leave the own king attacked.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from plycast.operators import geometry
+from plycast.operators.boards import square_index, square_name, with_board
+
+STATE = ("board", "turn", "castling", "ep", "half", "full")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _put(board: Column, at: Column, piece: Column) -> Column:
+    return F.overlay(board, piece, at + 1, F.lit(1))
+
+
+def after(s: Column, uci: Column) -> Column:
+    """The state (a struct of STATE) after a move that is taken to be legal."""
+    src, dst, promo = square_index(F.substring(uci, 1, 2)), square_index(F.substring(uci, 3, 2)), F.substring(uci, 5, 1)
+    m = F.struct(s.alias("s"), src.alias("src"), dst.alias("dst"), promo.alias("promo"), F.substring(s["board"], src + 1, F.lit(1)).alias("piece"), (F.substring(s["board"], dst + 1, F.lit(1)) != ".").alias("takes"))
+
+    def played(m: Column) -> Column:
+        s, src, dst, piece = m["s"], m["src"], m["dst"], m["piece"]
+        white = s["turn"] == "w"
+        pawn, king = F.lower(piece) == "p", F.lower(piece) == "k"
+        placed = F.when(m["promo"] == "", piece).when(white, F.upper(m["promo"])).otherwise(m["promo"])
+        passing = pawn & (src % 8 != dst % 8) & ~m["takes"]
+        castle = king & (F.abs(src - dst) == 2)
+        right = dst > src
+        b = _put(_put(s["board"], src, F.lit(".")), dst, placed)
+        beside = F.floor(src / 8).cast("int") * 8 + dst % 8
+        rook_at = F.floor(src / 8).cast("int") * 8 + F.when(right, 7).otherwise(0)
+        rook_to = F.when(right, src + 1).otherwise(src - 1)
+        done = F.when(passing, _let(b, lambda x: _put(x, beside, F.lit(".")))).when(castle, _let(b, lambda x: _put(_put(x, rook_at, F.lit(".")), rook_to, F.when(white, "R").otherwise("r")))).otherwise(b)
+        lost = F.concat(*(F.when((src == i) | (dst == i), c).otherwise("") for i, c in ((60, "KQ"), (63, "K"), (56, "Q"), (4, "kq"), (7, "k"), (0, "q"))))
+        rights = F.translate(s["castling"], "-", "")
+        for c in "KQkq":
+            rights = F.when(F.contains(lost, F.lit(c)), F.replace(rights, F.lit(c), F.lit(""))).otherwise(rights)
+        ep = F.when(pawn & (F.abs(src - dst) == 16), square_name(F.floor((src + dst) / 2).cast("int"))).otherwise("-")
+        return F.struct(
+            done.alias("board"), F.when(white, "b").otherwise("w").alias("turn"), F.when(rights == "", "-").otherwise(rights).alias("castling"), ep.alias("ep"),
+            F.when(pawn | m["takes"], 0).otherwise(s["half"] + 1).cast("int").alias("half"), (s["full"] + F.when(white, 0).otherwise(1)).cast("int").alias("full"))
+
+    return _let(m, played)
+
+
+def replay(df: DataFrame, *keys: str, moves: str = "moves") -> DataFrame:
+    """A row per ply with the state before the move (ply 0 is the first) and the move; after the last move one more with a null move."""
+    start = F.struct(*(F.col(c) for c in STATE))
+    step = lambda acc, m: F.concat(acc, F.array(after(F.element_at(acc, -1), m)))
+    states = F.aggregate(F.col(moves), F.array(start), step)
+    d = df.select(*keys, F.col(moves).alias("__m"), F.posexplode(states).alias("ply", "s"))
+    return d.select(*keys, "ply", "s.*", F.get("__m", F.col("ply")).alias("uci"))
+
+
+def final_state(df: DataFrame, moves: str = "moves") -> DataFrame:
+    """The state after all moves, in place."""
+    end = F.aggregate(F.col(moves), F.struct(*(F.col(c) for c in STATE)), after)
+    return df.withColumn("__end", end).select(*(c for c in df.columns if c not in STATE), "__end.*")
+
+
+def fen_of() -> Column:
+    from plycast.operators.boards import compress
+
+    return F.concat_ws(" ", compress(F.col("board")), "turn", "castling", "ep", F.col("half").cast("string"), F.col("full").cast("string"))
+
+
+def _clear(board: Column, path: Column) -> Column:
+    return F.forall(path, lambda i: F.substring(board, i + 1, F.lit(1)) == ".")
+
+
+def _men(df: DataFrame, keys: list[str], white: Column, geom: DataFrame, kinds: Column) -> DataFrame:
+    """Pieces of one side joined to where the table lets them go."""
+    d = df.select(*keys, F.posexplode(F.split("board", "")).alias("src", "man"))
+    d = d.filter(F.when(white, F.col("man").between("A", "Z")).otherwise(F.col("man").between("a", "z")))
+    pawn = F.lower("man") == "p"
+    g = geom.filter(kinds).select(F.col("piece").alias("__p"), F.col("src").alias("__src"), "dst", "kind", "path")
+    return d.join(F.broadcast(g), (F.when(pawn, F.col("man")).otherwise(F.lower("man")) == F.col("__p")) & (F.col("src") == F.col("__src"))).drop("__p", "__src")
+
+
+def attacked(df: DataFrame, keys: list[str], geom: DataFrame, board: str = "board", by_white: str = "by_white", target: str = "target") -> DataFrame:
+    """Keys of rows whose ``target`` square is attacked by the side ``by_white`` says."""
+    d = df.select(*keys, F.col(board).alias("board"), F.col(by_white).alias("__w"), F.col(target).alias("__t"))
+    men = _men(d, [*keys, "board", "__t", "__w"], F.col("__w"), geom, F.col("kind").isin("move", "capture"))
+    return men.filter((F.col("dst") == F.col("__t")) & _clear(F.col("board"), F.col("path"))).select(*keys).distinct()
+
+
+def checks(df: DataFrame, keys: list[str], geom: DataFrame, side: Column | None = None) -> DataFrame:
+    """Adds in_check: the king of the side to move (or of ``side``) is attacked."""
+    turn = F.col("turn") if side is None else side
+    k = df.withColumns({"by_white": turn == "b", "target": F.call_function("locate", F.when(turn == "w", "K").otherwise("k"), F.col("board")) - 1})
+    hit = attacked(k.filter("target >= 0"), keys, geom).withColumn("in_check", F.lit(True))
+    return df.join(hit, keys, "left").withColumn("in_check", F.coalesce("in_check", F.lit(False)))
+
+
+def pseudo_moves(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
+    """Moves by geometry: paths clear, targets right, castling rights there. Promotions are one row, with promo '?'."""
+    own = [*keys, *STATE]
+    m = _men(df.select(*own), own, F.col("turn") == "w", geom, F.lit(True))
+    there = F.substring("board", F.col("dst") + 1, F.lit(1))
+    foe = F.when(F.col("turn") == "w", there.between("a", "z")).otherwise(there.between("A", "Z"))
+    right = F.when(F.col("turn") == "w", F.when(F.col("dst") == 62, "K").otherwise("Q")).otherwise(F.when(F.col("dst") == 6, "k").otherwise("q"))
+    home = F.when(F.col("turn") == "w", F.col("src") == 60).otherwise(F.col("src") == 4)
+    fits = F.when(F.col("kind").isin("push", "double"), there == ".").when(F.col("kind") == "capture", foe | (square_name(F.col("dst")) == F.col("ep")))
+    fits = fits.when(F.col("kind") == "castle", home & F.contains("castling", right)).otherwise(foe | (there == "."))
+    m = m.filter(fits & _clear(F.col("board"), F.col("path")))
+    last = (F.lower("man") == "p") & ((F.col("dst") < 8) | (F.col("dst") > 55))
+    return m.withColumns({"promo": F.when(last, "?").otherwise(""), "move": F.concat(square_name(F.col("src")), square_name(F.col("dst")))})
+
+
+def legal_moves(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
+    """Pseudo moves that do not leave the own king attacked; castling also not out of or through an attack."""
+    m = pseudo_moves(df, keys, geom)
+    played = after(F.struct(*(F.col(c) for c in STATE)), F.concat("move", F.when(F.col("promo") == "?", "q").otherwise("")))
+    m = m.withColumn("next", played)
+    id = [*keys, "move"]
+    king = F.when(F.col("turn") == "w", "K").otherwise("k")
+    through = F.when(F.col("kind") == "castle", F.array(F.col("src"), F.floor((F.col("src") + F.col("dst")) / 2).cast("int"), F.col("dst")))
+    t = m.select(*id, F.col("next.board").alias("board"), (F.col("turn") == "b").alias("by_white"), F.explode(F.coalesce(through, F.array(F.call_function("locate", king, F.col("next.board")) - 1))).alias("target"))
+    return m.join(attacked(t, id, geom), id, "left_anti")
+
+
+def is_legal(plies: DataFrame, keys: list[str], geom: DataFrame, uci: str = "uci") -> DataFrame:
+    """Adds legal to rows of a position and a move; text that is no move is not legal. Only the given moves are looked at."""
+    shape = F.col(uci).rlike("^[a-h][1-8][a-h][1-8][qrbn]?$")
+    m = legal_moves(plies.filter(shape), keys, geom)
+    ok = m.select(*keys, F.col("move").alias("__move"), F.col("promo").alias("__promo"))
+    same = [plies[k].eqNullSafe(ok[k]) for k in keys]
+    found = plies.join(ok.withColumnRenamed("__move", "__mv"), [*same, F.substring(plies[uci], 1, 4) == F.col("__mv"), (F.length(plies[uci]) == 5) == (F.col("__promo") == "?")], "left_semi").select(*keys).withColumn("legal", F.lit(True))
+    return plies.join(found, keys, "left").withColumn("legal", F.coalesce("legal", F.lit(False)))
+
+
+
+
+def line_is_legal(plies: DataFrame, line: str, geom: DataFrame) -> DataFrame:
+    """Whether all moves of each line are legal, and the first that is not."""
+    p = is_legal(plies.filter("uci is not null"), [line, "ply"], geom)
+    return p.groupBy(line).agg(F.bool_and("legal").alias("legal"), F.min(F.when(~F.col("legal"), F.col("ply"))).alias("first_bad"))
+
+
+def require_legal(plies: DataFrame, line: str, geom: DataFrame) -> None:
+    bad = line_is_legal(plies, line, geom).filter("not legal").limit(5).collect()
+    if bad:
+        raise ValueError("illegal moves in " + ", ".join(f"{r[line]} at ply {r.first_bad}" for r in bad))
+
+
+def status(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
+    """Adds in_check, n_legal and status: checkmate, stalemate, check or none."""
+    n = legal_moves(df, keys, geom).groupBy(*keys).agg(F.count("*").alias("n_legal"))
+    d = checks(df, keys, geom).join(n, keys, "left").withColumn("n_legal", F.coalesce("n_legal", F.lit(0)))
+    none = F.col("n_legal") == 0
+    return d.withColumn("status", F.when(none & F.col("in_check"), "checkmate").when(none, "stalemate").when(F.col("in_check"), "check").otherwise("none"))
+
+
+def san_plies(plies: DataFrame, line: str, geom: DataFrame) -> DataFrame:
+    """Adds legal and san (null where the move is not legal) to replayed plies with a move."""
+    keys = [line, "ply"]
+    p = plies.filter("uci is not null")
+    legal = legal_moves(p, keys, geom).withColumn("mv", F.concat("move", F.lit("")))
+    own = p.select(*keys, "uci")
+    mine = legal.join(own, keys)
+    is_mine = (F.substring("uci", 1, 4) == F.col("mv")) & ((F.length("uci") == 5) == (F.col("promo") == "?"))
+    chosen = mine.filter(is_mine)
+    rivals = legal.select(*keys, F.col("man").alias("r_man"), F.col("dst").alias("r_dst"), F.col("src").alias("r_src"))
+    r = chosen.join(rivals, keys).filter((F.col("r_man") == F.col("man")) & (F.col("r_dst") == F.col("dst")) & (F.col("r_src") != F.col("src")))
+    r = r.groupBy(*keys).agg(F.count("*").alias("rivals"), F.count_if(F.col("r_src") % 8 == F.col("src") % 8).alias("same_file"), F.count_if(F.floor(F.col("r_src") / 8) == F.floor(F.col("src") / 8)).alias("same_rank"))
+    moved = chosen.select(*keys, after(F.struct(*(F.col(c) for c in STATE)), F.col("uci")).alias("n")).select(*keys, "n.*")
+    ends = status(moved, keys, geom).select(*keys, F.col("status"))
+    c = chosen.join(r, keys, "left").join(ends, keys, "left")
+    square, to = square_name(F.col("src")), square_name(F.col("dst"))
+    takes = (F.substring("board", F.col("dst") + 1, F.lit(1)) != ".") | ((F.lower("man") == "p") & (F.col("src") % 8 != F.col("dst") % 8))
+    x = F.when(takes, "x").otherwise("")
+    apart = F.when(F.coalesce("rivals", F.lit(0)) == 0, "").when(F.col("same_file") == 0, F.substring(square, 1, 1)).when(F.col("same_rank") == 0, F.substring(square, 2, 1)).otherwise(square)
+    promo = F.when(F.length("uci") == 5, F.concat(F.lit("="), F.upper(F.substring("uci", 5, 1)))).otherwise("")
+    body = F.when(F.col("kind") == "castle", F.when(F.col("dst") > F.col("src"), "O-O").otherwise("O-O-O"))
+    body = body.when(F.lower("man") == "p", F.concat(F.when(takes, F.concat(F.substring(square, 1, 1), F.lit("x"))).otherwise(""), to, promo)).otherwise(F.concat(F.upper("man"), apart, x, to))
+    san = F.concat(body, F.when(F.col("status") == "checkmate", "#").when(F.col("status") == "check", "+").otherwise(""))
+    named = c.select(*keys, san.alias("san"))
+    return p.join(named, keys, "left").withColumn("legal", F.col("san").isNotNull())
+
+
+def numbered(plies: DataFrame, line: str) -> DataFrame:
+    """A line's notation: '24. Qxc8+ Bxc8 25. Rf8#', '12... Kd7 13. e4'; null if a move is not legal."""
+    n = F.when(F.col("turn") == "w", F.concat(F.col("full").cast("string"), F.lit(". "), "san")).when(F.col("ply") == 0, F.concat(F.col("full").cast("string"), F.lit("... "), "san")).otherwise(F.col("san"))
+    g = plies.withColumn("n", n).groupBy(line).agg(F.bool_and("legal").alias("ok"), F.array_sort(F.collect_list(F.struct("ply", "n"))).alias("x"))
+    return g.select(line, F.when(F.col("ok"), F.array_join(F.col("x.n"), " ")).alias("san"))
+
+
+def lenient(plies: DataFrame, line: str, most: int | None = None) -> DataFrame:
+    """One token per move: notation up to the first illegal move, the moves as given from there on."""
+    so_far = F.min(F.col("legal").cast("int")).over(Window.partitionBy(line).orderBy("ply"))
+    p = plies.withColumn("token", F.when(so_far == 1, F.col("san")).otherwise(F.col("uci")))
+    p = p if most is None else p.filter(F.col("ply") < most)
+    return p.groupBy(line).agg(F.array_sort(F.collect_list(F.struct("ply", "token"))).alias("x")).select(line, F.col("x.token").alias("tokens"))
+
+
+def placements(plies: DataFrame, line: str) -> DataFrame:
+    """Piece kinds and squares that are true at the root or anywhere along a line."""
+    from plycast.operators.boards import piece_name, squares
+
+    return squares(plies, line).select(line, piece_name(F.col("piece")).alias("piece"), "square").distinct()
+
+
+def start(df: DataFrame, fen: str = "fen") -> DataFrame:
+    return with_board(df, fen)
+
+
+def solver(df: DataFrame) -> DataFrame:
+    """The position after the first move and the colour to move there."""
+    s = after(F.struct(*(F.col(c) for c in STATE)), F.col("moves")[0])
+    d = df.withColumn("__s", s).select(*(c for c in df.columns if c not in STATE), "__s.*")
+    return d.withColumns({"fen": fen_of(), "solver_color": F.when(F.col("turn") == "w", "white").otherwise("black")})
+
+
