@@ -118,15 +118,24 @@ def pseudo_moves(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
     return m.withColumns({"promo": F.when(last, "?").otherwise(""), "move": F.concat(square_name(F.col("src")), square_name(F.col("dst")))})
 
 
+def _board_after() -> Column:
+    """The board after a pseudo move; a promoted piece counts as the pawn it was, which shields its king as well."""
+    src, dst = F.col("src"), F.col("dst")
+    b = _put(_put(F.col("board"), src, F.lit(".")), dst, F.col("man"))
+    passing = (F.col("kind") == "capture") & (F.substring("board", dst + 1, F.lit(1)) == ".")
+    rook_at = F.when(dst == 62, 63).when(dst == 58, 56).when(dst == 6, 7).otherwise(0)
+    castled = _put(_put(b, rook_at, F.lit(".")), F.floor((src + dst) / 2).cast("int"), F.when(F.col("turn") == "w", "R").otherwise("r"))
+    return F.when(passing, _put(b, F.floor(src / 8).cast("int") * 8 + dst % 8, F.lit("."))).when(F.col("kind") == "castle", castled).otherwise(b)
+
+
 def legal_moves(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
     """Pseudo moves that do not leave the own king attacked; castling also not out of or through an attack."""
     m = pseudo_moves(df, keys, geom)
-    played = after(F.struct(*(F.col(c) for c in STATE)), F.concat("move", F.when(F.col("promo") == "?", "q").otherwise("")))
-    m = m.withColumn("next", played)
+    m = m.withColumn("next", _board_after())
     id = [*keys, "move"]
     king = F.when(F.col("turn") == "w", "K").otherwise("k")
     through = F.when(F.col("kind") == "castle", F.array(F.col("src"), F.floor((F.col("src") + F.col("dst")) / 2).cast("int"), F.col("dst")))
-    t = m.select(*id, F.col("next.board").alias("board"), (F.col("turn") == "b").alias("by_white"), F.explode(F.coalesce(through, F.array(F.call_function("locate", king, F.col("next.board")) - 1))).alias("target"))
+    t = m.select(*id, F.col("next").alias("board"), (F.col("turn") == "b").alias("by_white"), F.explode(F.coalesce(through, F.array(F.call_function("locate", king, F.col("next")) - 1))).alias("target"))
     return m.join(attacked(t, id, geom), id, "left_anti")
 
 
@@ -166,21 +175,22 @@ def san_plies(plies: DataFrame, line: str, geom: DataFrame) -> DataFrame:
     """Adds legal and san (null where the move is not legal) to replayed plies with a move."""
     keys = [line, "ply"]
     p = plies.filter("uci is not null")
-    legal = legal_moves(p, keys, geom).withColumn("mv", F.concat("move", F.lit("")))
-    own = p.select(*keys, "uci")
-    mine = legal.join(own, keys)
-    is_mine = (F.substring("uci", 1, 4) == F.col("mv")) & ((F.length("uci") == 5) == (F.col("promo") == "?"))
-    chosen = mine.filter(is_mine)
-    rivals = legal.select(*keys, F.col("man").alias("r_man"), F.col("dst").alias("r_dst"), F.col("src").alias("r_src"))
-    r = chosen.join(rivals, keys).filter((F.col("r_man") == F.col("man")) & (F.col("r_dst") == F.col("dst")) & (F.col("r_src") != F.col("src")))
-    r = r.groupBy(*keys).agg(F.count("*").alias("rivals"), F.count_if(F.col("r_src") % 8 == F.col("src") % 8).alias("same_file"), F.count_if(F.floor(F.col("r_src") / 8) == F.floor(F.col("src") / 8)).alias("same_rank"))
+    legal = legal_moves(p, keys, geom).join(p.select(*keys, "uci"), keys)
+    mine = (F.substring("uci", 1, 4) == F.col("move")) & ((F.length("uci") == 5) == (F.col("promo") == "?"))
+    # the moves of a ply side by side: the one that was made, and the same kind of man going to the same square
+    own = Window.partitionBy(*keys)
+    one = F.max(F.when(mine, F.struct("man", "dst", "src"))).over(own)
+    same = (F.col("man") == F.col("one.man")) & (F.col("dst") == F.col("one.dst")) & (F.col("src") != F.col("one.src"))
+    at = lambda f: F.count_if(same & f).over(own)
+    every = legal.withColumn("one", one).withColumns({"rivals": at(F.lit(True)), "same_file": at(F.col("src") % 8 == F.col("one.src") % 8), "same_rank": at(F.floor(F.col("src") / 8) == F.floor(F.col("one.src") / 8))})
+    chosen = every.filter(mine)
     moved = chosen.select(*keys, after(F.struct(*(F.col(c) for c in STATE)), F.col("uci")).alias("n")).select(*keys, "n.*")
     ends = status(moved, keys, geom).select(*keys, F.col("status"))
-    c = chosen.join(r, keys, "left").join(ends, keys, "left")
+    c = chosen.join(ends, keys, "left")
     square, to = square_name(F.col("src")), square_name(F.col("dst"))
     takes = (F.substring("board", F.col("dst") + 1, F.lit(1)) != ".") | ((F.lower("man") == "p") & (F.col("src") % 8 != F.col("dst") % 8))
     x = F.when(takes, "x").otherwise("")
-    apart = F.when(F.coalesce("rivals", F.lit(0)) == 0, "").when(F.col("same_file") == 0, F.substring(square, 1, 1)).when(F.col("same_rank") == 0, F.substring(square, 2, 1)).otherwise(square)
+    apart = F.when(F.col("rivals") == 0, "").when(F.col("same_file") == 0, F.substring(square, 1, 1)).when(F.col("same_rank") == 0, F.substring(square, 2, 1)).otherwise(square)
     promo = F.when(F.length("uci") == 5, F.concat(F.lit("="), F.upper(F.substring("uci", 5, 1)))).otherwise("")
     body = F.when(F.col("kind") == "castle", F.when(F.col("dst") > F.col("src"), "O-O").otherwise("O-O-O"))
     body = body.when(F.lower("man") == "p", F.concat(F.when(takes, F.concat(F.substring(square, 1, 1), F.lit("x"))).otherwise(""), to, promo)).otherwise(F.concat(F.upper("man"), apart, x, to))
