@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plycast.llm.common import blank_null, cut, keyed, map_rows
 
-LENGTH, GRAM, SHALLOW, GROUP = 200, 24, 32, 20_000
+LENGTH, GRAM, SHALLOW, GROUP, FEW = 200, 24, 32, 20_000, 6
 WIDTH = LENGTH - GRAM + 1  # places for an anchor in a window
 BLOCK = 1 << 23
 SEEN = 400_000  # owned texts that a task remembers at once
@@ -248,27 +248,42 @@ def repeated_windows(members: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     """For members (owned text, bytes before the anchor, windows less one), which of their windows another member has."""
     right = [t[back:] for t, back, _ in members]
     left = [t[:back][::-1] for t, back, _ in members]
-    if len(members) == 2:
-        (_, b0, m0), (_, b1, m1) = members
-        lo, hi = -min(_common(*left), b0, b1), min(_common(*right) - LENGTH, m0 - b0, m1 - b1)
-        return [(o >= lo) & (o <= hi) for o in (np.arange(-b, m - b + 1) for _, b, m in members)]
     back = np.array([x[1] for x in members])
     more = np.array([x[2] for x in members])
-    names = []
-    first, last = -int(back.max()), int((more - back).max())
-    for texts, depth in ((right, lambda o: LENGTH + o), (left, lambda o: -o)):
+    found = [np.zeros(x[2] + 1, bool) for x in members]
+    if len(members) <= FEW:  # too few to be worth sorting: each with each
+        for i in range(len(members)):
+            for j in range(i):
+                (_, bi, mi), (_, bj, mj) = members[i], members[j]
+                lo, hi = max(-_common(left[i], left[j]), -bi, -bj), min(mi - bi, mj - bj)
+                if lo <= hi and right[i][: LENGTH + lo] == right[j][: LENGTH + lo]:
+                    hi = min(hi, _common(right[i], right[j]) - LENGTH)
+                    found[i][lo + bi : hi + bi + 1] = True
+                    found[j][lo + bj : hi + bj + 1] = True
+        return found
+    ranks = []
+    for texts in (right, left):
         order, lcp = deep_shallow(texts)
-        names.append((np.argsort(order, kind="stable"), lcp, depth))
-    found = [np.zeros(m + 1, bool) for m in more.tolist()]
-    for o in range(first, last + 1):
-        here = np.flatnonzero((-back <= o) & (o <= more - back))
-        if len(here) < 2:
-            continue
-        name = np.zeros(len(here), np.int64)
-        for rank, lcp, depth in names:
-            name = name * len(members) + np.cumsum(lcp < depth(o))[rank[here]] if depth(o) > 0 else name
-        _, inverse, count = np.unique(name, return_inverse=True, return_counts=True)
-        for i in here[count[inverse] > 1].tolist():
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ranks.append((rank, lcp))
+    first, last = -int(back.max()), int((more - back).max())
+    step = max(1, 400_000 // len(members))
+    for at in range(first, last + 1, step):  # a row per offset, a column per member
+        offset = np.arange(at, min(at + step, last + 1))[:, None]
+        name = np.zeros((len(offset), len(members)), np.int64)
+        for (rank, lcp), depth in zip(ranks, (LENGTH + offset, -offset), strict=True):
+            name = name * (len(members) + 1) + np.cumsum(lcp[None, :] < depth, axis=1)[:, rank]
+        away = (offset < -back) | (offset > more - back)
+        name[away] = -1 - np.nonzero(away)[1]  # members without a window there stand alone
+        order = np.argsort(name, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(name, order, 1)
+        same = sorted_[:, 1:] == sorted_[:, :-1]
+        twice = np.zeros(name.shape, bool)
+        twice[:, 1:] |= same
+        twice[:, :-1] |= same
+        rows, cols = np.nonzero(twice)
+        for o, i in zip((rows + at).tolist(), order[rows, cols].tolist(), strict=True):
             found[i][o + members[i][1]] = True
     return found
 
