@@ -113,10 +113,15 @@ def _nearby(found: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     """entity and term of the pairs whose disclosure reaches the threshold."""
+    n = docs.count()
+    information = F.log(F.lit(n) / F.col("d_e"))
     kept = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    kept = cut(kept.select("entity", "term"))
-    both = near.join(kept, ["entity", "term"]).select("entity", "term", "__id", "__key").distinct().groupBy("entity", "term").agg(F.count("*").alias("d_et"))
+    both = near.join(kept.select("entity", "term"), ["entity", "term"]).select("entity", "term", "__id", "__key").distinct().groupBy("entity", "term").agg(F.count("*").alias("d_et"))
     of_entity = near.select("entity", "__id", "__key").distinct().groupBy("entity").agg(F.count("*").alias("d_e"))
+    # a term stands in as many documents at least as it does beside entities; pairs that fail on that alone need no count
+    beside = near.select("term", "__id", "__key").distinct().groupBy("term").agg(F.count("*").alias("d_least"))
+    most = F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col("d_least")))
+    kept = cut(both.join(of_entity, "entity").join(beside, "term").filter(most >= DISCLOSE * information).drop("d_least"))
     texts = keyed(docs.select("doc_id", "text")).filter(F.length("text") > 0)
     wanted = kept.select("term").distinct()
     if wanted.head(1):
@@ -124,10 +129,8 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
         of_term = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("d_t"))
     else:
         of_term = wanted.withColumn("d_t", F.lit(0).cast("long"))
-    n = docs.count()
-    joined = both.join(of_entity, "entity").join(of_term, "term")
     pmi = F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
-    return joined.filter(pmi >= DISCLOSE * F.log(F.lit(n) / F.col("d_e"))).select("entity", "term")
+    return kept.join(of_term, "term").filter(pmi >= DISCLOSE * information).select("entity", "term")
 
 
 def _listed(kind: str, spans: Column) -> Column:
