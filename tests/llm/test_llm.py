@@ -212,7 +212,7 @@ def test_decontamination_asks_for_consistent_slots(spark):
 
 def test_quality_rules(docs, empty, held):
     ids = docs.filter("doc_id in (0, 10, 11, 14)").select("doc_id")
-    got = quality_rules.quality_rules(docs, ids, threshold=-0.5).collect()
+    got = quality_rules.quality_rules(docs, ids, threshold=-1.5).collect()
 
     def base(t):
         t = t or ""
@@ -223,7 +223,7 @@ def test_quality_rules(docs, empty, held):
         return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(rep), len(w) < 10 or 100 * len(rep) > 20 * len(w)
 
     assert collections.Counter((r.doc_id, *tuple(r)[1:7]) for r in got) == collections.Counter((i, *base(t)) for i, t in held)
-    assert all(r.kept == (not r.base_failed and r.llr >= -0.5) for r in got) and any(r.kept for r in got)
+    assert all(r.kept == (not r.base_failed and r.llr >= -1.5) for r in got) and any(r.kept for r in got)
 
     # the score, with multinomials counted by hand
     b, s = quality_rules.BUCKETS, quality_rules.SMOOTH
@@ -239,7 +239,7 @@ def test_quality_rules(docs, empty, held):
     assert sorted((r.doc_id if r.doc_id else (r.doc_id or -1), round(r.llr, 9)) for r in got) == want
     assert quality_rules.quality_rules(empty, ids).count() == 0
     assert quality_rules.quality_rules(docs, ids.limit(0)).count() == len(held)
-    kept = quality_rules.keep_good(docs, ids, threshold=-0.5)
+    kept = quality_rules.keep_good(docs, ids, threshold=-1.5)
     assert kept.schema == docs.schema and kept.count() == sum(r.kept for r in got)
 
 
