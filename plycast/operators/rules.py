@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plycast.operators import geometry
+from plycast.functions.lineage import settle
 from plycast.operators.boards import square_index, square_name, with_board
 
 STATE = ("board", "turn", "castling", "ep", "half", "full")
@@ -131,7 +131,7 @@ def _board_after() -> Column:
 def legal_moves(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
     """Pseudo moves that do not leave the own king attacked; castling also not out of or through an attack."""
     m = pseudo_moves(df, keys, geom)
-    m = m.withColumn("next", _board_after())
+    m = settle(m.withColumn("next", _board_after()))
     id = [*keys, "move"]
     king = F.when(F.col("turn") == "w", "K").otherwise("k")
     through = F.when(F.col("kind") == "castle", F.array(F.col("src"), F.floor((F.col("src") + F.col("dst")) / 2).cast("int"), F.col("dst")))
@@ -174,7 +174,7 @@ def status(df: DataFrame, keys: list[str], geom: DataFrame) -> DataFrame:
 def san_plies(plies: DataFrame, line: str, geom: DataFrame) -> DataFrame:
     """Adds legal and san (null where the move is not legal) to replayed plies with a move."""
     keys = [line, "ply"]
-    p = plies.filter("uci is not null")
+    p = settle(plies.filter("uci is not null"))
     legal = legal_moves(p, keys, geom).join(p.select(*keys, "uci"), keys)
     mine = (F.substring("uci", 1, 4) == F.col("move")) & ((F.length("uci") == 5) == (F.col("promo") == "?"))
     # the moves of a ply side by side: the one that was made, and the same kind of man going to the same square
@@ -183,9 +183,9 @@ def san_plies(plies: DataFrame, line: str, geom: DataFrame) -> DataFrame:
     same = (F.col("man") == F.col("one.man")) & (F.col("dst") == F.col("one.dst")) & (F.col("src") != F.col("one.src"))
     at = lambda f: F.count_if(same & f).over(own)
     every = legal.withColumn("one", one).withColumns({"rivals": at(F.lit(True)), "same_file": at(F.col("src") % 8 == F.col("one.src") % 8), "same_rank": at(F.floor(F.col("src") / 8) == F.floor(F.col("one.src") / 8))})
-    chosen = every.filter(mine)
+    chosen = settle(every.filter(mine))
     moved = chosen.select(*keys, after(F.struct(*(F.col(c) for c in STATE)), F.col("uci")).alias("n")).select(*keys, "n.*")
-    ends = status(moved, keys, geom).select(*keys, F.col("status"))
+    ends = status(settle(moved), keys, geom).select(*keys, F.col("status"))
     c = chosen.join(ends, keys, "left")
     square, to = square_name(F.col("src")), square_name(F.col("dst"))
     takes = (F.substring("board", F.col("dst") + 1, F.lit(1)) != ".") | ((F.lower("man") == "p") & (F.col("src") % 8 != F.col("dst") % 8))

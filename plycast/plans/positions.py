@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plycast.functions.lineage import settle
 from plycast.operators import boards as bd
 from plycast.operators import geometry, rules
 from plycast.plans import standins as st
@@ -127,7 +128,7 @@ def _known(values: tuple) -> str:
 def lines(spark, sf_dir):
     """Distinct lines, with their number of puzzles' ids to join back to: rules are worked out once for each."""
     g = good(spark, sf_dir).withColumn("line", F.xxhash64("csv_fen", "moves"))
-    return g.select("puzzle_id", "line"), rules.start(g.dropDuplicates(["line"]).select("line", "csv_fen", "moves"), "csv_fen")
+    return g.select("puzzle_id", "line"), rules.start(settle(g.dropDuplicates(["line"]).select("line", "csv_fen", "moves")), "csv_fen")
 
 
 @query("replay_plies", G + " SELECT puzzle_id, (n + 1)::BIGINT AS n_states FROM keyed")
