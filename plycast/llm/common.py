@@ -33,10 +33,9 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[list[list]], Iterable[t
 
     It is called once per batch, then with None at the end of the partition.
     """
-    names = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(names)
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

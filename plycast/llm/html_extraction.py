@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -226,7 +227,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         found: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({"host": list(found), "salt": [hash_of(h + w) for h, w in ((h, json.dumps(w)) for h, w in found.items())], "wrapper": [json.dumps(w, ensure_ascii=False) for w in found.values()]}, pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())]))
+            texts = [json.dumps(w, ensure_ascii=False) for w in found.values()]
+            salts = [zlib.crc32(t.encode()) % SALTS for t in texts]
+            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(salts, pa.int32()), pa.array(texts, pa.string())], ["host", "salt", "wrapper"])
             found.clear()
             return batch
 
@@ -234,16 +237,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 w = wrap(parse(page.as_py() or ""))
                 found[host] = merge(found[host], w) if host in found else w
-                if len(found) >= 2000:
+                if len(found) >= 2000:  # memory stays bounded; what is left is aligned later
                     yield out()
         if found:
             yield out()
 
-    def hash_of(x: str) -> int:
-        import zlib
-
-        return zlib.crc32(x.encode()) % SALTS
-
     parts = pages.select(host_of().alias("host"), "html").mapInArrow(partial, "host string, salt int, wrapper string")
     return _folded(_folded(parts, "host", "salt").drop("salt"), "host")
 
