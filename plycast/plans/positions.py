@@ -40,7 +40,7 @@ def board_squares(spark, sf_dir):
     return s.groupBy("puzzle_id").agg(F.sum(F.col("label") * (F.col("index") + 1)).cast("bigint").alias("checksum"), F.count_if(F.col("label") > 0).alias("n_men"))
 
 
-@query("board_squares_rotated", SQUARES + " SELECT 63 - index AS index, piece, label, count(*) AS n FROM squares WHERE piece <> '.' GROUP BY 1, 2, 3")
+@query("board_squares_rotated", SQUARES + " SELECT (63 - index)::INTEGER AS index, piece, label::INTEGER AS label, count(*) AS n FROM squares WHERE piece <> '.' GROUP BY 1, 2, 3")
 def board_squares_rotated(spark, sf_dir):
     return bd.squares(boards(spark, sf_dir), "puzzle_id", white_bottom=False).groupBy("index", "piece", "label").agg(F.count("*").alias("n"))
 
