@@ -105,7 +105,7 @@ def castling_field(board: Column, chosen: Column) -> Column:
 
 
 def material(df: DataFrame, *keys: str) -> DataFrame:
-    """Per colour: pawns, pieces beyond the starting set, promotions that are left, and the error if they do not fit."""
+    """Per colour: pawns, pieces beyond the starting set, promotions that are left, and the error (a fixed text) if they do not fit."""
     sq = squares(df, *keys).withColumn("color", F.when(F.col("piece") == F.upper("piece"), "White").otherwise("Black"))
     p, light = F.lower("piece"), (F.floor(F.col("index") / 8) + F.col("index") % 8) % 2 == 0
     n = sq.groupBy(*keys, "color").agg(*(F.count_if(p == c).alias(c) for c in "pqrn"), F.count_if((p == "b") & light).alias("lb"), F.count_if((p == "b") & ~light).alias("db"))

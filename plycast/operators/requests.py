@@ -39,7 +39,7 @@ def clean_line(x: Column) -> Column:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Adds ``reason``, null for good requests, and the cleaned lines and verdict."""
+    """Adds ``reason``, null for good requests, and the cleaned lines and verdict. The reasons are fixed texts."""
     v = F.col("verdict")
     d = df.withColumns({"clean_lines": F.transform("lines", clean_line), "clean_played": clean_line(F.col("playedLine")), "clean_best": clean_line(F.col("bestLine"))})
     fen = F.when(F.col("fen").isNull() | (F.length("fen") == 0) | (F.length("fen") > MAX_FEN), "fen must be a non-empty string")
