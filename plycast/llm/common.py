@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plycast-tables-")
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[list[list]], Iterable[tuple]]) -> DataFrame:
     """mapInArrow: ``rows`` gets a batch's columns as Python lists and gives tuples of ``schema``.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plycast.llm.common import blank_null, cut, keyed, map_rows
+from plycast.llm.common import blank_null, cut, keyed, map_rows, written
 
 LENGTH, GRAM, SHALLOW, GROUP, FEW = 200, 24, 32, 20_000, 6
 WIDTH = LENGTH - GRAM + 1  # places for an anchor in a window
@@ -344,7 +344,7 @@ def covered(docs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text")).select("__id", "__key", blank_null().alias("text")).mapInArrow(_first_pass, ROWS)
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     met = rows.repartition(int(parts), "h").sortWithinPartitions("h", "own").mapInArrow(_second_pass, "kind int, h long, __id long, __key long, at long")
-    met = cut(met)
+    met = written(met)
     place, back, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     whole = met.filter(F.col("kind") == DECIDED).select("__id", "__key", (place - back).alias("start"), (place - back + more + LENGTH).alias("stop"))
     look = met.filter(F.col("kind") != DECIDED).groupBy("__id", "__key").agg(F.collect_list(F.struct("kind", "h", "at")).alias("look"))
