@@ -38,6 +38,8 @@ _HINTS = {
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
 TERM, REACH, SUPPORT, DISCLOSE = 4, 60, 3, 0.95
+#: Terms are sent to all tasks up to this many, else words are shuffled to them.
+MAX_SENT = 50_000
 _WORD = rf"\p{{L}}{{{TERM},}}+"
 _BYTE = "^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
@@ -124,7 +126,9 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     kept = cut(both.join(of_entity, "entity").join(beside, "term").filter(most >= DISCLOSE * information).drop("d_least"))
     texts = keyed(docs.select("doc_id", "text")).filter(F.length("text") > 0)
     wanted = kept.select("term").distinct()
-    if wanted.head(1):
+    n_wanted = wanted.count()
+    if n_wanted:
+        wanted = F.broadcast(wanted) if n_wanted <= MAX_SENT else wanted
         words = texts.select("__id", "__key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
         of_term = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("d_t"))
     else:
