@@ -1,26 +1,30 @@
 """Personal data: fixed patterns, then information-theoretic sanitisation, in DataFrame operations alone.
 
-The patterns find e-mail addresses, IP numbers, card numbers (Luhn) and phone numbers; these values are the protected
-entities. A term (a word of ``TERM`` letters or more within ``REACH`` characters of an entity) discloses an entity by
-its pointwise mutual information, estimated from document frequencies over the whole corpus. Where that is ``DISCLOSE``
-or more of the entity's information content, so that the term all but gives the entity away, and rests on ``SUPPORT``
-or more different surroundings, the term's occurrences beside the entity become spans too, of kind ``term``.
-``redact`` puts each kind's name in place of its spans.
-
-Only frequencies of terms beside repeated entities are needed, but they are counted over all documents. Nothing pairs
-terms with terms; pairs are of an entity and its nearby terms, so they grow with the text.
+The patterns find e-mail addresses, IP numbers, card numbers (Luhn) and phone numbers. The protected entities are these
+values and the groups that they belong to: an address's domain, an IP number's network, a card's issuer, a phone
+number's prefix. (A kind is no entity: that a text holds some address tells of nobody.) A term (a word of ``TERM``
+letters or more outside of the values) discloses an entity by its pointwise mutual information, estimated from document
+frequencies over the whole corpus, wherever in a document both stand. Where that is above 0 and ``DISCLOSE`` or more of
+the entity's information content, so that the term all but gives the entity away, and rests on ``SUPPORT`` or more
+documents with different surroundings of the entity, every occurrence of the term in any document becomes a span too,
+of kind ``term``. ``redact`` puts each kind's name in place of its base spans.
+
+Nothing pairs terms with terms; pairs are of a document's entities and its different terms. They are counted before
+anything is joined to them.
 
 Defined cases: null text is empty and has no spans; matches of a kind are leftmost and do not overlap, those that fail
-their test are dropped; spans of different kinds may overlap; repeated rows get equal results and count as one
-document in the frequencies.
+their test are dropped; spans of different kinds may overlap, but terms overlap nothing; repeated rows get equal
+results and count as one document in the frequencies of pairs, entities and terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plycast.llm.common import blank_null, cut, keyed
+from plycast.llm.common import blank_null, cut, keyed, written
 
 # Possessive quantifiers keep the patterns' matches but stop them from trying a long run again at each of its characters.
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -37,10 +41,13 @@ _HINTS = {
     "card": lambda t: t.rlike("[0-9](?:[ -]?[0-9]){15}"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
+#: ``REACH`` characters on either side are the surroundings of a value.
 TERM, REACH, SUPPORT, DISCLOSE = 4, 60, 3, 0.95
-#: Terms are sent to all tasks up to this many, else words are shuffled to them.
+#: Terms, and documents that hold disclosing ones, are sent to all tasks up to this many, else joined by a shuffle.
 MAX_SENT = 50_000
 _WORD = rf"\p{{L}}{{{TERM},}}+"
+#: Rows with a base span.
+_SOME = " or ".join(f"size({k}) > 0" for k in PATTERNS)
 _BYTE = "^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
 
@@ -92,49 +99,93 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(_HINTS[k](text), F.filter(matches(text, p), _passing(k))).otherwise(none) for k, p in PATTERNS.items()}
 
 
+def _every(kinds: tuple[str, ...]) -> Column:
+    return F.array_sort(F.concat(*(F.transform(k, _tagged(k)) for k in kinds)))
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``by(span, at)`` for each of the sorted spans; spans that overlap go as one."""
+
+    def step(acc: Column, m: Column) -> Column:
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), by(m, acc["at"]))
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(m["start"] < acc["at"], F.concat(acc["out"], by(m, acc["at"]))).otherwise(fresh).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
 def _with_base(docs: DataFrame) -> DataFrame:
-    d = keyed(docs.select("doc_id", "text")).withColumn("text", blank_null())
-    return d.select(F.col("doc_id").cast("long"), "__id", "__key", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
+    """The rows as ``row``, their keys, base spans and ``rest``, the text with a blank for each character of a value."""
+    d = keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).withColumn("text", blank_null())
+    d = d.select("row", "__id", "__key", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
+    blank = _replaced(F.col("text"), _every(tuple(PATTERNS)), lambda m, at: F.repeat(F.lit(" "), F.greatest(m["end"] - F.greatest(m["start"], at), F.lit(0))))
+    return d.withColumn("rest", F.when(F.expr(_SOME), blank).otherwise(F.col("text")))
+
+
+def _terms(rest: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _nearby(found: DataFrame) -> DataFrame:
-    """A row for each entity's mention and each whole word beside it, with the word's place and a hash of the surroundings."""
-    kinds = F.concat(*(F.transform(k, _tagged(k)) for k in PATTERNS))
-    m = found.select("__id", "__key", "text", F.explode(kinds).alias("m"))
+def _entities(found: DataFrame) -> DataFrame:
+    """A row for each document and entity in it, with a hash of the surroundings, one for copies of a document."""
+    m = found.select("__id", "__key", "text", F.explode(_every(tuple(PATTERNS))).alias("m"))
     lo = F.greatest(F.col("m.start") - REACH, F.lit(0))
-    left = F.substring("text", lo + 1, F.col("m.start") - lo)
-    right = F.substring("text", F.col("m.end") + 1, F.lit(REACH))
-    m = m.select("__id", "__key", F.xxhash64("m.kind", F.lower("m.value")).alias("entity"), F.xxhash64(left, right).alias("around"), F.col("m.end").alias("end"), lo.alias("lo"), left.alias("left"), right.alias("right"), (F.length("text") > F.col("m.end") + REACH).alias("more"))
-    # words that the window may have cut are left out
-    own = F.filter(matches(F.col("left"), _WORD), lambda x: (x["start"] > 0) | (F.col("lo") == 0))
-    own = F.transform(own, lambda x: F.struct((x["start"] + F.col("lo")).alias("start"), (x["end"] + F.col("lo")).alias("end"), F.lower(x["value"]).alias("term")))
-    after = F.filter(matches(F.col("right"), _WORD), lambda x: (x["end"] < F.length("right")) | ~F.col("more"))
-    after = F.transform(after, lambda x: F.struct((x["start"] + F.col("end")).alias("start"), (x["end"] + F.col("end")).alias("end"), F.lower(x["value"]).alias("term")))
-    return m.select("__id", "__key", "entity", "around", F.explode(F.concat(own, after)).alias("w")).select("__id", "__key", "entity", "around", "w.*")
-
-
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity and term of the pairs whose disclosure reaches the threshold."""
-    n = docs.count()
-    information = F.log(F.lit(n) / F.col("d_e"))
-    kept = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    both = near.join(kept.select("entity", "term"), ["entity", "term"]).select("entity", "term", "__id", "__key").distinct().groupBy("entity", "term").agg(F.count("*").alias("d_et"))
-    of_entity = near.select("entity", "__id", "__key").distinct().groupBy("entity").agg(F.count("*").alias("d_e"))
+    around = F.xxhash64(F.substring("text", lo + 1, F.col("m.start") - lo), F.substring("text", F.col("m.end") + 1, F.lit(REACH)))
+    kind, value = F.col("m.kind"), F.lower("m.value")
+    whole = F.when(kind == "email", value).when(kind == "ip", F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(_digits(value))
+    group = F.when(kind == "email", F.regexp_extract(whole, "@(.*)$", 1)).when(kind == "ip", F.substring_index(whole, ".", 3)).when(kind == "card", F.substring(whole, 1, 6)).otherwise(F.substring(whole, 1, 4))
+    both = F.array(F.xxhash64(kind, F.lit("value"), whole), F.xxhash64(kind, F.lit("group"), group))
+    return m.select("__id", "__key", F.explode(both).alias("entity"), around.alias("around")).groupBy("__id", "__key", "entity").agg(F.min("around").alias("around"))
+
+
+def supported(entities: DataFrame, words: DataFrame) -> DataFrame:
+    """entity, term and d_et of the pairs that stand in documents enough with different surroundings."""
+    pairs = entities.join(words, ["__id", "__key"]).select("entity", "around", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
+    return pairs.groupBy("entity", "term").agg(F.sum("n").alias("d_et"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT).drop("support")
+
+
+def disclosing(found: DataFrame) -> DataFrame:
+    """A row for each document and each disclosing term in it."""
+    n = found.select("__id", "__key").distinct().count()
+    some = found.filter(_SOME)
+    entities = cut(_entities(some))
+    words = written(some.select("__id", "__key", _terms(F.col("rest")).alias("terms")).dropDuplicates(["__id", "__key"]))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("d_e"))
     # a term stands in as many documents at least as it does beside entities; pairs that fail on that alone need no count
-    beside = near.select("term", "__id", "__key").distinct().groupBy("term").agg(F.count("*").alias("d_least"))
-    most = F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col("d_least")))
-    kept = cut(both.join(of_entity, "entity").join(beside, "term").filter(most >= DISCLOSE * information).drop("d_least"))
-    texts = keyed(docs.select("doc_id", "text")).filter(F.length("text") > 0)
+    beside = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("d_least"))
+    told = lambda d_t: (F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col(d_t))) >= DISCLOSE * F.log(F.lit(n) / F.col("d_e"))) & (F.lit(n) * F.col("d_et") > F.col("d_e") * F.col(d_t))
+    kept = cut(supported(entities, words).join(of_entity, "entity").join(beside, "term").filter(told("d_least")).drop("d_least"))
     wanted = kept.select("term").distinct()
     n_wanted = wanted.count()
-    if n_wanted:
-        wanted = F.broadcast(wanted) if n_wanted <= MAX_SENT else wanted
-        words = texts.select("__id", "__key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-        of_term = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("d_t"))
-    else:
-        of_term = wanted.withColumn("d_t", F.lit(0).cast("long"))
-    pmi = F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
-    return kept.join(of_term, "term").filter(pmi >= DISCLOSE * information).select("entity", "term")
+    if not n_wanted:
+        return some.select("__id", "__key", F.lit("").alias("term")).limit(0)
+    wanted = F.broadcast(wanted) if n_wanted <= MAX_SENT else wanted
+    held = cut(found.select("__id", "__key", F.explode(_terms(F.col("rest"))).alias("term")).join(wanted, "term", "left_semi").distinct())
+    of_term = held.groupBy("term").agg(F.count("*").alias("d_t"))
+    return held.join(kept.join(of_term, "term").filter(told("d_t")).select("term").distinct(), "term", "left_semi")
+
+
+def _places(rest: Column, terms: Column) -> Column:
+    """Like ``matches`` of all words, but only those of ``terms`` are put together."""
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    pairs = F.arrays_zip(F.split(rest, _WORD, -1).alias("gap"), F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)).alias("value"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
+        out = F.when(F.array_contains(terms, F.lower(x["value"])), F.concat(acc["out"], one)).otherwise(acc["out"])
+        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
+
+    return F.when(terms.isNull(), empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as ``row``, their text and the spans of each kind, terms last."""
+    found = _with_base(docs)
+    own = cut(disclosing(found).groupBy("__id", "__key").agg(F.collect_set("term").alias("terms")))
+    own = F.broadcast(own) if own.count() <= MAX_SENT else own
+    return found.join(own, ["__id", "__key"], "left").select("row", "text", *PATTERNS, _places(F.col("rest"), F.col("terms")).alias("term"))
 
 
 def _listed(kind: str, spans: Column) -> Column:
@@ -143,26 +194,15 @@ def _listed(kind: str, spans: Column) -> Column:
 
 def pii(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: counts, a hash of the base spans, and all spans."""
-    found = _with_base(docs)
-    some = found.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS))
-    near = cut(_nearby(some).distinct())
-    told = disclosing(docs, near)
-    added = near.join(told, ["entity", "term"]).select("__id", "__key", F.struct("start", "end").alias("s")).groupBy("__id", "__key").agg(F.array_sort(F.collect_set("s")).alias("term"))
-    out = found.drop("text").join(added, ["__id", "__key"], "left")
     base = F.concat(*(_listed(k, F.col(k)) for k in PATTERNS))
-    spans = F.concat(base, _listed("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>"))))
+    spans = F.concat(base, _listed("term", F.col("term")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return out.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans"))
+    out = with_spans(docs.select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every base value in ``text`` replaced by its kind in brackets; spans that overlap go as one."""
-    text = F.col("text")
-    every = F.array_sort(F.concat(*(F.transform(c, _tagged(k)) for k, c in base_spans(text).items())))
-
-    def step(acc: Column, m: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.lit("["), m["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(m["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
-
-    done = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return docs.withColumn("text", F.when(text.isNotNull(), done))
+    named = lambda m, at: F.when(m["start"] < at, "").otherwise(F.concat(F.lit("["), m["kind"], F.lit("]")))
+    done = _replaced(F.col("text"), _every(tuple(PATTERNS)), named)
+    return with_spans(docs).select(*(F.when(F.col("row.text").isNotNull(), done).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

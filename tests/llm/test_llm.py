@@ -392,6 +392,22 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(got[i] == "" for i, _ in rows[6:])
 
 
+def test_terms_anywhere_give_a_group_away(spark):
+    far = " ".join(f"filler{'abcdefgh'[k % 8]}" for k in range(30))
+    rows = [(i, f"the Zanzibar desk {far} case no {i} wrote as p{i}@corp.example.org about case no {i} {far} and ZANZIBAR") for i in range(12)]
+    rows += [(50, rows[0][1]), (51, "a zanzibar of no address")] + [(100 + i, f"the desk wrote about case no {i} {far}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("x"), "__id": F.lit("y")})
+    got = {r.doc_id: r.spans for r in pii.pii(d).collect()}
+    for i, t in rows:
+        terms = [t[int(a) : int(z)] for k, a, z in (x.split(":") for x in got[i].split(",") if x) if k == "term"]
+        assert terms == re.findall("zanzibar", t, re.I)
+
+
+def test_an_entity_of_every_document_is_not_given_away(spark):
+    d = spark.createDataFrame([(i, f"{prose(i, 6)} report p{i}@corp.example.org") for i in range(6)], "doc_id long, text string")
+    assert all(r.spans.startswith("email") and "term" not in r.spans for r in pii.pii(d).collect())
+
+
 def test_pipeline_keeps_columns(spark, small):
     import corpus_pipeline
 
