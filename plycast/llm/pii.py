@@ -7,7 +7,7 @@ letters or more outside of the values) discloses an entity by its pointwise mutu
 frequencies over the whole corpus, wherever in a document both stand. Where that is above 0 and ``DISCLOSE`` or more of
 the entity's information content, so that the term all but gives the entity away, and rests on ``SUPPORT`` or more
 documents with different surroundings of the entity, every occurrence of the term in any document becomes a span too,
-of kind ``term``. ``redact`` puts each kind's name in place of its base spans.
+of kind ``term``. ``redact`` puts each kind's name in place of its spans, terms included.
 
 Nothing pairs terms with terms; pairs are of a document's entities and its different terms. They are counted before
 anything is joined to them.
@@ -202,7 +202,7 @@ def pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every base value in ``text`` replaced by its kind in brackets; spans that overlap go as one."""
+    """``docs`` with every span that ``pii`` finds in ``text`` replaced by its kind in brackets; spans that overlap go as one."""
     named = lambda m, at: F.when(m["start"] < at, "").otherwise(F.concat(F.lit("["), m["kind"], F.lit("]")))
-    done = _replaced(F.col("text"), _every(tuple(PATTERNS)), named)
+    done = _replaced(F.col("text"), _every((*PATTERNS, "term")), named)
     return with_spans(docs).select(*(F.when(F.col("row.text").isNotNull(), done).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -401,6 +401,10 @@ def test_terms_anywhere_give_a_group_away(spark):
     for i, t in rows:
         terms = [t[int(a) : int(z)] for k, a, z in (x.split(":") for x in got[i].split(",") if x) if k == "term"]
         assert terms == re.findall("zanzibar", t, re.I)
+    out = pii.redact(d)
+    assert out.columns == d.columns
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert text == {i: re.sub("zanzibar", "[term]", re.sub(r"p\d+@corp\.example\.org", "[email]", t), flags=re.I) for i, t in rows}
 
 
 def test_an_entity_of_every_document_is_not_given_away(spark):
