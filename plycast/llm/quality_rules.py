@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from plycast.llm.common import SPACES, map_rows
 
 BUCKETS = 1 << 16
-#: Trusted documents that the target multinomial is counted on; ids of so many are sent to the tasks.
-MAX_TRUSTED = 4096
+#: Ids of trusted documents are sent to all tasks up to this many, else texts are shuffled to them; all of them count.
+MAX_SENT = 1_000_000
 #: Mean log ratio per n-gram. Text made like the trusted documents scores about 0 or more.
 THRESHOLD = -0.12
 SMOOTH = 1.0
@@ -84,25 +84,25 @@ def base_rules(text: str | None) -> tuple[list[bytes], int, int, int, int, bool]
     return words, chars, symbols, len(lines) - len(set(lines)), repeated, n < MIN_WORDS or 100 * repeated > REPEAT_PCT * n
 
 
-def fit(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratio for each bucket; ``trusted`` has doc_ids of the target. One pass over all of ``docs``."""
-    near = trusted.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    ids = frozenset(r[0] for r in near.collect())  # max_trusted at most
+    ids = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= MAX_SENT else ids
 
     def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, BUCKETS), np.int64)
         for batch in it:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for near, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = (text.as_py() or "").encode().split()
                 if words:
                     c = np.bincount(ngram_buckets(words), minlength=BUCKETS)
                     both[0] += c
-                    if doc_id in ids:
+                    if near:
                         both[1] += c
         some = np.flatnonzero(both[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[0][some]), pa.array(both[1][some])], ["bucket", "raw", "target"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(counts, "bucket int, raw long, target long")
+    parts = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("trusted", "text").mapInArrow(counts, "bucket int, raw long, target long")
     total = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[total.iloc[:, 0]], target[total.iloc[:, 0]] = total.iloc[:, 1], total.iloc[:, 2]

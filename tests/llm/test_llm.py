@@ -243,6 +243,21 @@ def test_quality_rules(docs, empty, held):
     assert kept.schema == docs.schema and kept.count() == sum(r.kept for r in got)
 
 
+@pytest.mark.parametrize("sent", [0, quality_rules.MAX_SENT])
+def test_all_trusted_documents_count(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality_rules, "MAX_SENT", sent)
+    n = 6000
+    d = spark.range(2 * n).selectExpr("if(id = 0, null, id) as doc_id", "concat('w', id % 50, ' common') as text")
+    ratio = quality_rules.fit(d, spark.range(n).selectExpr("id as doc_id").union(spark.range(n)))
+    raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for i in range(2 * n):
+        b = quality_rules.ngram_buckets([b"w%d" % (i % 50), b"common"])
+        raw[b] += 1
+        target[b] += 0 < i < n
+    share = [(c + quality_rules.SMOOTH) / (c.sum() + quality_rules.SMOOTH * quality_rules.BUCKETS) for c in (target, raw)]
+    assert np.allclose(ratio, np.log(share[0] / share[1]), rtol=0, atol=1e-12)
+
+
 def test_repeat_words_where_names_do_not_fit_one_number():
     words = [str(i).encode() for i in range(9000)] + [b"a", b"b", b"c", b"d", b"e"] * 2
     assert quality_rules.repeat_words(words) == 10
