@@ -9,8 +9,12 @@ that slot do not count. A document leaks an item if matching windows make up ``S
 A Bloom filter of fixed size, made from the benchmark, keeps most document windows from being shuffled at all; the
 join after it is exact and needs no broadcast.
 
+Placeholders alone would miss copies of short items, where a first word may count as a name on one side only, and of items
+of numbers and names. Items of one window at most, or without a window of ``LITERALS`` words besides placeholders, are
+therefore looked for by exact windows too: lower-case words without outer punctuation, numbers and names as they are.
+
 Defined cases: null or short texts have no windows; an item of fewer than ``WINDOW`` words is one window of its own
-length, and one of fewer than ``LITERALS`` words is not looked for; repeated rows (same doc_id and text) are one
+length, and one of fewer than ``LITERALS`` words is looked for word by word only; repeated rows (same doc_id and text) are one
 document; empty tables give an empty result. Other columns are not looked at.
 """
 
@@ -31,6 +35,7 @@ BITS = 1 << 25  # of the Bloom filter: 4 MB, whatever the benchmark
 _UNITS = frozenset("mm cm m km in ft mi mg g kg lb lbs oz ml l s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years metre metres meter meters kilometre kilometres kilometers mile miles foot feet inch inches gram grams kilogram kilograms kilograms pound pounds litre litres liter liters dollar dollars euro euros cent cents percent degree degrees mph kmh".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*[a-z%]{0,3}")
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 7)) for x in ("<number>", "<name>", "<unit>"))
+_EXACT = np.uint64(xxhash.xxh64_intdigest("<exact>", 7))  # keeps exact windows apart from the others
 _IS_NUM, _IS_NAME, _IS_UNIT, _ENDS = (np.uint64(1 << k) for k in range(4))
 _FLAGS = np.uint64(15)
 _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
@@ -58,23 +63,24 @@ class _Forms(dict):
 _FORMS = _Forms()
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Canonical hashes, whether each is a placeholder, and the words they came from."""
+def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Canonical hashes, whether each is a placeholder, the words they came from, and the words' own hashes."""
     words = text.split()
     form = np.fromiter(map(_FORMS.__getitem__, words), np.uint64, len(words))
     if not form.all():
         words = [w for w, f in zip(words, form, strict=True) if f]
         form = form[form > 0]
     if not len(form):
-        return form, form > 0, words
+        return form, form > 0, words, form
     number = form & _IS_NUM > 0
     starts = np.concatenate([[True], form[:-1] & _ENDS > 0])
     unit = (form & _IS_UNIT > 0) & np.concatenate([[False], number[:-1]])
     name = (form & _IS_NAME > 0) & ~starts & ~unit
-    out = form & ~_FLAGS
+    own = form & ~_FLAGS
+    out = own.copy()
     for mask, value in ((number, _NUM), (unit, _UNIT), (name, _NAME)):
         out[mask] = value
-    return out, number | unit | name, words
+    return out, number | unit | name, words, own
 
 
 def windows(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +96,10 @@ def windows(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarra
     return h, size - (filled[size:] - filled[:-size]) >= min(LITERALS, size)
 
 
+def exact_windows(own: np.ndarray, size: int) -> np.ndarray:
+    return windows(own, np.zeros(len(own), bool), size)[0] ^ _EXACT
+
+
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BITS - 1)).astype(np.int64), (h >> np.uint64(38) & np.uint64(BITS - 1)).astype(np.int64)
 
@@ -101,22 +111,27 @@ def _values(words: list[str], slots: np.ndarray, at: int, size: int) -> list[str
 def benchmark_windows(items: DataFrame) -> DataFrame:
     def rows(cols: list[list]) -> Iterator[tuple]:
         for item_id, text in zip(*cols, strict=True):
-            tokens, slots, words = canonical(text or "")
+            tokens, slots, words, own = canonical(text or "")
             size = min(WINDOW, len(tokens))
-            if size < LITERALS:
+            if not size:
                 continue
             h, good = windows(tokens, slots, size)
+            good &= size >= LITERALS
             n = int(good.sum())
             for at in np.flatnonzero(good).tolist():
-                yield item_id, at, size, n, int(h[at].astype(np.int64)), _values(words, slots, at, size)
+                yield item_id, at, size, False, n, int(h[at].astype(np.int64)), _values(words, slots, at, size)
+            if not n or len(h) == 1:
+                h = exact_windows(own, size)
+                for at, x in enumerate(h.astype(np.int64).tolist()):
+                    yield item_id, at, size, True, len(h), x, []
 
-    return map_rows(items.select(F.col("item_id").cast("long"), "text"), "item_id long, item_at int, size int, n_windows int, h long, item_slots array<string>", rows)
+    return map_rows(items.select(F.col("item_id").cast("long"), "text"), "item_id long, item_at int, size int, exact boolean, n_windows int, h long, item_slots array<string>", rows)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """A row for each document and each item that it leaks; ``text_key`` tells apart texts under one doc_id."""
     bench = cut(benchmark_windows(items))
-    sizes = [r[0] for r in bench.select("size").distinct().collect()]  # WINDOW values at most
+    sizes = [tuple(r) for r in bench.select("size", "exact").distinct().collect()]  # twice WINDOW values at most
     at = F.explode(F.array(F.col("h").bitwiseAND(BITS - 1), F.shiftrightunsigned("h", 38).bitwiseAND(BITS - 1)))
     filled = bench.select(at.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("v")).toPandas()
     bloom = np.zeros(BITS // 8, np.uint8)
@@ -126,15 +141,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
     def rows(cols: list[list]) -> Iterator[tuple]:
         bits = held.value
         for doc_id, key, text in zip(*cols, strict=True):
-            tokens, slots, words = canonical(text or "")
-            for size in sizes:
-                h, good = windows(tokens, slots, size)
+            tokens, slots, words, own = canonical(text or "")
+            none = np.zeros(len(slots), bool)
+            for size, exact in sizes:
+                held_in = none if exact else slots
+                h, good = windows(tokens, slots, size) if not exact else (exact_windows(own, size), np.ones(max(len(own) - size + 1, 0), bool))
                 if not len(h):
                     continue
                 a, b = _bits(h)
                 good &= (bits[a >> 3] >> (a & 7).astype(np.uint8) & 1 > 0) & (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1 > 0)
                 for k in np.flatnonzero(good).tolist():
-                    yield doc_id, key, k, int(h[k].astype(np.int64)), _values(words, slots, k, size)
+                    yield doc_id, key, k, int(h[k].astype(np.int64)), _values(words, held_in, k, size)
 
     found = map_rows(docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text"), "doc_id long, text_key long, doc_at int, h long, doc_slots array<string>", rows)
     both = found.join(bench, "h").filter(F.size("doc_slots") == F.size("item_slots")).withColumn("line", F.col("doc_at") - F.col("item_at")).distinct()

@@ -202,6 +202,15 @@ def test_decontamination(spark, items):
     assert decontaminate.decontaminate(d.limit(0), items).count() == 0 == decontaminate.decontaminate(d, items.limit(0)).count()
 
 
+def test_decontamination_finds_copies_of_numbers_and_short_items(spark):
+    texts = ["What is 12 + 34 * 56 - 78?", "Who wrote the play called Hamlet?", "Name three primes", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    item = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, f"{prose(40, 30)}\nQuestion 5\n{t}\n{prose(41, 30)}") for k, t in enumerate(texts)]
+    rows += [(10, f"{prose(40, 30)} What is 12 + 34 * 56 - 79? {prose(41, 30)} name two primes"), (11, "Who wrote the song called Hamlet?"), (12, None)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), item).collect()}
+    assert got == {(k, k) for k in range(4)}
+
+
 def test_decontamination_asks_for_consistent_slots(spark):
     item = spark.createDataFrame([(1, "give 7 apples to the tall man and 7 pears to the small boy near the gate")], "item_id long, text string")
     same, torn = (f"give {a} apples to the tall man and {b} pears to the small boy near the gate" for a, b in ((9, 9), (9, 4)))
