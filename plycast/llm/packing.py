@@ -5,13 +5,15 @@ Documents are tokenized and only longer ones are cut. Pieces are then dealt even
 then its smallest piece is replaced by two unpacked pieces if they fill the gap that it leaves more tightly.
 The unused end of one bin per group is what the split into groups can cost.
 
-Defined cases: a null text is empty and becomes one piece of the closing id alone; repeated rows are packed each;
-an empty table gives an empty table.
+Defined cases: a null or empty text becomes one piece of the closing id alone; repeated rows are packed each; a very long
+text is cut into pieces of ``capacity``; pieces of one length are alike to the packing; columns other than doc_id and text
+are not looked at; a null doc_id stays null; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +30,8 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 GROUP = 50_000
 END = struct.pack("<I", 0)
-MAX_WORDS = 1_200_000
+#: Bytes of words and ids that a worker remembers, about; longer words are looked up each time.
+MAX_BYTES, LONG = 240_000_000, 100
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: ASCII marks that the vocabulary's splitter keeps apart from letters before them; "'" and "<" can begin more.
 _MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^`{|}~"
@@ -41,24 +44,25 @@ class Words(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.held = Tokenizer.from_file(path), 0
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
         core = word.rstrip(_MARKS)
         text = core.decode()
-        if text.isalpha() and text.lower().isalpha():
-            low = text.lower()
-            if len(core) < len(word):
-                ids = self[core] + self[word[len(core) :]]
-            elif low != text and "Σ" not in text:
-                ids = self[low.encode()]
-            else:
-                ids = self.encoded(text)
+        # letters that the library's normaliser splits up or joins are left to it together with what follows them
+        plain = text.isalpha() and (low := text.lower()).isalpha() and "Σ" not in text and all(unicodedata.is_normalized("NFC", x) for x in (text, low))
+        if plain and len(core) < len(word):
+            ids = self[core] + self[word[len(core) :]]
+        elif plain and low != text:
+            ids = self[low.encode()]
         else:
             ids = self.encoded(word.decode())
-        self[word] = ids
+        if len(word) < LONG:
+            self.held += len(word) + len(ids) + 150
+            if self.held > MAX_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = ids
         return ids
 
     def encoded(self, text: str) -> bytes:
