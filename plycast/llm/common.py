@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,47 +18,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so that a lost executor costs no more than the step at hand.
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plycast-shared").rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only if there is none, as in tests.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder, so that a lost executor costs no more than the step at hand."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plycast-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared(spark))
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plycast-tables-")
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed. ``discard`` removes it."""
+    path = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[list[list]], Iterable[tuple]]) -> DataFrame:
-    """mapInArrow: ``rows`` gets a batch's columns as Python lists and gives tuples of ``schema``.
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes ``paths``, or else all tables of ``written``: for when results that read them have been stored."""
+    for path in paths or [_TABLES.pop() for _ in range(len(_TABLES))]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    It is called once per batch, then with None at the end of the partition.
-    """
+
+def map_batches(df: DataFrame, schema: str | StructType, batches: Callable[[Iterator[pa.RecordBatch]], Iterable[Iterable[tuple]]]) -> DataFrame:
+    """mapInArrow whose function gives lists of tuples of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches(it):
+            cols = list(zip(*found, strict=True))
+            if cols:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(out, schema)
+
+
+def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[list[list]], Iterable[tuple]]) -> DataFrame:
+    """mapInArrow: ``rows`` gets a batch's columns as Python lists and gives tuples of ``schema``."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[Iterable[tuple]]:
         for batch in it:
             # pieces of a batch, so that very long texts are not all held as Python objects at once
             for at in range(0, batch.num_rows, 1000):
-                yield from out(rows([c.to_pylist() for c in batch.slice(at, 1000).columns]))
+                yield rows([c.to_pylist() for c in batch.slice(at, 1000).columns])
 
-    def out(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-        cols = list(zip(*found, strict=True))
-        if cols:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
-    return df.mapInArrow(batches, schema)
+    return map_batches(df, schema, batches)
 
 
 def text_key(text: str = "text") -> Column:
@@ -71,8 +86,31 @@ def blank_null(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds __id and __key, never null, that are equal for rows of the same doc_id and text only."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__key": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), blank_null())})
+    """Each row whole as ``row``, so that no column of its own can clash with ours; __id and __key, never null, that are
+    equal for rows of the same doc_id and text only; and its text."""
+    d = docs.select(F.struct("*").alias("row"))
+    row, text = F.col("row.doc_id"), F.col("row.text")
+    key = F.xxhash64(row.isNull(), text.isNull(), F.coalesce(text, F.lit("")))
+    return d.select("row", F.coalesce(row.cast("long"), F.lit(-(1 << 63))).alias("__id"), key.alias("__key"), text.alias("text"))
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, those named with new values of the same type."""
+    return [(changed[f.name].cast(f.dataType) if f.name in changed else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema]
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner equality join with a ``right`` of one row per key that knows how many rows (``n``) of ``left`` have it.
+
+    Keys of more than a thousandth of these rows, fewer than a thousand keys at any size, are sent to the tasks, so the
+    rows of a hot key stay where they are; the others meet by a shuffle. ``left`` and ``right`` should be stored.
+    """
+    many = right.agg(F.max(n), F.sum(n)).first()
+    if not many[1] or many[0] * 1000 <= many[1]:
+        return left.join(right.drop(n), on)
+    hot, cold = right.filter(F.col(n) * 1000 > many[1]), right.filter(F.col(n) * 1000 <= many[1])
+    met = left.join(F.broadcast(hot.drop(n)), on)
+    return met.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.drop(n), on))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("b", "m").union(least.select("a", "m")).toDF("a", "b").filter("a <> b").distinct()

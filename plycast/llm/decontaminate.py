@@ -3,11 +3,11 @@
 Words are canonicalised: numbers, names (capitalised inside a sentence) and units (after a number) become typed
 placeholders, all other words their lower-case letters without outer punctuation. Windows of ``WINDOW`` canonical
 words of the documents are hash-joined to those of the benchmark. A match carries the values in the slots of both
-sides; along one alignment, each value of the item must stand for one value of the document, else the windows with
-that slot do not count. A document leaks an item if matching windows make up ``SHARE`` of the item's windows.
+sides; along one alignment, each value of the item must stand for one value of the document and the other way round,
+else the windows with that slot do not count. A document leaks an item if matching windows make up ``SHARE`` of the item's windows.
 
-A Bloom filter of fixed size, made from the benchmark, keeps most document windows from being shuffled at all; the
-join after it is exact and needs no broadcast.
+A Bloom filter, sized by the number of the benchmark's windows up to a fixed bound, keeps most document windows from
+being shuffled at all; the join after it is exact and needs no broadcast.
 
 Placeholders alone would miss copies of short items, where a first word may count as a name on one side only, and of items
 of numbers and names. Items of one window at most, or without a window of ``LITERALS`` words besides placeholders, are
@@ -15,7 +15,8 @@ therefore looked for by exact windows too: lower-case words without outer punctu
 
 Defined cases: null or short texts have no windows; an item of fewer than ``WINDOW`` words is one window of its own
 length, and one of fewer than ``LITERALS`` words is looked for word by word only; repeated rows (same doc_id and text) are one
-document; empty tables give an empty result. Other columns are not looked at.
+document; very long texts are windowed whole; an empty table on either side gives an empty result (``drop_contaminated``:
+all rows); other columns are not looked at and, whatever their names, kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plycast.llm.common import cut, map_rows, text_key
+from plycast.llm.common import cut, keyed, map_rows, unpacked
 
 WINDOW, LITERALS, SHARE = 8, 4, 0.5
-BITS = 1 << 25  # of the Bloom filter: 4 MB, whatever the benchmark
+#: Bits of the Bloom filter: 16 for each benchmark window, at least and at most so many (64 MB, for 33 million windows).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 _UNITS = frozenset("mm cm m km in ft mi mg g kg lb lbs oz ml l s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years metre metres meter meters kilometre kilometres kilometers mile miles foot feet inch inches gram grams kilogram kilograms kilograms pound pounds litre litres liter liters dollar dollars euro euros cent cents percent degree degrees mph kmh".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*[a-z%]{0,3}")
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 7)) for x in ("<number>", "<name>", "<unit>"))
@@ -100,8 +103,33 @@ def exact_windows(own: np.ndarray, size: int) -> np.ndarray:
     return windows(own, np.zeros(len(own), bool), size)[0] ^ _EXACT
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(BITS - 1)).astype(np.int64), (h >> np.uint64(38) & np.uint64(BITS - 1)).astype(np.int64)
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(34) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bloom_of(bench: DataFrame) -> np.ndarray:
+    """The filter's bytes, put together from parts of at most 64 KB that tasks have filled."""
+    bits = LEAST_BITS
+    n = bench.select("h").distinct().count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    at = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 34).bitwiseAND(bits - 1)))
+
+    def filled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in it:
+            x = np.unique(b.column(0).to_numpy())
+            for part in np.unique(x >> 19):
+                own = x[x >> 19 == part] & ((1 << 19) - 1)
+                np.bitwise_or.at(parts.setdefault(int(part), np.zeros(1 << 16, np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["part", "bytes"])
+
+    parts = bench.select(at.alias("bit")).distinct().repartition(F.shiftright("bit", 19)).select("bit").mapInArrow(filled, "part long, bytes binary")
+    bloom = np.zeros(bits // 8, np.uint8)
+    for part, held in parts.toLocalIterator():
+        own = bloom[part << 16 : (part + 1) << 16]
+        own |= np.frombuffer(held, np.uint8)[: len(own)]
+    return bloom
 
 
 def _values(words: list[str], slots: np.ndarray, at: int, size: int) -> list[str]:
@@ -132,10 +160,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
     """A row for each document and each item that it leaks; ``text_key`` tells apart texts under one doc_id."""
     bench = cut(benchmark_windows(items))
     sizes = [tuple(r) for r in bench.select("size", "exact").distinct().collect()]  # twice WINDOW values at most
-    at = F.explode(F.array(F.col("h").bitwiseAND(BITS - 1), F.shiftrightunsigned("h", 38).bitwiseAND(BITS - 1)))
-    filled = bench.select(at.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("v")).toPandas()
-    bloom = np.zeros(BITS // 8, np.uint8)
-    bloom[filled["byte"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64)
+    bloom = bloom_of(bench)
     held = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def rows(cols: list[list]) -> Iterator[tuple]:
@@ -148,19 +173,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
                 h, good = windows(tokens, slots, size) if not exact else (exact_windows(own, size), np.ones(max(len(own) - size + 1, 0), bool))
                 if not len(h):
                     continue
-                a, b = _bits(h)
+                a, b = _bits(h, 8 * len(bits))
                 good &= (bits[a >> 3] >> (a & 7).astype(np.uint8) & 1 > 0) & (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1 > 0)
                 for k in np.flatnonzero(good).tolist():
                     yield doc_id, key, k, int(h[k].astype(np.int64)), _values(words, held_in, k, size)
 
-    found = map_rows(docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text"), "doc_id long, text_key long, doc_at int, h long, doc_slots array<string>", rows)
+    own = keyed(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("__key").alias("text_key"), "text")
+    found = map_rows(own, "doc_id long, text_key long, doc_at int, h long, doc_slots array<string>", rows)
     both = found.join(bench, "h").filter(F.size("doc_slots") == F.size("item_slots")).withColumn("line", F.col("doc_at") - F.col("item_at")).distinct()
     both = cut(both)
     on = ["doc_id", "text_key", "item_id", "line"]
-    pairs = both.select(*on, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).groupBy(*on, F.col("s.item_slots").alias("slot"))
-    torn = pairs.agg(F.min("s.doc_slots").alias("a"), F.max("s.doc_slots").alias("b")).filter("a <> b").groupBy(*on).agg(F.collect_set("slot").alias("torn"))
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in on]
-    good = both.alias("b").join(torn.alias("t"), same, "left").filter("torn is null or not arrays_overlap(item_slots, torn)").select("b.*")
+    # one value on either side for each value on the other
+    pairs = both.select(*on, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*on, F.col("s.item_slots").alias("item"), F.col("s.doc_slots").alias("doc")).distinct()
+    good = both
+    for own, other, slots in (("item", "doc", "item_slots"), ("doc", "item", "doc_slots")):
+        torn = pairs.groupBy(*on, own).agg(F.count(other).alias("n")).filter("n > 1").groupBy(*on).agg(F.collect_set(own).alias("torn"))
+        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in on]
+        good = good.alias("b").join(torn.alias("t"), same, "left").filter(f"torn is null or not arrays_overlap({slots}, torn)").select("b.*")
     hits = good.groupBy("doc_id", "text_key", "item_id").agg(
         F.countDistinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.min("doc_at").cast("long").alias("first_word"),
         (F.max(F.col("doc_at") + F.col("size"))).cast("long").alias("end_word"), F.count_distinct(F.when(F.size("item_slots") > 0, F.col("item_at"))).alias("n_slotted"))
@@ -169,6 +198,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that leak no item, with the same columns."""
-    bad = decontaminate(docs, items, share).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    d = docs.withColumn("__text_key", text_key())
-    return d.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
+    bad = decontaminate(docs, items, share).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return keyed(docs).join(bad, ["__id", "__key"], "left_anti").select(*unpacked(docs))

@@ -12,10 +12,8 @@ from plycast.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select(
-        F.col("doc_id").cast("long"), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__runs").cast("long").alias("n_runs"),
-        F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

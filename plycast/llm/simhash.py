@@ -7,7 +7,9 @@ keeps a pair at one key only: at its first segment with at most one differing bi
 fingerprints take part, so copies cost nothing; links become components by star contraction.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows get equal results; a
-component of null doc_ids only has a null component_id; an empty table gives an empty table.
+component of null doc_ids only has a null component_id; of the rows that tie for a component's smallest doc_id
+``keep_one`` keeps one, the same one each time; a very long text is read whole, its shingles hashed one after another;
+columns of any name are kept as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plycast.llm.common import components, cut, keyed, map_rows
+from plycast.llm.common import components, cut, keyed, map_rows, spread_join, unpacked
 
 SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -46,7 +48,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, __id, __key and fp (as a signed number) for each row."""
-    own = keyed(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "__id", "__key", "text")
+    own = keyed(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "__id", "__key", "text")
 
     def rows(cols: list[list]) -> Iterator[tuple]:
         for doc_id, row, key, text in zip(*cols, strict=True):
@@ -84,11 +86,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = BITS) -> D
     """For each row doc_id, __id, __key, fp, component_id (the smallest doc_id that links reach) and root (the component's smallest fp)."""
     own = cut(fingerprints(docs, size))
     roots = components(links(own, most))
-    of_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = of_fp.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.select("fp", "root").join(ids, "root")
-    return own.join(known, "fp")
+    of_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    named = cut(of_fp.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    known = cut(spread_join(named.select("fp", "copies", "root"), ids, ["root"], "n"))
+    return spread_join(own, known, ["fp"], "copies")
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:
@@ -100,6 +102,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, most: int = BITS) -> DataFram
     """One row of each component stays: the one of the smallest doc_id (then text key), once if it is repeated."""
     own = near_duplicates(docs, size, most)
     kept = own.groupBy("root").agg(F.min(F.struct("__id", "__key")).alias("k")).select("k.*")
-    found = keyed(docs).join(kept, ["__id", "__key"])
-    again = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(0)))
-    return found.withColumn("__n", again).filter("__n = 1").select(*docs.columns)
+    again = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.xxhash64(*(f"row.`{c}`" for c in _hashable(docs)))))
+    return keyed(docs).join(kept, ["__id", "__key"]).withColumn("copy", again).filter("copy = 1").select(*unpacked(docs))
+
+
+def _hashable(docs: DataFrame) -> list[str]:
+    return [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]

@@ -10,14 +10,16 @@ are compared together:
    anchors met once are not. What is left shares its anchor with others that own different text.
 3. Of those, the owned text is fetched and sorted, the part from the anchor on and the reversed part before it: deep-
    shallow sorting, multikey quicksort for the first ``SHALLOW`` bytes and a blind trie for groups that agree so far.
-   The common prefixes of neighbours tell, for each window, whether another one equals it. Of a group above ``GROUP``
-   members the windows are counted by their hash instead, spread over all tasks; that is exact as well.
+   The common prefixes of neighbours tell, for each window, whether another one equals it. A hot anchor, one of more
+   than ``GROUP`` different owned texts, is split before its texts are fetched: its windows are dealt by their hash over
+   all tasks and counted, so no task sorts a group that grows with the corpus.
 
-Each document's covered bytes are then cut out. Equality of owned texts and of windows in large groups is that of two
+Each document's covered bytes are then cut out. Equality of owned texts and of a hot anchor's windows is that of two
 independent 64-bit hashes.
 
 Defined cases: null text is empty; a text under ``LENGTH`` bytes has no match; two rows of equal text are two documents,
-so both lose all windows; overlapping matches in one document count; an empty table gives an empty table.
+so both lose all windows (there is no tie to break); overlapping matches in one document count; very long texts are read
+in blocks of ``BLOCK`` bytes; columns other than doc_id and text are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plycast.llm.common import blank_null, cut, keyed, map_rows, written
+from plycast.llm.common import blank_null, cut, keyed, map_batches, map_rows, spread_join, written
 
-LENGTH, GRAM, SHALLOW, GROUP, FEW = 200, 24, 32, 20_000, 6
+LENGTH, GRAM, SHALLOW, GROUP = 200, 24, 32, 20_000
 WIDTH = LENGTH - GRAM + 1  # places for an anchor in a window
 BLOCK = 1 << 23
 SEEN = 400_000  # owned texts that a task remembers at once
+MAX_SENT = 50_000  # hot anchors that are sent to all tasks
 _PLACE = np.uint64((1 << 24) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
@@ -251,16 +254,6 @@ def repeated_windows(members: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     back = np.array([x[1] for x in members])
     more = np.array([x[2] for x in members])
     found = [np.zeros(x[2] + 1, bool) for x in members]
-    if len(members) <= FEW:  # too few to be worth sorting: each with each
-        for i in range(len(members)):
-            for j in range(i):
-                (_, bi, mi), (_, bj, mj) = members[i], members[j]
-                lo, hi = max(-_common(left[i], left[j]), -bi, -bj), min(mi - bi, mj - bj)
-                if lo <= hi and right[i][: LENGTH + lo] == right[j][: LENGTH + lo]:
-                    hi = min(hi, _common(right[i], right[j]) - LENGTH)
-                    found[i][lo + bi : hi + bi + 1] = True
-                    found[j][lo + bj : hi + bj + 1] = True
-        return found
     ranks = []
     for texts in (right, left):
         order, lcp = deep_shallow(texts)
@@ -288,82 +281,87 @@ def repeated_windows(members: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     return found
 
 
-FOUND = "h long, window long, __id long, __key long, start long, stop long"
-
-
-def _third_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of h. Out: covered bytes, or for large groups one row per window (stop 0)."""
+def _third_pass(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows in order of h. Out: covered bytes."""
     group: list[tuple] = []
-    h, large = None, False
     out: list[tuple] = []
 
-    def windows(x: tuple) -> None:
-        _, kind, row, key, at, data = x
-        place, back, more = _unpack(at)
-        for k in range(more + 1):
-            w = xxhash.xxh64_intdigest(data[k : k + LENGTH], 1)
-            out.append((x[0], w - (1 << 64) if w >> 63 else w, row, key, place - back + k, -kind))
-
     def close() -> None:
-        if large:
-            for x in group:
-                windows(x)
-        elif len(group) > 1:
-            marks = repeated_windows([(x[5], *_unpack(x[4])[1:]) for x in group])
-            for x, mark in zip(group, marks, strict=True):
-                if x[1] != ONCE:
-                    continue
-                place, back, _ = _unpack(x[4])
-                on = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-                out.extend((0, 0, x[2], x[3], place - back + a, place - back + z - 1 + LENGTH) for a, z in zip(on[::2].tolist(), on[1::2].tolist(), strict=True))
+        marks = repeated_windows([(x[5], *_unpack(x[4])[1:]) for x in group]) if len(group) > 1 else []
+        for x, mark in zip(group, marks, strict=False):
+            if x[1] != ONCE:
+                continue
+            place, back, _ = _unpack(x[4])
+            on = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
+            out.extend((x[2], x[3], place - back + a, place - back + z - 1 + LENGTH) for a, z in zip(on[::2].tolist(), on[1::2].tolist(), strict=True))
         group.clear()
 
-    def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "window", "__id", "__key", "start", "stop"])
-
     for b in it:
         for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if x[0] != h:
+            if group and x[0] != group[0][0]:
                 close()
-                h, large = x[0], False
             group.append(x)
-            if len(group) > GROUP:
-                large = True
-            if large:
-                close()
-            if len(out) > 100_000:
-                yield batch()
+        if len(out) > 100_000:
+            yield out
+            out = []
     close()
-    yield batch()
+    yield out
+
+
+SPANS = "__id long, __key long, start long, stop long"
+
+
+def _owned(data: bytes, at: int) -> bytes:
+    place, back, more = _unpack(at)
+    return data[place - back : place - back + more + LENGTH]
 
 
 def covered(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """__id, __key, start and stop of byte runs that repeat; they may overlap. ``texts`` has __id, __key and text."""
-    rows = keyed(docs.select("doc_id", "text")).select("__id", "__key", blank_null().alias("text")).mapInArrow(_first_pass, ROWS)
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    met = rows.repartition(int(parts), "h").sortWithinPartitions("h", "own").mapInArrow(_second_pass, "kind int, h long, __id long, __key long, at long")
+    met = texts.mapInArrow(_first_pass, ROWS).repartition("h").sortWithinPartitions("h", "own").mapInArrow(_second_pass, "kind int, h long, __id long, __key long, at long")
     met = written(met)
     place, back, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     whole = met.filter(F.col("kind") == DECIDED).select("__id", "__key", (place - back).alias("start"), (place - back + more + LENGTH).alias("stop"))
-    look = met.filter(F.col("kind") != DECIDED).groupBy("__id", "__key").agg(F.collect_list(F.struct("kind", "h", "at")).alias("look"))
+    look = met.filter(F.col("kind") != DECIDED)
+    hot = cut(look.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).drop("n"))  # a row for GROUP others at most
+    some = hot.count()
+    if some:
+        hot = F.broadcast(hot) if some <= MAX_SENT else hot
+        spread = _windows(look.join(hot, "h", "left_semi"), texts)
+        look = look.join(hot, "h", "left_anti")
 
     def owned(cols: list[list]) -> Iterator[tuple]:
-        for row, key, text, some in zip(*cols, strict=True):
+        for row, key, text, own in zip(*cols, strict=True):
+            data = text.encode()
+            for x in own:
+                yield x["h"], x["kind"], row, key, x["at"], _owned(data, x["at"])
+
+    fetched = map_rows(_with_text(look, texts), "h long, kind int, __id long, __key long, at long, data binary", owned)
+    small = map_batches(fetched.repartition("h").sortWithinPartitions("h", "__id", "__key", "at"), SPANS, _third_pass)
+    return whole.union(small).union(spread) if some else whole.union(small)
+
+
+def _with_text(look: DataFrame, texts: DataFrame) -> DataFrame:
+    own = look.groupBy("__id", "__key").agg(F.collect_list(F.struct("kind", "h", "at")).alias("look"))
+    # copies of a text in one document's rows are one
+    return texts.join(own, ["__id", "__key"]).select("__id", "__key", "text", "look")
+
+
+def _windows(look: DataFrame, texts: DataFrame) -> DataFrame:
+    """The windows of hot anchors, each dealt by its hash, that another one equals."""
+
+    def each(cols: list[list]) -> Iterator[tuple]:
+        for row, key, text, own in zip(*cols, strict=True):
             data = text.encode()
-            for x in some:
-                spot, b, m = _unpack(x["at"])
-                yield x["h"], x["kind"], row, key, x["at"], data[spot - b : spot - b + m + LENGTH]
-
-    fetched = map_rows(texts.join(look, ["__id", "__key"]).select("__id", "__key", "text", "look"), "h long, kind int, __id long, __key long, at long, data binary", owned)
-    fetched = fetched.repartition(int(parts), "h").sortWithinPartitions("h", "__id", "__key", "at")
-    solved = cut(fetched.mapInArrow(_third_pass, FOUND))
-    small = solved.filter("stop > 0").select("__id", "__key", "start", "stop")
-    large = solved.filter("stop <= 0")
-    often = large.groupBy("h", "window").agg(F.count("*").alias("n"), F.min("stop").alias("kind")).filter(f"n > 1 or kind = -{AGAIN}").select("h", "window")
-    single = large.join(often, ["h", "window"]).select("__id", "__key", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.union(small).union(single)
+            for x in own:
+                (spot, back, more), part = _unpack(x["at"]), _owned(data, x["at"])
+                for k in range(more + 1):
+                    w = xxhash.xxh64_intdigest(part[k : k + LENGTH], 1)
+                    yield x["h"], w - (1 << 64) if w >> 63 else w, row, key, spot - back + k, x["kind"]
+
+    every = written(map_rows(_with_text(look, texts), "h long, window long, __id long, __key long, start long, kind int", each))
+    often = cut(every.groupBy("h", "window").agg(F.count("*").alias("n"), F.max("kind").alias("most")).filter(f"n > 1 or most = {AGAIN}").drop("most"))
+    return spread_join(every, often, ["h", "window"], "n").select("__id", "__key", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
