@@ -35,16 +35,21 @@ _TABLES: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed. ``discard`` removes it."""
+    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed. ``made`` names it."""
     path = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made(before: int = 0) -> list[str]:
+    """Paths of the tables that ``written`` has stored, but for the first ``before``."""
+    return _TABLES[before:]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Removes ``paths``, or else all tables of ``written``: for when results that read them have been stored."""
-    for path in paths or [_TABLES.pop() for _ in range(len(_TABLES))]:
+    """Removes tables: for when results that read them have been stored."""
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
