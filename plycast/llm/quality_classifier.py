@@ -6,7 +6,9 @@ unlabelled share of a set can fall below the positive share of it. Every documen
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from; doc_id, labels, lang and source are no inputs
 of a score. Defined cases: a null or empty text has zero word features and gets the score of such a text; a null
-doc_id is not held out; repeated rows get equal results; without positives the score is 0.5 everywhere.
+doc_id is not held out; repeated rows get equal results and are one row of a sample; samples order rows by a hash of
+doc_id, so ties do not depend on partitions; a very long text is read whole; columns other than doc_id and text are not
+looked at; without positives the score is 0.5 everywhere; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -62,22 +64,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def risk(pos: np.ndarray, unl: np.ndarray, w: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of the logistic loss."""
+    loss = lambda z: np.logaddexp(0, z).mean()
+    return prior * loss(-(pos @ w)) + max(0.0, loss(unl @ w) - prior * loss(pos @ w))
+
+
+def gradient(pos: np.ndarray, unl: np.ndarray, w: np.ndarray, prior: float | None) -> np.ndarray:
+    """The risk's descent direction: its gradient, or, where the share of negatives would fall below 0, the way back up
+    from there. With prior None, that of plain logistic regression of positives against unlabelled."""
+    zp, zu = pos @ w, unl @ w
+    up, uu = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    good, bad, rest = pos.T @ (up - 1) / len(pos), pos.T @ up / len(pos), unl.T @ uu / len(unl)  # of R_P(+), R_P(-), R_U(-)
+    if prior is None:
+        return good + rest
+    loss = lambda z: np.logaddexp(0, z).mean()
+    return prior * good + rest - prior * bad if loss(zu) >= prior * loss(zp) else prior * bad - rest
+
+
 def _risk_fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
-    """Adam on the non-negative risk; with prior None, plain logistic regression of positives against unlabelled."""
+    """Adam on ``gradient``."""
     w, m, v = np.zeros(pos.shape[1]), 0.0, 0.0
     for t in range(1, steps + 1):
-        zp, zu = pos @ w, unl @ w
-        up = 1 / (1 + np.exp(-np.clip(zp, -30, 30)))
-        uu = 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        good = pos.T @ (up - 1) / len(pos)  # gradient of R_P(+)
-        bad = pos.T @ up / len(pos)  # of R_P(-)
-        rest = unl.T @ uu / len(unl)  # of R_U(-)
-        if prior is None:
-            g = good + rest
-        else:
-            soft = lambda z: np.logaddexp(0, z).mean()
-            g = prior * good + rest - prior * bad if soft(zu) >= prior * soft(zp) else prior * bad - rest
-        g = g + ridge * w
+        g = gradient(pos, unl, w, prior) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w

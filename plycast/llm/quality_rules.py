@@ -4,9 +4,10 @@ The method is the hashed n-gram log-likelihood ratio: word uni- and bigrams fall
 one multinomial is counted over trusted documents and one over all documents; a document's score is the mean
 log ratio over its n-grams, and a fixed threshold decides every document.
 
-Defined cases: null text has no words and fails the base rules; repeated rows each get their own equal result;
-an empty table gives an empty table; without trusted documents both multinomials are flat and only the base rules
-decide. Other columns of the input are not looked at.
+Defined cases: null and empty texts have no words and fail the base rules; repeated rows each get their own equal
+result and count each; a ratio equal to the threshold is kept; a very long text is read whole, in time n log n; without
+trusted documents both multinomials are flat and only the base rules decide; columns other than doc_id and text are not
+looked at and, whatever their names, kept by ``keep_good``; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -215,6 +215,66 @@ def test_decontamination_finds_copies_of_numbers_and_short_items(spark):
     assert got == {(k, k) for k in range(4)}
 
 
+def canonical_by_hand(text):
+    out, after_number, start = [], False, True
+    for w in (text or "").split():
+        core = w.strip(decontaminate._OUTER)
+        if not core:
+            continue
+        low = core.lower()
+        number = bool(re.fullmatch(r"[+-]?\d[\d.,:/]*[a-z%]{0,3}", low))
+        unit = low in decontaminate._UNITS and after_number
+        name = not number and not unit and not start and core[0].isupper() and core[1:].islower()
+        out.append(("<number>" if number else "<unit>" if unit else "<name>" if name else low, number or unit or name, low))
+        after_number, start = number, w.rstrip("\"')»“”’")[-1:] in tuple(".!?:…")
+    return out
+
+
+def leaks_by_hand(doc, item, share=0.5):
+    d, q = canonical_by_hand(doc), canonical_by_hand(item)
+    size = min(8, len(q))
+    if not size:
+        return False
+    spans = lambda x: range(len(x) - size + 1)
+    plain = lambda x, at: sum(not t[1] for t in x[at : at + size]) >= min(4, size)
+    own = [at for at in spans(q) if size >= 4 and plain(q, at)]
+    matched, total = set(), 0
+    for line in range(-len(q), len(d)):
+        met = [at for at in own if 0 <= at + line <= len(d) - size and [t[0] for t in q[at : at + size]] == [t[0] for t in d[at + line : at + line + size]]]
+        pairs = {(q[k][2].strip(decontaminate._OUTER), d[k + line][2]) for at in met for k in range(at, at + size) if q[k][1]}
+        a, b = collections.Counter(x for x, _ in pairs), collections.Counter(y for _, y in pairs)
+        fine = [at for at in met if all(a[q[k][2]] == 1 == b[d[k + line][2]] for k in range(at, at + size) if q[k][1])]
+        if fine:
+            matched.update(fine)
+            total = max(total, len(own))
+    if not own or len(spans(q)) == 1:
+        for at in spans(q):
+            if any([t[2] for t in q[at : at + size]] == [t[2] for t in d[x : x + size]] for x in spans(d)):
+                matched.add(at)
+                total = max(total, len(spans(q)))
+    return bool(matched) and len(matched) >= share * total
+
+
+def test_decontamination_against_brute_force(spark):
+    """Questions with other numbers, names and units, whole, cut, torn and among other words."""
+    r = random.Random(31)
+    stems = ["when {n} walked {a} {u} from the old mill and {m} walked {b} {u} how far were {n} and {m} apart then", "a box of {a} {u} costs as much as {b} others and {n} buys {c} of them for the whole house", "{a} + {b} = {c}", "who wrote to {n} then", "{n} {m} {a} {b} {c} {n} {m} {a} {b} {c} went"]
+    fill = lambda t: t.format(n=r.choice(["Anna", "Bob", "Cleo"]), m=r.choice(["Dora", "Emil", "Anna"]), u=r.choice(["km", "kg", "hours"]), a=r.randint(1, 9), b=r.randint(1, 9), c=r.randint(1, 99))
+    questions = list(enumerate(fill(r.choice(stems)) for _ in range(14)))
+    rows = []
+    for k in range(160):
+        words = fill(r.choice(stems)).split()
+        if r.random() < 0.3:
+            words = words[r.randint(0, 5) :]
+        if r.random() < 0.3:
+            words[r.randrange(len(words))] = r.choice(["7", "Bob", "kg", "mill"])
+        rows.append((k, " ".join([prose(500 + k, r.randint(0, 6)), r.choice(["", "So.", "Then"]), *words, prose(800 + k, r.randint(0, 6))])))
+    rows += [(200 + i, t) for i, t in questions]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(questions, "item_id long, text string")).collect()}
+    want = {(i, j) for i, t in rows for j, q in questions if leaks_by_hand(t, q)}
+    assert got == want and len([1 for i, _ in want if i < 200]) > 10
+
+
 def test_decontamination_asks_for_consistent_slots(spark):
     item = spark.createDataFrame([(1, "give 7 apples to the tall man and 7 pears to the small boy near the gate")], "item_id long, text string")
     same, torn = (f"give {a} apples to the tall man and {b} pears to the small boy near the gate" for a, b in ((9, 9), (9, 4)))
@@ -242,7 +302,13 @@ def test_quality_rules(docs, empty, held):
     b, s = quality_rules.BUCKETS, quality_rules.SMOOTH
     trusted = {r[0] for r in ids.collect()}
     raw, target = np.zeros(b), np.zeros(b)
-    buckets = [quality_rules.ngram_buckets((t or "").encode().split()) for _, t in held]
+
+    def by_hand(t):
+        w = [zlib.crc32(x) for x in (t or "").encode().split()]
+        two = [((a * 0x9E3779B97F4A7C15 + c) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 48 for a, c in zip(w, w[1:])]
+        return np.array([x % 65536 for x in w] + two, np.int64)
+
+    buckets = [by_hand(t) for _, t in held]
     for (i, _), x in zip(held, buckets, strict=True):
         np.add.at(raw, x, 1)
         if i in trusted:
@@ -455,6 +521,39 @@ def test_quality_classifier(spark, docs, empty):
     assert {r.score for r in quality_classifier.quality_classifier(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_risk_and_its_gradient():
+    r = np.random.default_rng(3)
+    pos, unl, w = r.normal(0.5, 1, (60, 7)), r.normal(0, 1, (90, 7)), r.normal(0, 0.3, 7)
+    plain = 0.4 * np.mean([np.log1p(np.exp(-x @ w)) for x in pos]) + max(0, np.mean([np.log1p(np.exp(x @ w)) for x in unl]) - 0.4 * np.mean([np.log1p(np.exp(x @ w)) for x in pos]))
+    assert abs(quality_classifier.risk(pos, unl, w, 0.4) - plain) < 1e-12
+    step = np.eye(7) * 1e-6
+    slope = [(quality_classifier.risk(pos, unl, w + e, 0.4) - quality_classifier.risk(pos, unl, w - e, 0.4)) / 2e-6 for e in step]
+    assert np.allclose(quality_classifier.gradient(pos, unl, w, 0.4), slope, atol=1e-6)
+    # where the negatives' part is below 0, the step leads back up
+    far = np.full(7, 3.0)
+    part = lambda v: np.logaddexp(0, unl @ v).mean() - 0.99 * np.logaddexp(0, pos @ v).mean()
+    assert part(far) < 0 and np.allclose(quality_classifier.gradient(pos, unl, far, 0.99), [-(part(far + e) - part(far - e)) / 2e-6 for e in step], atol=1e-5)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_the_prior_is_found(prior):
+    r = np.random.default_rng(4)
+    one = lambda n, m: np.hstack([r.normal(m, 1, (n, 4)), np.ones((n, 1))])
+    unl = np.vstack([one(int(4000 * prior), 1.5), one(4000 - int(4000 * prior), -1.5)])
+    assert abs(quality_classifier.estimate_prior(one(2000, 1.5), unl[r.permutation(4000)]) - prior) < 0.08
+
+
+def test_held_out_accuracy(spark):
+    from pathlib import Path
+
+    d = "/root/testdata/sf0.01"
+    if not Path(d).is_dir():
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality").distinct()
+    got = quality_classifier.quality_classifier(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).filter("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 50 and np.mean([x.predicted == x.quality for x in got]) > 0.95
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -482,7 +581,9 @@ def test_pii(spark, docs, empty, held):
         want[(i, *(sum(k == x for x, *_ in b) for k in KINDS), hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in b).encode()).hexdigest())] += 1
     got = pii.pii(d).collect()
     assert collections.Counter(tuple(r)[:6] for r in got) == want
-    assert pii.pii(empty).count() == 0
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got)
+    assert pii.pii(empty).count() == 0 == pii.redact(empty).count()
+    assert pii.redact(docs).columns == docs.columns and {r["__id"] for r in pii.redact(docs).collect()} == {"x"}
     text = pii.redact(d.filter("doc_id = 903")).first().text
     assert text == "[card], é😀 [email] [phone]."
 
@@ -513,6 +614,65 @@ def test_terms_anywhere_give_a_group_away(spark):
     assert text == {i: re.sub("zanzibar", "[term]", re.sub(r"p\d+@corp\.example\.org", "[email]", t), flags=re.I) for i, t in rows}
 
 
+def terms_by_hand(texts):
+    """Disclosing terms of different texts, from counts of whole documents."""
+    letters = r"[^\W\d_]{4,}"
+    d_e, d_t, d_et = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        entities = set()
+        for kind, a, z in base_of(t):
+            v = re.sub("[^0-9]", "", t[a:z]) if kind in ("card", "phone") else t[a:z].lower()
+            group = {"email": v.split("@")[-1], "ip": v.rpartition(".")[0], "card": v[:6], "phone": v[:4]}[kind]
+            entities |= {(kind, "value", v), (kind, "group", group), (kind, "kind")}
+        secret = [m[0] for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}", t) if len(re.sub("[^0-9]", "", m[0])) >= 4 and len(re.sub("[^A-Za-z]", "", m[0])) >= 2]
+        entities |= {("secret", "value", x.lower()) for x in secret} | ({("secret", "group", ""), ("secret", "kind")} if secret else set())
+        rest = re.sub(r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}", " ", re.sub(KINDS["email"], " ", t))
+        terms = {x.lower() for x in re.findall(letters, rest)}
+        d_e.update(entities)
+        d_t.update(terms)
+        for e in entities:
+            for x in terms:
+                d_et[e, x].add(k)
+    out, n = set(), len(texts)
+    for (e, x), ks in d_et.items():
+        pmi = np.log(n * len(ks) / (d_e[e] * d_t[x]))
+        if len(ks) >= pii.SUPPORT and pmi > 0 and pmi >= pii.DISCLOSE * np.log(n / d_e[e]) - 1e-12 and len(ks) * pmi >= pii.EVIDENCE:
+            out.add(x)
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    """Names planted beside an address, a network and a secret: all are found, and nothing that the counts do not give."""
+    r = random.Random(17)
+    names = ["".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(4)) + "x" for _ in range(30)]
+    texts = []
+    for k in range(700):
+        t = [prose(5000 + k, r.randint(3, 30)), f"case {k}"]
+        if k < 180:
+            who = names[k % 30]
+            t[1:1] = [r.choice([who, who.title(), who.upper()]), prose(9000 + k, r.randint(0, 20)), (f"{who[:3]}{k % 3}@mail{k % 30}.example.org", f"10.{k % 30}.7.{k}", f"{k % 30:02d}" + hashlib.md5(str(k % 30).encode()).hexdigest())[k % 30 % 3]]
+        texts.append(" ".join(t))
+    want = terms_by_hand(texts)
+    assert len(want & set(names)) >= 0.9 * len(names)
+    d = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in pii.pii(d).collect()}
+    for k, t in enumerate(texts):
+        found = [t[int(a) : int(z)].lower() for kind, a, z in (x.split(":") for x in got[k].split(",") if x) if kind == "term"]
+        hidden = [m.span() for p in (KINDS["email"], r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}") for m in re.finditer(p, t)]
+        assert found == [m[0].lower() for m in re.finditer(r"[^\W\d_]{4,}", t) if m[0].lower() in want and not any(a < m.end() and m.start() < z for a, z in hidden)], k
+    redacted = {x.doc_id: x.text.lower() for x in pii.redact(d).collect()}
+    assert not any(x in re.findall(r"[^\W\d_]{4,}", redacted[k]) for k in range(180) for x in want & set(names))
+
+
+def test_a_long_text_of_matches_takes_little_time(spark):
+    t = "4111 1111 1111 1111, " * 15000 + "a@b.co " * 15000 + "12 345 " * 50000
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    began = time.time()
+    r = pii.pii(d).first()
+    assert (r.n_card, r.n_email) == (15000, 15000) and time.time() - began < 40
+    assert pii.redact(d).first().text == "[card], " * 15000 + "[email] " * 15000 + "12 345 " * 50000
+
+
 def test_an_entity_of_every_document_is_not_given_away(spark):
     d = spark.createDataFrame([(i, f"{prose(i, 6)} report p{i}@corp.example.org") for i in range(6)], "doc_id long, text string")
     assert all(r.spans.startswith("email") and "term" not in r.spans for r in pii.pii(d).collect())
@@ -530,6 +690,22 @@ def test_pipeline_keeps_columns(spark, small):
     assert corpus_pipeline.run(spark, small).count() == out.count()
 
 
+def test_stages_take_odd_tables(docs, empty, small):
+    """Nulls in every column, empty texts, repeated rows and clashing names go through each stage; so does an empty table."""
+    import corpus_pipeline
+
+    d = docs.union(docs.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(docs.sparkSession, d, small)
+        got = out.collect()
+        assert stage(docs.sparkSession, empty, small).count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == d.columns
+            assert all(r["__id"] in ("x", None) and r["spans"] in ("x", None) for r in got)
+        n = {"quality_rules": lambda: len(got) < d.count(), "line_dedup": lambda: len(got) == d.count(), "simhash_near_dedup": lambda: len({r.text or "" for r in got}) == len(got), "decontamination": lambda: len(got) == d.count(), "best_fit_packing": lambda: len(got) >= d.count()}
+        assert n[name](), name
+
+
 def test_sql_gives_the_same(spark, small):
     import duckdb
 
