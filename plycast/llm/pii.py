@@ -191,7 +191,9 @@ def disclosing(docs: DataFrame) -> DataFrame:
     some = written(some.select("__id", "__key", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))).filter(_SOME)
     entities = cut(_entities(some))
     words = written(some.select("__id", "__key", _terms(F.col("text")).alias("terms")).dropDuplicates(["__id", "__key"]))
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("d_e"))
+    # entities of fewer documents can have no support, and need no pairs
+    of_entity = cut(entities.groupBy("entity").agg(F.count("*").alias("d_e")).filter(F.col("d_e") >= SUPPORT))
+    entities = entities.join(of_entity.select("entity"), "entity", "left_semi")
     # a term stands in as many documents at least as it does beside entities; pairs that fail on that alone need no count
     beside = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("d_least"))
     pmi = lambda d_t: F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col(d_t)))
