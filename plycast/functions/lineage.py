@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plycast-shared").rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's ``spark.checkpoint.dir``, which all executors share; our own folder only if none is set."""
+    """A checkpoint in the session's ``spark.checkpoint.dir``, which all executors share, or in the warehouse if none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plycast-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared(spark))
     return df.checkpoint(eager=True)

@@ -78,17 +78,23 @@ def grid_to_placement(labels: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, compress(F.array_join(F.col("x.p"), "")).alias("placement"))
 
 
+def pieces(board: Column) -> Column:
+    """White: Ke1, Qd1, ..., pawns a2 b2 and the same for Black; (none) for a side without pieces. No row leaves its place."""
+    man = lambda i: F.substring(board, i + 1, F.lit(1))
+    there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: man(i) != ".")
+    men = F.array_sort(F.transform(there, lambda i: F.struct(F.call_function("locate", man(i), F.lit("KQRBNPkqrbnp")).alias("k"), square_name(i).alias("s"))))
+
+    def side(x: Column, first: int) -> Column:
+        own = F.transform(F.filter(x, lambda p: p["k"].between(first, first + 4)), lambda p: F.concat(F.substring(F.lit("KQRBN"), p["k"] - first + 1, F.lit(1)), p["s"]))
+        pawns = F.transform(F.filter(x, lambda p: p["k"] == first + 5), lambda p: p["s"])
+        text = F.concat_ws(", ", F.when(F.size(own) > 0, F.array_join(own, ", ")), F.when(F.size(pawns) > 0, F.concat(F.lit("pawns "), F.array_join(pawns, " "))))
+        return F.when(text == "", "(none)").otherwise(text)
+
+    return F.transform(F.array(men), lambda x: F.concat(F.lit("White: "), side(x, 1), F.lit("\nBlack: "), side(x, 7)))[0]
+
+
 def piece_list(df: DataFrame, *keys: str) -> DataFrame:
-    """White: Ke1, Qd1, ..., pawns a2 b2 and the same for Black; (none) for a side without pieces."""
-    sq = squares(df, *keys).withColumn("color", F.when(F.col("piece") == F.upper("piece"), "White").otherwise("Black"))
-    kind = F.call_function("locate", F.lower("piece"), F.lit("kqrbnp"))
-    by = sq.groupBy(*keys, "color").agg(F.array_sort(F.collect_list(F.struct(kind.alias("k"), F.col("square").alias("s")))).alias("x"))
-    men = F.transform(F.filter("x", lambda p: p["k"] < 6), lambda p: F.concat(F.substring(F.lit("KQRBN"), p["k"], F.lit(1)), p["s"]))
-    pawns = F.transform(F.filter("x", lambda p: p["k"] == 6), lambda p: p["s"])
-    text = F.array_join(F.concat(men, F.when(F.size(pawns) > 0, F.array(F.concat(F.lit("pawns "), F.array_join(pawns, " ")))).otherwise(F.array().cast("array<string>"))), ", ")
-    sides = by.select(*keys, "color", text.alias("t")).groupBy(*keys).agg(F.max(F.when(F.col("color") == "White", F.col("t"))).alias("w"), F.max(F.when(F.col("color") == "Black", F.col("t"))).alias("b"))
-    none = F.lit("(none)")
-    return df.select(*keys).distinct().join(sides, list(keys), "left").select(*keys, F.concat(F.lit("White: "), F.coalesce("w", none), F.lit("\nBlack: "), F.coalesce("b", none)).alias("pieces"))
+    return df.select(*keys, pieces(F.col("board")).alias("pieces"))
 
 
 def possible_castling(board: Column) -> Column:

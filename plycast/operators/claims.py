@@ -10,7 +10,6 @@ DEFINITE = r"(?U)\b(O-O(?:-O)?|[KQRBN][a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?|[a-h]
 NUMBERED_PAWN = r"(?U)\b\d+\.(?:\.\.)?\s*([a-h][1-8])(?!\s*=)\b"
 PLACEMENT = r"(?Ui)\b(king|queen|rook|bishop|knight|pawn)s?\s+(?:on|at)\s+([a-h][1-8])\b"
 MATE = r"(?Ui)\b(checkmate|mate in \w+|mated|#)\b"
-STRICT_MATE = r"(?Ui)(\bcheckmates?\b|\bmate in \w+|\bmated\b|#)"
 
 # Words by which a text names a theme (fixed values).
 THEME_WORDS = {

@@ -15,14 +15,14 @@ DATA_URL = "^data:(image/(?:png|jpeg|webp));base64,([A-Za-z0-9+/=]+)$"
 def engine_log(df: DataFrame, line: str = "line") -> DataFrame:
     """Adds multipv, depth, cp, mate and pv of ``info`` lines; other lines, bounds and lines without a depth go.
     Tokens are matched whole, so seldepth is not depth."""
-    t = df.filter(F.startswith(line, F.lit("info ")) & F.contains(line, F.lit(" pv "))).withColumn("__t", F.split(line, r"\s+"))
-    t = t.filter(~F.array_contains("__t", "lowerbound") & ~F.array_contains("__t", "upperbound"))
-    at = lambda k: F.array_position("__t", F.lit(k)).cast("int")
-    num = lambda k: F.when(at(k) > 0, F.get("__t", at(k)).try_cast("int"))
-    kind = F.when(at("score") > 0, F.get("__t", at("score")))
-    pv = F.slice("__t", at("pv") + 1, F.size("__t"))
-    out = t.withColumns({"multipv": F.coalesce(num("multipv"), F.lit(1)), "depth": num("depth"), "cp": F.when(kind == "cp", num("cp")), "mate": F.when(kind == "mate", num("mate")), "pv": pv})
-    return out.filter(F.col("depth").isNotNull() & (F.size("pv") > 0)).drop("__t")
+    at = lambda t, k: F.array_position(t, F.lit(k)).cast("int")
+    num = lambda t, k: F.when(at(t, k) > 0, F.get(t, at(t, k)).try_cast("int"))
+    scored = lambda t, k: F.when(F.get(t, at(t, "score")) == k, num(t, k))
+    whole = lambda t: ~F.array_contains(t, "lowerbound") & ~F.array_contains(t, "upperbound") & num(t, "depth").isNotNull() & (at(t, "pv") < F.size(t))
+    read = lambda t: F.struct(F.coalesce(num(t, "multipv"), F.lit(1)).alias("multipv"), num(t, "depth").alias("depth"), scored(t, "cp").alias("cp"), scored(t, "mate").alias("mate"), F.slice(t, at(t, "pv") + 1, F.size(t)).alias("pv"))
+    # a line is split once, behind a generator, so that no filter splits it again
+    d = df.filter(F.startswith(line, F.lit("info ")) & F.contains(line, F.lit(" pv ")))
+    return d.select(*df.columns, F.inline(F.transform(F.filter(F.array(F.split(line, r"\s+")), whole), read)))
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
@@ -41,7 +41,8 @@ def clean_line(x: Column) -> Column:
 def validate(df: DataFrame) -> DataFrame:
     """Adds ``reason``, null for good requests, and the cleaned lines and verdict. The reasons are fixed texts."""
     v = F.col("verdict")
-    d = df.withColumns({"clean_lines": F.transform("lines", clean_line), "clean_played": clean_line(F.col("playedLine")), "clean_best": clean_line(F.col("bestLine"))})
+    clean = F.struct(F.transform("lines", clean_line).alias("clean_lines"), clean_line(F.col("playedLine")).alias("clean_played"), clean_line(F.col("bestLine")).alias("clean_best"))
+    d = df.select("*", F.inline(F.array(clean)))  # behind a generator, so that lines are cleaned once
     fen = F.when(F.col("fen").isNull() | (F.length("fen") == 0) | (F.length("fen") > MAX_FEN), "fen must be a non-empty string")
     n = F.coalesce(F.size("lines"), F.lit(0))
     cand = F.when(n <= 0, "lines must be a non-empty array").when(n > MAX_LINES, f"at most {MAX_LINES} lines allowed").when(F.exists("clean_lines", lambda x: x.isNull()), "malformed engine line")
@@ -81,14 +82,16 @@ def cap_of(text: Column) -> Column:
 
 
 def daily_budget(df: DataFrame, cap: Column, ts: str = "ts", id: str = "event_id") -> DataFrame:
-    """Adds within: the first ``cap`` of each UTC day (all, without a cap). A day's hours are counted first, and only the
-    rows of the hour that the cap falls into are ranked, so no task holds a whole day."""
-    d = df.withColumns({"__day": F.to_date(ts), "__hour": F.date_trunc("hour", ts)})
-    n = d.groupBy("__day", "__hour").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__day").orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 24 rows a day
-    n = n.withColumn("__before", before).drop("__day")
-    rank = F.row_number().over(Window.partitionBy("__hour").orderBy(ts, id)) + F.col("__before")
-    return d.join(n, "__hour").withColumn("within", F.coalesce(rank <= cap, F.lit(True))).drop("__day", "__hour", "__n", "__before")
+    """Adds within: the first ``cap`` of each UTC day (all, without a cap). A day's minutes are counted first; rows of
+    minutes before or behind the cap are settled by the counts, and only those of the minute in which it falls are ranked."""
+    d = df.withColumns({"__minute": F.date_trunc("minute", ts), "__cap": cap})
+    n = d.groupBy("__minute").agg(F.count("*").alias("__n"))
+    day = Window.partitionBy(F.to_date("__minute")).orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)  # 1,440 rows a day
+    j = d.join(n.withColumn("__before", F.coalesce(F.sum("__n").over(day), F.lit(0))), "__minute")
+    torn = F.coalesce((F.col("__before") < F.col("__cap")) & (F.col("__before") + F.col("__n") > F.col("__cap")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("__minute").orderBy(ts, id)) + F.col("__before")
+    settled = j.filter(~torn).withColumn("within", F.coalesce(F.col("__before") < F.col("__cap"), F.lit(True)))
+    return settled.unionByName(j.filter(torn).withColumn("within", rank <= F.col("__cap"))).select(*df.columns, "within")
 
 
 def budget_usage(df: DataFrame, cap: int, ts: str = "ts") -> DataFrame:
@@ -97,10 +100,10 @@ def budget_usage(df: DataFrame, cap: int, ts: str = "ts") -> DataFrame:
 
 
 def gates(df: DataFrame, limit: int, window: str, cap: int) -> DataFrame:
-    """Adds stage: the first gate that stops a request (rate, size, schema, budget) or passed. Only requests that pass the
-    others use up the budget."""
+    """Adds stage: the first gate that stops a request (rate, size, schema, legality, budget) or passed. ``fits``, ``reason``
+    and ``legal`` are columns of the log; a null ``legal`` is no. Only requests that pass the others use up the budget."""
     d = rate_limit(df, limit, window)
-    early = F.when(~F.col("admitted"), "rate").when(~F.col("fits"), "size").when(F.col("reason").isNotNull(), "schema")
+    early = F.when(~F.col("admitted"), "rate").when(~F.col("fits"), "size").when(F.col("reason").isNotNull(), "schema").when(~F.coalesce("legal", F.lit(False)), "legality")
     d = d.withColumn("early", early)
     ok = daily_budget(d.filter("early is null").select("event_id", "ts"), F.lit(cap)).select("event_id", "within")
     j = d.join(ok, "event_id", "left")
@@ -108,10 +111,15 @@ def gates(df: DataFrame, limit: int, window: str, cap: int) -> DataFrame:
 
 
 def debounced(df: DataFrame, millis: int, key: str, ts: str = "ts", id: str = "event_id") -> DataFrame:
-    """Work that no other of the same key superseded within ``millis``."""
-    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, id))
-    gap = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn("__gap", gap).filter(F.col("__gap").isNull() | (F.col("__gap") >= millis * 1000)).drop("__gap")
+    """Work that no other of the same key superseded within ``millis``. A key's time is cut into slots of ``millis`` or an
+    hour, if that is more; what supersedes a slot's last row is the next slot's first one, so no task holds a whole key."""
+    slot, at = max(millis * 1000, 3_600_000_000), F.unix_micros(F.col(ts).cast("timestamp"))
+    d = df.withColumns({"__at": at, "__slot": F.floor(at / slot)})
+    first = d.groupBy(key, (F.col("__slot") - 1).alias("__slot")).agg(F.min("__at").alias("__first"))
+    after = F.lead("__at").over(Window.partitionBy(key, "__slot").orderBy("__at", id))
+    gap = F.coalesce("__after", "__first") - F.col("__at")
+    j = d.withColumn("__after", after).join(first, [key, "__slot"], "left").withColumn("__gap", gap)
+    return j.filter(F.col("__gap").isNull() | (F.col("__gap") >= millis * 1000)).select(*df.columns)
 
 
 def reassemble(chunks: DataFrame, key: str, seq: str, text: str, failed: str, marker: str = "\n[aborted]") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_STORED_DIMS = 5_000_000
+SALTS = 16
 
 
 def exact_dedup(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -22,7 +23,7 @@ def chunks(df: DataFrame, id: str, text: str, least: int = 1) -> DataFrame:
 
 def licence_policy(df: DataFrame, policy: DataFrame, source: str, text: str) -> DataFrame:
     """Sources' classes: quotable texts are shown, ground-only ones are used but not shown, excluded ones go."""
-    j = df.join(F.broadcast(policy), source)  # a row per source
+    j = df.join(policy, source)
     return j.filter("licence <> 'excluded'").withColumn("shown", F.when(F.col("licence") == "quotable", F.col(text)))
 
 
@@ -37,9 +38,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, tag: str = "tag", id: str = "id", vector: str = "vector") -> DataFrame:
-    """For each query the k nearest of its tag. The tag is an equi-key; the limit per query runs before the shuffle too."""
-    q = queries.select(F.col(id).alias("query_id"), tag, F.col(vector).alias("__q"))
-    j = q.join(corpus.select(id, tag, vector), tag).filter(F.col(id) != F.col("query_id"))
+    """For each query the k nearest of its tag. The tag is an equi-key; rows of a common tag are dealt over ``SALTS`` parts,
+    which its queries visit all, and the limit per query runs in each part before the parts meet."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    q = queries.select(F.col(id).alias("query_id"), tag, F.col(vector).alias("__q"), part.alias("__part"))
+    c = corpus.select(id, tag, vector, F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int").alias("__part"))
+    j = q.join(c, [tag, "__part"]).filter(F.col(id) != F.col("query_id"))
     j = j.select("query_id", id, cosine(F.col("__q"), F.col(vector)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
     return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plycast.functions.lineage import settle
+
 
 def draw(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))
@@ -53,11 +55,25 @@ def worklist(todo: DataFrame, done: DataFrame, skipped: DataFrame, target: int,
     return ranked.crossJoin(F.broadcast(n)).filter(F.col("place") <= missing).drop("n_done", "turn")
 
 
+def adjacent(df: DataFrame, group: str, seed: int, *keys: str) -> DataFrame:
+    """Adds ``before``, the first key of the row before in the seeded order of its group. The order is cut into ranges by
+    its first digits; a range's first row looks at the last one of the ranges before it, so no task holds a group."""
+    d = df.withColumn("__turn", draw(seed, *keys)).withColumn("__range", F.substring("__turn", 1, 4))
+    order = ["__turn", *keys]
+    last = d.groupBy(group, "__range").agg(F.max_by(keys[0], F.struct(*order)).alias("__last"))
+    last = last.withColumn("__last", F.lag("__last").over(Window.partitionBy(group).orderBy("__range")))  # 65,536 rows a group
+    inside = F.lag(keys[0]).over(Window.partitionBy(group, "__range").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order)) == 1
+    j = d.withColumns({"__inside": inside, "__first": first}).join(last, [group, "__range"])
+    return j.select(*df.columns, F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__inside")).alias("before"))
+
+
 def shards(df: DataFrame, per_shard: int, split: str, order: str) -> DataFrame:
     """Shard number of each row within its split. Counts per range partition give each range its offset."""
     from pyspark.sql import types as T
 
     ranged = df.repartitionByRange(split, order).sortWithinPartitions(split, order).withColumn("__p", F.spark_partition_id())
+    ranged = settle(ranged)  # both branches below must see the same partitions
     ranged = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p", split).orderBy(order)))
     counts = ranged.groupBy("__p", split).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(split).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition

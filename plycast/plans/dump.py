@@ -118,18 +118,15 @@ def head_slice(spark, sf_dir):
     return good(spark, sf_dir).orderBy(F.desc("rating"), "puzzle_id").limit(20).select("puzzle_id", "rating")
 
 
-@query("anti_adjacency", P + f""", items AS (SELECT puzzle_id, unnest(['candidates', 'grade']) AS arm FROM good WHERE puzzle_id::BIGINT % 10 < 3),
+@query("anti_adjacency", P + f""", items AS (SELECT puzzle_id, unnest(['candidates', 'grade']) AS arm FROM good),
 turns AS (SELECT rating_band, g.puzzle_id, arm, md5(concat_ws('|', '{SEED}', g.puzzle_id, arm)) AS turn FROM items AS g JOIN (SELECT puzzle_id, coalesce(CASE WHEN rating < 1200 THEN 'low' END, 'high') AS rating_band FROM good) AS b ON b.puzzle_id = g.puzzle_id),
 near AS (SELECT rating_band, puzzle_id, lag(puzzle_id) OVER (PARTITION BY rating_band ORDER BY turn, puzzle_id, arm) AS before FROM turns)
 SELECT rating_band, count(*) AS n, count(*) FILTER (WHERE before = puzzle_id) AS n_adjacent FROM near GROUP BY 1""")
 def anti_adjacency(spark, sf_dir):
     """How often both arms of a puzzle stand side by side in the seeded order of a list."""
-    from pyspark.sql import Window
-
-    g = good(spark, sf_dir).filter("cast(puzzle_id as bigint) % 10 < 3").withColumn("rating_band", F.when(F.col("rating") < 1200, "low").otherwise("high"))
+    g = good(spark, sf_dir).withColumn("rating_band", F.when(F.col("rating") < 1200, "low").otherwise("high"))
     items = g.select("rating_band", "puzzle_id", F.explode(F.array(F.lit("candidates"), F.lit("grade"))).alias("arm"))
-    w = Window.partitionBy("rating_band").orderBy(sm.draw(SEED, "puzzle_id", "arm"), "puzzle_id", "arm")
-    return items.withColumn("before", F.lag("puzzle_id").over(w)).groupBy("rating_band").agg(F.count("*").alias("n"), F.count_if(F.col("before") == F.col("puzzle_id")).alias("n_adjacent"))
+    return sm.adjacent(items, "rating_band", SEED, "puzzle_id", "arm").groupBy("rating_band").agg(F.count("*").alias("n"), F.count_if(F.col("before") == F.col("puzzle_id")).alias("n_adjacent"))
 
 
 @query(
@@ -173,9 +170,14 @@ def style_holdout(spark, sf_dir):
     return s.groupBy("split", "piece_set", "board_theme").agg(F.count("*").alias("n"))
 
 
-@query("tune_holdout_split")
+#: crc32 bit by bit (3988292384 is its polynomial, bits reversed), as DuckDB has no function for it.
+_BYTES = "list_transform(range(length(x)), lambda i: ascii(x[i + 1])::BIGINT)"
+_ROUNDS = "list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda acc, b: {_ROUNDS}), 4294967295)"
+
+
+@query("tune_holdout_split", P + f", items AS (SELECT puzzle_id, unnest(['candidates', 'grade']) AS arm FROM good), k AS (SELECT *, puzzle_id || '|' || arm AS x FROM items) SELECT puzzle_id, arm, CASE WHEN {CRC} / 4294967296.0 < 0.5 THEN 'tune' ELSE 'holdout' END AS split FROM k")
 def tune_holdout_split(spark, sf_dir):
-    """crc32 is beyond DuckDB; tests compare it with zlib's."""
     items = good(spark, sf_dir).select("puzzle_id", F.explode(F.array(F.lit("candidates"), F.lit("grade"))).alias("arm"))
     return sm.tune_or_holdout(items, 0.5)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plycast.operators import puzzles as pz
 from plycast.operators import requests as rq
 from plycast.operators import retrieval as rt
+from plycast.operators import sampling as sm
 from plycast.plans import standins as st
-from plycast.plans.dump import banded, picked
+from plycast.plans.dump import PICK_SQL, THEMES, banded, picked, requested
 from plycast.plans.positions import B, boards
 from plycast.plans.registry import query
 from plycast.sources import files
@@ -123,9 +125,9 @@ def budget_caps(spark, sf_dir):
     return c.select("cap", rq.cap_of(F.col("cap")).alias("limit_used")).groupBy("cap", "limit_used").agg(F.count("*").alias("n"))
 
 
-@query("gate_order", VALID + ", r AS (SELECT *, row_number() OVER (PARTITION BY client, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3 AS admitted, event_id % 31 <> 0 AS fits FROM checked), s AS (SELECT *, CASE WHEN NOT admitted THEN 'rate' WHEN NOT fits THEN 'size' WHEN reason IS NOT NULL THEN 'schema' END AS early FROM r), b AS (SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 60 AS within FROM s WHERE early IS NULL) SELECT coalesce(early, CASE WHEN within THEN 'passed' ELSE 'budget' END) AS stage, count(*) AS n, min(s.event_id) AS first_id FROM s LEFT JOIN b ON b.event_id = s.event_id GROUP BY 1")
+@query("gate_order", VALID + ", r AS (SELECT *, row_number() OVER (PARTITION BY client, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3 AS admitted, event_id % 31 <> 0 AS fits, event_id % 37 <> 0 AS legal FROM checked), s AS (SELECT *, CASE WHEN NOT admitted THEN 'rate' WHEN NOT fits THEN 'size' WHEN reason IS NOT NULL THEN 'schema' WHEN NOT legal THEN 'legality' END AS early FROM r), b AS (SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 60 AS within FROM s WHERE early IS NULL) SELECT coalesce(early, CASE WHEN within THEN 'passed' ELSE 'budget' END) AS stage, count(*) AS n, min(s.event_id) AS first_id FROM s LEFT JOIN b ON b.event_id = s.event_id GROUP BY 1")
 def gate_order(spark, sf_dir):
-    v = rq.validate(requests(spark, sf_dir)).select("event_id", "ts", "client", "reason").withColumn("fits", F.col("event_id") % 31 != 0)
+    v = rq.validate(requests(spark, sf_dir)).select("event_id", "ts", "client", "reason").withColumns({"fits": F.col("event_id") % 31 != 0, "legal": F.col("event_id") % 37 != 0})
     return rq.gates(v, 3, "1 hour", 60).groupBy("stage").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
@@ -233,10 +235,13 @@ def failures_apart(spark, sf_dir):
     return ok.agg(F.lit("ok").alias("kind"), F.count("*").alias("n")).unionByName(bad.agg(F.lit("failed").alias("kind"), F.count("*").alias("n")))
 
 
-@query("coverage_report")
+CELLS = PICK_SQL + ", themes AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in THEMES) + "]) AS theme), bands AS (SELECT unnest([" + ", ".join(f"'{lo}-{hi - 1}'" for lo, hi in pz.BANDS) + "]) AS rating_band), counted AS (SELECT t.theme, b.rating_band, count(p.puzzle_id) AS n FROM themes AS t CROSS JOIN bands AS b LEFT JOIN picked AS p ON p.theme = t.theme AND p.rating_band = b.rating_band GROUP BY 1, 2)"
+
+
+@query("coverage_report", CELLS + " SELECT '| ' || theme || ' | ' || rating_band || ' | ' || CASE WHEN n = 0 THEN 'EMPTY' ELSE n::VARCHAR END || ' |' AS line FROM counted")
 def coverage_report(spark, sf_dir):
-    """The cells of the sample as report lines; tests read them."""
-    n = picked(spark, sf_dir).groupBy("theme", "rating_band").agg(F.count("*").alias("n"))
+    """The cells of the sample as report lines, empty ones as EMPTY."""
+    n = sm.coverage(sm.cells(*requested(spark)), picked(spark, sf_dir)).withColumn("n", F.when(F.col("n") == 0, "EMPTY").otherwise(F.col("n").cast("string")))
     return files.table_rows(n.orderBy("theme", "rating_band"), "theme", "rating_band", "n")
 
 

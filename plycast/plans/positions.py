@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plycast.functions.lineage import settle
 from plycast.operators import boards as bd
-from plycast.operators import geometry, rules
 from plycast.plans import standins as st
-from plycast.plans.dump import good
 from plycast.plans.registry import query
 
 MEN = "QRBNPqrbnp.Kk"
@@ -105,82 +102,3 @@ def editor_positions(spark, sf_dir):
 def flip_side(spark, sf_dir):
     p = st.puzzles(spark, sf_dir).withColumn("in_check", F.col("puzzle_id").cast("bigint") % 5 == 0)
     return bd.flip_side(p, fen="csv_fen").select("puzzle_id", "flipped")
-
-
-# lines of the six puzzles: their results are known
-G = "WITH " + st.PARSED_SQL + ", keyed AS (SELECT puzzle_id, puzzle_id::BIGINT % 6 AS f, len(moves) AS n FROM good)"
-NOTATION = ("3... Nf6 4. Qxf7#", "30... Ra2 31. Re8#", "25... Qd5 26. Nf6+ Ke7 27. Nxd5+", "30... Qf6 31. Bg5", "2. g4 Qh4#", "30... Ke5 31. Re1+ Kf4 32. Rxe8")
-ENDS = ("checkmate", "checkmate", "check", "none", "checkmate", "none")
-SOLVER_FENS = (
-    "r1bqkb1r/pppp1ppp/2n2n2/4p2Q/2B1P3/8/PPPP1PPP/RNB1K1NR w KQkq - 4 4",
-    "6k1/5ppp/8/8/8/8/r4PPP/4R1K1 w - - 1 31",
-    "4k3/pp3p1p/8/3q4/4N3/8/PP3PPP/6K1 w - - 1 26",
-    "3k4/pp6/5q2/8/8/8/5PPP/2B3K1 w - - 1 31",
-    "rnbqkbnr/pppp1ppp/8/4p3/6P1/5P2/PPPPP2P/RNBQKBNR b KQkq g3 0 2",
-    "4q3/1pp5/8/4k3/8/8/1PP3K1/R7 w - - 1 31",
-)
-
-
-def _known(values: tuple) -> str:
-    return "CASE f " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
-
-
-def lines(spark, sf_dir):
-    """Distinct lines, with their number of puzzles' ids to join back to: rules are worked out once for each."""
-    g = good(spark, sf_dir).withColumn("line", F.xxhash64("csv_fen", "moves"))
-    return g.select("puzzle_id", "line"), rules.start(settle(g.dropDuplicates(["line"]).select("line", "csv_fen", "moves")), "csv_fen")
-
-
-@query("replay_plies", G + " SELECT puzzle_id, (n + 1)::BIGINT AS n_states FROM keyed")
-def replay_plies(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    n = rules.replay(d, "line").groupBy("line").agg(F.count("*").alias("n_states"))
-    return ids.join(n, "line").select("puzzle_id", "n_states")
-
-
-@query("solver_position", G + f" SELECT puzzle_id, {_known(SOLVER_FENS)} AS fen, CASE WHEN f = 4 THEN 'black' ELSE 'white' END AS solver_color FROM keyed")
-def solver_position(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    return ids.join(rules.solver(d).select("line", "fen", "solver_color"), "line").drop("line")
-
-
-@query("line_notation", G + f" SELECT puzzle_id, {_known(NOTATION)} AS san FROM keyed")
-def line_notation(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    san = rules.numbered(rules.san_plies(rules.replay(d, "line"), "line", geometry.table(spark)), "line")
-    return ids.join(san, "line").drop("line")
-
-
-@query("line_notation_lenient", G + f", t AS (SELECT puzzle_id, n, list_filter(string_split({_known(NOTATION)}, ' '), lambda x: NOT regexp_matches(x, '^\\d+\\.')) AS s FROM keyed) SELECT puzzle_id, array_to_string(s[1:3], ' ') AS tokens FROM t")
-def line_notation_lenient(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    san = rules.lenient(rules.san_plies(rules.replay(d, "line"), "line", geometry.table(spark)), "line", most=3)
-    return ids.join(san, "line").select("puzzle_id", F.array_join("tokens", " ").alias("tokens"))
-
-
-@query("line_legality", G + " SELECT puzzle_id, true AS legal FROM keyed")
-def line_legality(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    ok = rules.line_is_legal(rules.replay(d, "line"), "line", geometry.table(spark))
-    return ids.join(ok, "line").select("puzzle_id", "legal")
-
-
-@query("line_ends", G + f" SELECT puzzle_id, {_known(ENDS)} AS status FROM keyed")
-def line_ends(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    s = rules.status(rules.final_state(d), ["line"], geometry.table(spark))
-    return ids.join(s, "line").select("puzzle_id", "status")
-
-
-@query("check_test", G + f" SELECT puzzle_id, {_known(ENDS)} IN ('check', 'checkmate') AS in_check FROM keyed")
-def check_test(spark, sf_dir):
-    ids, d = lines(spark, sf_dir)
-    return ids.join(rules.checks(rules.final_state(d), ["line"], geometry.table(spark)), "line").select("puzzle_id", "in_check")
-
-
-@query("true_placements")
-def true_placements(spark, sf_dir):
-    """Kinds and squares along each line; tests hold it against a replay by hand."""
-    ids, d = lines(spark, sf_dir)
-    n = rules.placements(rules.replay(d, "line"), "line").groupBy("line").agg(F.count("*").alias("n_placements"))
-    return ids.join(n, "line").select("puzzle_id", "n_placements")

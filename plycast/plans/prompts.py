@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from plycast.operators import agreement as ag
 from plycast.operators import boards as bd
-from plycast.operators import geometry, rules
 from plycast.operators import prompts as pr
 from plycast.operators import scorecard as sd
-from plycast.plans import logs, positions, texts
+from plycast.plans import dump, logs, positions, texts
 from plycast.plans import standins as st
 from plycast.plans.registry import query
 from plycast.sources import files
@@ -25,15 +24,13 @@ SQL = positions.B.replace("flat[1:(k * 7) % 64] || '" + positions.MEN + "'[k % 1
 men AS (SELECT puzzle_id, piece = upper(piece) AS white, strpos('kqrbnp', lower(piece)) AS kind, chr((97 + index % 8)::INTEGER) || (8 - index // 8) AS sq FROM squares WHERE piece <> '.'),
 sides AS (SELECT puzzle_id, white, concat_ws(', ', string_agg('KQRBN'[kind] || sq, ', ' ORDER BY kind, sq) FILTER (WHERE kind < 6), 'pawns ' || string_agg(sq, ' ' ORDER BY sq) FILTER (WHERE kind = 6)) AS t FROM men GROUP BY 1, 2),
 facts AS (SELECT b.puzzle_id, b.csv_fen AS fen, b.k, b.k % 6 AS f, CASE WHEN turn = 'w' THEN 1 ELSE -1 END AS s, CASE WHEN turn = 'w' THEN 'White' ELSE 'Black' END AS side, 'White: ' || w.t || chr(10) || 'Black: ' || n.t AS pieces, """ + ", ".join(f"{e.replace('k %', 'b.k %')} AS {c}" for c, e in KEYS.items()) + f""" FROM boards AS b JOIN sides AS w ON w.puzzle_id = b.puzzle_id AND w.white JOIN sides AS n ON n.puzzle_id = b.puzzle_id AND NOT n.white WHERE b.k % 50 <> 49 AND b.k % 97 <> 5),
-named AS (SELECT *, {positions._known(positions.NOTATION)} AS san FROM facts)"""
+named AS (SELECT *, {st.SAN} AS san FROM facts)"""
 
 
 def facts(spark, sf_dir):
-    """Positions with their pieces and the notation of their line."""
-    ids, d = positions.lines(spark, sf_dir)
-    san = rules.numbered(rules.san_plies(rules.replay(d, "line"), "line", geometry.table(spark)), "line")
-    known = d.select("line", F.col("csv_fen").alias("fen"), "turn").join(bd.piece_list(d, "line"), "line").join(san, "line")
-    out = ids.join(known, "line").drop("line").withColumn("k", F.col("puzzle_id").cast("bigint"))
+    """Positions with their pieces and the notation that is stored with their line."""
+    d = bd.with_board(dump.good(spark, sf_dir).withColumns({"fen": F.col("csv_fen"), "san": F.expr(st.SAN)}))
+    out = d.select("puzzle_id", "fen", "turn", "san", bd.pieces(F.col("board")).alias("pieces"), F.col("puzzle_id").cast("bigint").alias("k"))
     return out.withColumns({c: F.expr(e) for c, e in KEYS.items()})
 
 
@@ -59,14 +56,6 @@ def grade_prompt(spark, sf_dir):
     return p.select("puzzle_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.md5(F.col("facts").cast("binary")).alias("facts_md5"))
 
 
-@query("legal_move_counts", positions.G + ", n AS (SELECT puzzle_id, CASE f WHEN 0 THEN 28 WHEN 1 THEN 22 WHEN 2 THEN 28 WHEN 3 THEN 33 WHEN 4 THEN 19 ELSE 27 END AS n FROM keyed) SELECT puzzle_id, n::BIGINT AS n_legal FROM n")
-def legal_move_counts(spark, sf_dir):
-    """Legal moves before the setup move, promotions as one."""
-    ids, d = positions.lines(spark, sf_dir)
-    n = rules.legal_moves(d, ["line"], geometry.table(spark)).groupBy("line").agg(F.count("*").alias("n_legal"))
-    return ids.join(n, "line").select("puzzle_id", "n_legal")
-
-
 @query("editor_fen", positions.B + f", can AS (SELECT *, {positions.CAN} AS possible, {positions.CHOSEN} AS chosen FROM boards), kept AS (SELECT *, concat(" + ", ".join(f"CASE WHEN contains(possible, '{c}') AND contains(chosen, '{c}') THEN '{c}' ELSE '' END" for c in "KQkq") + ") AS r, array_to_string(list_transform(range(8), lambda i: board[i * 8 + 1:i * 8 + 8]), '/') AS rows FROM can) SELECT puzzle_id, concat_ws(' ', " + "".join("replace(" for _ in range(8)) + "rows" + "".join(f", '{'.' * n}', '{n}')" for n in range(8, 0, -1)) + ", turn, CASE WHEN r = '' THEN '-' ELSE r END, '-', '0', '1') AS fen FROM kept")
 def editor_fen(spark, sf_dir):
     b = positions.boards(spark, sf_dir)
@@ -83,15 +72,19 @@ def request_log_json(spark, sf_dir):
     return rq.validate(files.read_jsonl(spark, path, files.REQUEST)).select("event_id", "mode", "reason")
 
 
-@query("scorecard_report")
+def _percent(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE printf('%.1f%%', 100 * {x}) END"
+
+
+@query("scorecard_report", texts.R + f", b AS (SELECT rating_band, {texts.RATES} FROM scored GROUP BY 1) SELECT '| ' || coalesce(rating_band, '-') || ' | ' || n || ' | ' || {_percent('matched')} || ' | ' || {_percent('grounded')} || ' | ' || n_judged || ' | ' || coalesce(round(mean_score, 2)::VARCHAR, '-') || ' |' AS line FROM b")
 def scorecard_report(spark, sf_dir):
-    """The per-band table as report lines; tests read them."""
+    """The per-band table as report lines."""
     b = sd.per_band(texts.scored(spark, sf_dir))
     shown = b.select("rating_band", "n", files.percent(F.col("matched")).alias("matched"), files.percent(F.col("grounded")).alias("grounded"), "n_judged", F.round("mean_score", 2).alias("mean"))
     return files.table_rows(shown.orderBy("rating_band"), "rating_band", "n", "matched", "grounded", "n_judged", "mean")
 
 
-@query("gate_report")
+@query("gate_report", texts.STATS + f" SELECT '| ' || config || ' | ' || n || ' | ' || {_percent('exact')} || ' | ' || coalesce(round(kappa, 2)::VARCHAR, '-') || ' | ' || {_percent('low')} || ' | ' || verdict || ' |' AS line FROM v")
 def gate_report(spark, sf_dir):
     s = ag.with_verdict(ag.statistics(texts.pairs(spark, sf_dir), "config"))
     shown = s.select("config", "n", files.percent(F.col("exact")).alias("exact"), F.round("kappa", 2).alias("kappa"), files.percent(F.col("low")).alias("low"), "verdict")

@@ -56,9 +56,9 @@ def class_accuracy(spark, sf_dir):
     return vs.accuracy(scores(spark, sf_dir).withColumn("pred", F.col("raw")))
 
 
-@query("class_weights", E + ", c AS (SELECT unnest(range(13)) AS label), e AS (SELECT label, count(*) AS n FROM predicted WHERE label <> 3 GROUP BY 1), j AS (SELECT c.label::INTEGER AS label, coalesce(n, 0) AS n FROM c LEFT JOIN e ON e.label = c.label) SELECT label, n, round((SELECT sum(n) FROM j) / (13 * greatest(n, 1)), 6) AS weight FROM j")
+@query("class_weights", E + ", c AS (SELECT unnest(range(13)) AS label), e AS (SELECT label, count(*) AS n FROM predicted GROUP BY 1), j AS (SELECT c.label::INTEGER AS label, coalesce(n, 0) AS n FROM c LEFT JOIN e ON e.label = c.label) SELECT label, n, round((SELECT sum(n) FROM j) / (13 * greatest(n, 1)), 6) AS weight FROM j")
 def class_weights(spark, sf_dir):
-    w = vs.class_weights(scores(spark, sf_dir).filter("label <> 3"))
+    w = vs.class_weights(scores(spark, sf_dir))
     return w.withColumn("weight", F.round("weight", 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Six puzzles: position before the setup move, and moves (fixed values).
-FIXTURES = (
+FIXTURES: tuple[tuple[str, ...], ...] = (
     ("r1bqkbnr/pppp1ppp/2n5/4p2Q/2B1P3/8/PPPP1PPP/RNB1K1NR b KQkq - 3 3", "g8f6 h5f7"),
     ("6k1/5ppp/8/r7/8/8/5PPP/4R1K1 b - - 0 30", "a5a2 e1e8"),
     ("3qk3/pp3p1p/8/8/4N3/8/PP3PPP/6K1 b - - 0 25", "d8d5 e4f6 e8e7 f6d5"),
@@ -13,12 +13,15 @@ FIXTURES = (
     ("rnbqkbnr/pppp1ppp/8/4p3/8/5P2/PPPPP1PP/RNBQKBNR w KQkq - 0 2", "g2g4 d8h4"),
     ("4q3/1pp5/4k3/8/8/8/1PP3K1/R7 b - - 0 30", "e6e5 a1e1 e5f4 e1e8"),
 )
+#: The notation that is stored with their lines.
+NOTATION = ("3... Nf6 4. Qxf7#", "30... Ra2 31. Re8#", "25... Qd5 26. Nf6+ Ke7 27. Nxd5+", "30... Qf6 31. Bg5", "2. g4 Qh4#", "30... Ke5 31. Re1+ Kf4 32. Rxe8")
 
 
 def _pick(key: str, column: int) -> str:
     return f"case {key} % 6 " + " ".join(f"when {i} then '{x[column]}'" for i, x in enumerate(FIXTURES)) + " end"
 
 
+SAN = "case cast(puzzle_id as bigint) % 6 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(NOTATION)) + " end"
 PUZZLES = {
     "puzzle_id": "cast(o_orderkey as string)",
     "csv_fen": _pick("o_orderkey", 0),

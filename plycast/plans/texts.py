@@ -47,6 +47,7 @@ EXPRS = {
     "mate": "case when doc_id % 3 = 0 then 2 end",
 }
 T = "WITH explained AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in EXPRS.items()) + " FROM documents)"
+# patterns below are fixed values
 CLAIMS = T + """, blanked AS (SELECT *, regexp_replace(text, '[KQRBN]?[a-h][1-8]-[a-h][1-8]', ' ', 'g') AS plain FROM explained),
 claimed AS (SELECT *, list_concat(regexp_extract_all(plain, '\\b(O-O(?:-O)?|[KQRBN][a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?|[a-h]x[a-h][1-8](?:=[QRBN])?|[a-h][18]=[QRBN])[+#]?', 1),
   regexp_extract_all(regexp_replace(plain, '[a-h][1-8]\\s*=', ' ', 'g'), '\\b\\d+\\.(?:\\.\\.)?\\s*([a-h][1-8])\\b', 1)) AS claims,
@@ -62,9 +63,14 @@ def move_claims(spark, sf_dir):
     return explained(spark, sf_dir).select("doc_id", F.array_join(cl.move_claims(F.col("text")), " ").alias("claims"))
 
 
-@query("allowed_moves", CLAIMS + " SELECT DISTINCT line, array_to_string(list_sort(allowed), ' ') AS allowed FROM claimed")
+#: A line's notation out of an engine line's squares.
+ALLOWED = "concat(cast(multipv as string), '. N', substr(move, 1, 2), '+ Q', substr(move, 3, 2), ' ', cast(multipv + 1 as string), '. N', substr(move, 1, 2), ' R', substr(move, 3, 2), '#')"
+
+
+@query("allowed_moves", f"WITH {st.LINES_SQL}, t AS (SELECT position_id, multipv, string_split({ALLOWED}, ' ') AS x FROM lines) SELECT position_id, multipv, array_to_string(list_sort(list_distinct(list_transform(list_filter(x, lambda y: NOT regexp_matches(y, '^\\d+\\.')), lambda y: regexp_replace(y, '[+#]+$', '')))), ' ') AS allowed FROM t")
 def allowed_moves(spark, sf_dir):
-    return explained(spark, sf_dir).select("line", F.array_join(F.array_sort(cl.allowed_moves(F.col("line"))), " ").alias("allowed")).distinct()
+    d = st.lines(spark, sf_dir).withColumn("line", F.expr(ALLOWED))
+    return d.select("position_id", "multipv", F.array_join(F.array_sort(cl.allowed_moves(F.col("line"))), " ").alias("allowed"))
 
 
 @query("groundedness", CLAIMS + ", v AS (SELECT doc_id, claims, list_filter(claims, lambda x: NOT list_contains(allowed, x)) AS wrong FROM claimed) SELECT doc_id, len(claims)::INTEGER AS n_claims, array_to_string(wrong, ' ') AS violations, len(wrong) = 0 AS grounded FROM v")
@@ -90,14 +96,6 @@ def theme_coverage(spark, sf_dir):
     return covered(spark, sf_dir).select("doc_id", F.array_join("theme_scored", " ").alias("theme_scored"), F.array_join("theme_named", " ").alias("theme_named"), F.round("theme_rate", 6).alias("theme_rate"))
 
 
-@query("lexicon_disjoint", "WITH docs AS (SELECT count(*) AS n FROM documents), a AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in cl.THEME_WORDS) + "]) AS theme), b AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in cl.UNSCORED) + "]) AS theme) SELECT n AS n_documents, (SELECT count(*) FROM (SELECT theme FROM a INTERSECT SELECT theme FROM b)) AS n_both FROM docs")
-def lexicon_disjoint(spark, sf_dir):
-    """No theme is both scored and left out; beside the number of documents that the lists are for."""
-    a, b = cl.lexicon(spark).select("theme"), spark.createDataFrame([(t,) for t in cl.UNSCORED], "theme string")
-    n = explained(spark, sf_dir).agg(F.count("*").alias("n_documents"))
-    return n.crossJoin(F.broadcast(a.intersect(b).agg(F.count("*").alias("n_both"))))
-
-
 PLACED = """, boards AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{x[0]}')" for i, x in enumerate(st.FIXTURES)) + """) AS t(fixture, fen)),
 flat AS (SELECT fixture, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(string_split(fen, ' ')[1], '/', ''), '1', '.', 'g'), '2', '..', 'g'), '3', '...', 'g'), '4', '....', 'g'), '5', '.....', 'g'), '6', '......', 'g'), '7', '.......', 'g'), '8', '........', 'g') AS board FROM boards),
 squares AS (SELECT fixture, CASE lower(board[i + 1]) WHEN 'k' THEN 'king' WHEN 'q' THEN 'queen' WHEN 'r' THEN 'rook' WHEN 'b' THEN 'bishop' WHEN 'n' THEN 'knight' WHEN 'p' THEN 'pawn' END AS piece, chr((97 + i % 8)::INTEGER) || (8 - i // 8) AS square FROM flat, unnest(range(64)) AS u(i) WHERE board[i + 1] <> '.'),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plycast.functions.lineage import shared
+
 #: Header of a puzzle dump, in order (fixed values).
 PUZZLE_HEADER = ("PuzzleId", "FEN", "Moves", "Rating", "RatingDeviation", "Popularity", "NbPlays", "Themes", "GameUrl", "OpeningTags")
 PUZZLE_CSV = T.StructType([T.StructField(c, T.StringType()) for c in PUZZLE_HEADER])
@@ -16,11 +17,20 @@ PUZZLE_NAMES = dict(zip(PUZZLE_HEADER, ("puzzle_id", "csv_fen", "moves", "rating
 LINE = "struct<multipv:int,depth:int,cp:double,mate:double,pv:array<string>>"
 REQUEST = f"event_id long, ts timestamp, mode string, fen string, lines array<{LINE}>, verdict struct<moveUci:string,moveClass:string,winPctBefore:double,winPctAfter:double>, playedLine {LINE}, bestLine {LINE}"
 
+_HANDED_OUT: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach: under the session's checkpoint folder, else (in tests) a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plycast-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors reach. ``tidy`` removes those that have been handed out."""
+    _HANDED_OUT.append(f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
+    return _HANDED_OUT[-1]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Removes scratch folders: for when what was read from them has been stored."""
+    while _HANDED_OUT:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_puzzles(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:

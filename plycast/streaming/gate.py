@@ -51,7 +51,7 @@ def budget_batch(top: str, cap: int):
         if exists(spark, state):
             used = spark.read.parquet(state).filter(F.col("version") < k)
         used = used.groupBy("utc_day").agg(F.sum("used").alias("used"))
-        d = batch.withColumn("utc_day", F.to_date("ts")).join(F.broadcast(used), "utc_day", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+        d = batch.withColumn("utc_day", F.to_date("ts")).join(used, "utc_day", "left").withColumn("used", F.coalesce("used", F.lit(0)))
         out = daily_budget(d, F.lit(cap) - F.col("used")).drop("used")
         mine = out.filter("within").groupBy("utc_day").agg(F.count("*").alias("used"))
         mine.write.mode("overwrite").parquet(f"{state}/version={k}")

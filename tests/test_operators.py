@@ -5,8 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from plycast.operators import agreement, boards, claims, geometry, puzzles, requests, retrieval, rules, sampling, scorecard, scoring, vision
-from plycast.plans import standins
+from plycast.operators import agreement, boards, claims, completion, puzzles, requests, retrieval, sampling, scorecard, scoring, vision
 from plycast.sources import files
 
 
@@ -145,52 +144,6 @@ def test_material(spark, fen, bad):
     assert (boards.material_error(d, "id").first().error is not None) == bad
 
 
-LINES = [
-    ("mate", "2r4k/pb4pp/1p6/3pP3/3Pn3/2Pq2NQ/PP5P/5R1K w - - 0 24", "h3c8 b7c8 f1f8", "24. Qxc8+ Bxc8 25. Rf8#"),
-    ("castle", "r3k2r/pppq1ppp/2npbn2/2b1p3/2B1P3/2NPBN2/PPPQ1PPP/R3K2R w KQkq - 4 8", "e1g1 e8c8 a2a4", "8. O-O O-O-O 9. a4"),
-    ("passing", "rnbqkbnr/ppp1pppp/8/8/3pP3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 3", "d4e3 d2e3", "3... dxe3 4. dxe3"),
-    ("promotes", "8/P6k/8/8/8/8/8/K7 w - - 0 1", "a7a8q h7g7", "1. a8=Q Kg7"),
-    ("two rooks", "7k/8/8/8/8/8/4K3/R6R w - - 0 1", "a1d1", "1. Rad1+"),
-    ("illegal", "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "e2e4 e7e5 e1e3 a7a6", None),
-    ("through check", "r3k2r/8/8/8/8/5r2/8/R3K2R w KQkq - 0 1", "e1g1", None),
-]
-
-
-def test_notation(spark):
-    d = rules.start(spark.createDataFrame([(i, f, m.split()) for i, f, m, _ in LINES], "id string, fen string, moves array<string>"))
-    p = rules.san_plies(rules.replay(d, "id"), "id", geometry.table(spark)).cache()
-    assert {r.id: r.san for r in rules.numbered(p, "id").collect()} == {i: s for i, _, _, s in LINES}
-    tokens = {r.id: r.tokens for r in rules.lenient(p, "id").collect()}
-    assert tokens["illegal"] == ["e4", "e5", "e1e3", "a7a6"]
-
-
-def test_move_counts(spark):
-    known = {
-        "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1": 20, "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1": 48,
-        "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1": 14, "r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1": 6,
-    }
-    d = rules.start(spark.createDataFrame([(f,) for f in known], "fen string"))
-    n = rules.legal_moves(d, ["fen"], geometry.table(spark)).groupBy("fen").agg(F.sum(F.when(F.col("promo") == "?", 4).otherwise(1)).alias("n"))
-    assert {r.fen: r.n for r in n.collect()} == known
-    assert len(geometry.moves()) == 3952
-
-
-def test_status_and_solver(spark):
-    rows = [(i, f, m.split()) for i, (f, m) in enumerate(standins.FIXTURES)] + [(9, "7k/5Q2/6K1/8/8/8/8/8 b - - 0 1", [])]
-    d = rules.start(spark.createDataFrame(rows, "id int, fen string, moves array<string>"))
-    s = rules.status(rules.final_state(d), ["id"], geometry.table(spark))
-    assert {r.id: r.status for r in s.collect()} == {0: "checkmate", 1: "checkmate", 2: "check", 3: "none", 4: "checkmate", 5: "none", 9: "stalemate"}
-    assert {r.id: r.solver_color for r in rules.solver(d.filter("id in (0, 4)")).collect()} == {0: "white", 4: "black"}
-    with pytest.raises(ValueError):
-        rules.require_legal(rules.replay(d.filter("id = 0").withColumn("moves", F.array(F.lit("e4e6"))), "id"), "id", geometry.table(spark))
-
-
-def test_placements_hold_all_positions_of_a_line(spark):
-    d = rules.start(spark.createDataFrame([(1, "8/P6k/8/8/8/8/8/K7 w - - 0 1", ["a7a8q"])], "id int, fen string, moves array<string>"))
-    got = {(r.piece, r.square) for r in rules.placements(rules.replay(d, "id"), "id").collect()}
-    assert got == {("pawn", "a7"), ("king", "h7"), ("king", "a1"), ("queen", "a8")}
-
-
 def scores(**at):
     """64 rows that say empty, but for squares with classes and weights."""
     rows = []
@@ -248,3 +201,45 @@ def test_puzzle_header_is_a_contract(spark, tmp_path):
     assert files.read_optional(spark, str(tmp_path / "none.json"), "a int").count() == 0
     (tmp_path / "m.json").write_text('{\n "author": "x",\n "n": 3\n}')
     assert files.read_manifest(spark, str(tmp_path / "m.json"), "author string, n int").first().n == 3
+
+
+def test_completions_keep_failures_apart(spark):
+    def client():
+        def ask(p):
+            if "bad" in p:
+                raise ValueError("refused")
+            return p.upper(), len(p.split()), 1
+
+        return ask
+
+    d = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, None)], "id int, prompt string")
+    got = {r.id: (r.text, r.input_tokens, r.output_tokens, r.error) for r in completion.completed(d, client).collect()}
+    assert got == {1: ("A B", 2, 1, None), 2: (None, None, None, "ValueError: refused"), 3: (None, None, None, "no prompt")}
+
+
+def test_gates_in_order(spark):
+    rows = [(k, "c", k != 1, "bad" if k == 2 else None, None if k == 3 else k != 4) for k in range(9)]
+    d = spark.createDataFrame(rows, "event_id int, client string, fits boolean, reason string, legal boolean").selectExpr("*", "timestamp_seconds(event_id) as ts")
+    got = {r.event_id: r.stage for r in requests.gates(d, 8, "1 hour", 3).collect()}
+    assert got == {0: "passed", 1: "size", 2: "schema", 3: "legality", 4: "legality", 5: "passed", 6: "passed", 7: "budget", 8: "rate"}
+
+
+def test_what_supersedes_may_stand_in_the_next_slot(spark):
+    at = [3599.9, 3600.0, 7200.0, 7200.0, 90000.0]
+    d = spark.createDataFrame(list(enumerate(at)), "event_id int, t double").selectExpr("event_id", "'c' as client", "timestamp_micros(cast(t * 1e6 as bigint)) as ts")
+    assert sorted(r.event_id for r in requests.debounced(d, 250, "client").collect()) == [1, 3, 4]
+
+
+def test_a_budget_is_exact_within_its_minute(spark):
+    d = spark.range(400).selectExpr("id as event_id", "timestamp_seconds(id div 7 * 13) as ts")
+    for cap in (0, 1, 100, 399, 1000):
+        assert sorted(r.event_id for r in requests.daily_budget(d, F.lit(cap)).filter("within").collect()) == list(range(min(cap, 400)))
+
+
+def test_neighbours_in_a_seeded_order(spark):
+    d = spark.range(300).selectExpr("concat('g', id % 2) as g", "cast(id as string) as k")
+    got = {r.k: r.before for r in sampling.adjacent(d, "g", 5, "k").collect()}
+    by = {r.k: (r.g, r.turn) for r in d.withColumn("turn", sampling.draw(5, "k")).collect()}
+    for g in ("g0", "g1"):
+        order = sorted((k for k in by if by[k][0] == g), key=lambda k: by[k][1])
+        assert all(got[k] == b for b, k in zip([None, *order], order))
