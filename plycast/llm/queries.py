@@ -67,13 +67,10 @@ WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM docum
      every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split WHERE text IS NOT NULL),
      held AS (SELECT doc_id, pos, line, length(line) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
               FROM every WHERE regexp_matches(line, '[^ \\t\\x0b\\f\\r]')),
-     placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bgn,
-                       sum(size) OVER (PARTITION BY doc_id)::BIGINT AS total FROM held),
-     need AS (SELECT *, CASE WHEN total - bgn >= 40 THEN count(*) OVER (PARTITION BY doc_id ORDER BY bgn RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING) END AS t FROM placed),
-     blocks AS (SELECT a.doc_id, a.i, a.t, string_agg(b.line, chr(10) ORDER BY b.i) AS block
-                FROM need AS a JOIN need AS b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + a.t - 1 WHERE a.t IS NOT NULL GROUP BY 1, 2, 3),
-     ranked AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY doc_id, i) AS copy FROM blocks),
-     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + t)) AS i FROM ranked WHERE copy > 1),
+     pairs AS (SELECT b.doc_id, b.i, b.size, a.doc_id AS other, b.i - a.i AS away FROM held AS a JOIN held AS b ON a.line = b.line AND (a.doc_id, a.i) < (b.doc_id, b.i)),
+     islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, away ORDER BY i) AS island FROM pairs),
+     summed AS (SELECT doc_id, i, sum(size) OVER (PARTITION BY doc_id, other, away, island) AS chars FROM islands),
+     gone AS (SELECT DISTINCT doc_id, i FROM summed WHERE chars >= 40),
      runs AS (SELECT doc_id, i, (lag(i) OVER (PARTITION BY doc_id ORDER BY i)) IS DISTINCT FROM i - 1 AS first FROM gone),
      counted AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE first) AS n_runs FROM runs GROUP BY 1),
      kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS text

@@ -54,19 +54,16 @@ def held(docs):
 
 
 def runs_of(texts):
-    """Lines to delete, by hand: t lines from i for 40 characters; all but the first block of a kind."""
-    lines, blocks, gone = {}, collections.defaultdict(set), collections.defaultdict(set)
+    """Lines to delete, by hand: each suffix against all earlier ones; what they share counts from 40 characters on."""
+    lines, gone = {}, collections.defaultdict(set)
     for key, t in texts:
-        lines[key] = own = [(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
-        for i in range(len(own)):
-            n = t_ = 0
-            while n < 40 and i + t_ < len(own):
-                n, t_ = n + len(own[i + t_][1]), t_ + 1
-            if n >= 40:
-                blocks[tuple(x for _, x in own[i : i + t_])].add((key, i, t_))
-    for found in blocks.values():
-        for key, i, t_ in sorted(found)[1:]:
-            gone[key].update(p for p, _ in lines[key][i : i + t_])
+        lines[key] = [(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
+    starts = sorted((key, i) for key in lines for i in range(len(lines[key])))
+    for n, (key, i) in enumerate(starts):
+        for other, j in starts[:n]:
+            same = list(itertools.takewhile(lambda ab: ab[0][1] == ab[1][1], zip(lines[key][i:], lines[other][j:])))
+            if sum(len(a[1]) for a, _ in same) >= 40:
+                gone[key].update(a[0] for a, _ in same)
     return gone
 
 
@@ -86,6 +83,26 @@ def test_line_dedup(docs, empty, spark):
     assert collections.Counter((r.doc_id, r.text, r.n_chars) for r in clean.collect()) == collections.Counter((i, t, None if t is None else len(t)) for (i, t, _), n in want.items() for _ in range(n))
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Few short lines, so that runs of all lengths repeat, nest and overlap."""
+    r = random.Random(12)
+    words = ["alpha beta", "gamma", "delta eps", "zeta", "", "eta theta iota"]
+    texts = [(k, "\n".join(r.choice(words) for _ in range(r.randint(0, 14)))) for k in range(40)]
+    whole = "\n".join(r.choice(words) for _ in range(37))
+    texts += [(50, whole), (51, "x\n" + whole), (52, whole.split("\n", 9)[9] + "\nend"), (53, "same\n" * 30)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    keys = {x.doc_id: (x["__id"], x["__key"]) for x in line_dedup.keyed(d).select("row.doc_id", "__id", "__key").collect()}
+    gone = runs_of({(keys[k], t) for k, t in texts})
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(d).collect()}
+    assert got == {k: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[keys[k]]) for k, t in texts}
+    found = {(x["__id"], x.i): x.lcp for x in line_dedup.common_prefixes(line_dedup.ranks(line_dedup.numbered(d).cache())).collect()}
+    own = {k: [x for x in t.split("\n") if x] for k, t in texts}
+    starts = [(k, i) for k in sorted(own) for i in range(len(own[k]))]
+    same = lambda a, b: sum(1 for _ in itertools.takewhile(lambda ab: ab[0] == ab[1], zip(own[a[0]][a[1] :], own[b[0]][b[1] :])))
+    want = {s: max((same(s, e) for e in starts[:n]), default=0) for n, s in enumerate(starts)}
+    assert found == {(k, i + 1): n for (k, i), n in want.items() if n}
+
+
 def test_line_dedup_finds_runs_over_lines(spark):
     """Runs of short lines, longer than one doubling step, in order only."""
     run = "\n".join(f"part {k}" for k in range(12))
