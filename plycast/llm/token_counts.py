@@ -35,7 +35,7 @@ LIMIT = 4096
 CHUNK = 1 << 16
 FAN = 64
 #: Bounds of what a worker remembers: compiled states, and bytes of segments with known counts, about.
-MAX_STATES, MAX_BYTES = 150_000, 64_000_000
+MAX_STATES, MAX_BYTES = 220_000, 100_000_000
 _SPACE = "▁"
 _ANY = -1  # the last token where no piece can reach back over the boundary
 #: What a chunk maps to: (head, None, "") if it has no boundary, else (head, tokens, tail).
@@ -93,16 +93,33 @@ class Transducer:
                 back[to] = goto[x].get(c, 0)
                 queue.append(to)
         self.goto, self.depth, self.ends, self.back = goto, depth, ends, back
+        self.chains: dict[int, tuple] = {}
+
+    def chain(self, node: int) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        """Lengths of the ends of a node's text that can grow into pieces, and those that are pieces; longest first."""
+        if node not in self.chains:
+            sizes, whole, at = [], [], node
+            while at:
+                sizes.append(self.depth[at])
+                if self.ends[at] >= 0:
+                    whole.append((self.ends[at], self.depth[at]))
+                at = self.back[at]
+            self.chains[node] = tuple(sizes), tuple(whole)
+        return self.chains[node]
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text by the rule itself: join the neighbours of highest score, leftmost first."""
-        parts = list(text)
-        while True:
-            joint = [(-self.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.scores]
-            if not joint:
-                return parts
-            i = min(joint)[1]
+        parts, score = list(text), self.scores.get
+        joint = [score(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while any(x is not None for x in joint):
+            i = joint.index(max(x for x in joint if x is not None))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joint[i]
+            if i:
+                joint[i - 1] = score(parts[i - 1] + parts[i])
+            if i < len(joint):
+                joint[i] = score(parts[i] + parts[i + 1])
+        return parts
 
     def follows(self, before: int, piece: int) -> bool:
         k = before, piece
@@ -110,7 +127,10 @@ class Transducer:
             if len(self.fits) > 4 * MAX_STATES:
                 self.fits.clear()
             own = [self.names[piece]] if before == _ANY else [self.names[before], self.names[piece]]
-            self.fits[k] = self.merged("".join(own)) == own
+            if len(own) == 2 and own[0][-1] + own[1][0] not in self.known:  # nothing joins them; the piece stands by itself
+                self.fits[k] = self.follows(_ANY, piece)
+            else:
+                self.fits[k] = self.merged("".join(own)) == own
         return self.fits[k]
 
     def _forget(self) -> None:
@@ -119,7 +139,7 @@ class Transducer:
             s.clear()
         self.states.clear()
         self.fresh = State(self, 0, {0: (_ANY, 0)})
-        self.states[0, ((0, (_ANY, 0)),)] = self.fresh
+        self.states[0, _ANY, ()] = self.fresh
 
     def compiled(self, s: State, char: str) -> tuple[State, int]:
         if len(self.states) > MAX_STATES:
@@ -130,25 +150,21 @@ class Transducer:
         node = self.goto[node].get(char, 0)
         if not node:  # no piece holds this character: its bytes are the tokens
             return self.fresh, len(char.encode())
-        at, last, added = node, None, 0
-        while at and last is None:  # pieces that end here, longest first
-            k, size = self.ends[at], self.depth[at]
-            if k >= 0:
-                before, fewer = s.back[size - 1]
-                if self.follows(before, k):
-                    last, added = k, fewer + 1
-            at = self.back[at]
-        places, at = {0: (last, 0)}, node
-        while at:
-            before, fewer = s.back[self.depth[at] - 1]
-            places[self.depth[at]] = (before, fewer - added)
-            at = self.back[at]
-        if self.depth[node] == 1:  # nothing from before the character can reach over it
-            places[1] = (_ANY, -1)
-        key = node, tuple(sorted(places.items()))
+        sizes, whole = self.chain(node)
+        back, last, added = s.back, None, 0
+        for k, size in whole:
+            before, fewer = back[size - 1]
+            if self.follows(before, k):
+                last, added = k, fewer + 1
+                break
+        if len(sizes) == 1:  # nothing from before the character can reach over it
+            places = ((_ANY, -1),)
+        else:
+            places = tuple([(before, fewer - added) for before, fewer in [back[size - 1] for size in sizes]])
+        key = node, last, places
         to = self.states.get(key)
         if to is None:
-            to = self.states[key] = State(self, node, places)
+            to = self.states[key] = State(self, node, dict(zip((0, *sizes), ((last, 0), *places), strict=True)))
         return to, added
 
     def run(self, text: str) -> int:
