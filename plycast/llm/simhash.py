@@ -4,7 +4,8 @@ A 64-bit fingerprint is cut into 3 segments. Of at most 4 differing bits, some s
 linked fingerprints agree in that segment but for one bit. Every fingerprint is indexed under each segment with each
 one of its bits left out (64 keys), and keys are joined by equality. The join's condition verifies the distance and
 keeps a pair at one key only: at its first segment with at most one differing bit, and there at that bit. Distinct
-fingerprints take part, so copies cost nothing; links become components by star contraction.
+fingerprints take part, so copies cost nothing, and a dense cluster is linked to one representative at each key instead
+of pair by pair; links become components by star contraction.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows get equal results; a
 component of null doc_ids only has a null component_id; of the rows that tie for a component's smallest doc_id
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plycast.llm.common import components, cut, keyed, map_rows, spread_join, unpacked
@@ -57,20 +58,18 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_rows(own, "doc_id long, __id long, __key long, fp long", rows)
 
 
-def _mask(at: int, width: int) -> int:
-    return ((1 << width) - 1) << at
-
-
-def links(fps: DataFrame, most: int = BITS) -> DataFrame:
-    """Pairs a < b of distinct ``fp`` values at ``most`` (at most 5) or fewer differing bits."""
+def _index(fps: DataFrame) -> DataFrame:
+    """key and fp: each distinct fingerprint under its 64 keys."""
     keys = []
     for s, (at, width) in enumerate(SEGMENTS):
         seg = F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1)
         keys += [F.lit((s * 32 + j) << 22).bitwiseOR(seg.bitwiseAND(~(1 << j) & ((1 << width) - 1))) for j in range(width)]
-    index = fps.select("fp").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
-    a, b = index.alias("a"), index.alias("b")
+    return fps.select("fp").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def _linked(most: int) -> Column:
+    """Of rows a and b at one key: they differ in ``most`` bits at most, and this is the one key at which the pair counts."""
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
     parts = [F.shiftrightunsigned(x, at).bitwiseAND((1 << width) - 1) for at, width in SEGMENTS]
     few = [F.bit_count(p) <= 1 for p in parts]
     first = F.when(few[0], 0).when(few[1], 1).otherwise(2)
@@ -78,14 +77,37 @@ def links(fps: DataFrame, most: int = BITS) -> DataFrame:
     segment, bit = F.shiftright(tag, 5), tag.bitwiseAND(31)
     part = F.when(segment == 0, parts[0]).when(segment == 1, parts[1]).otherwise(parts[2])
     once = (segment == first) & F.when(part == 0, bit == 0).otherwise(F.bit_count(part - 1) == bit)
-    near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= most)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & near & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return (F.bit_count(x) <= most) & once
+
+
+def links(fps: DataFrame, most: int = BITS) -> DataFrame:
+    """All pairs a < b of distinct ``fp`` values at ``most`` (at most 5) or fewer differing bits."""
+    a, b = _index(fps).alias("a"), _index(fps).alias("b")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _linked(most)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def cluster_links(fps: DataFrame, most: int = BITS) -> DataFrame:
+    """Links that connect what ``links`` connects, without a dense cluster's pairs. At each key the members within reach of
+    the smallest one are linked to it alone. Where a key's members are not all connected by that, those outside of its
+    largest component are compared with all others that are in another one."""
+    own = Window.partitionBy("key")
+    met = _index(fps).withColumns({"centre": F.min("fp").over(own), "n": F.count("*").over(own)}).filter("n > 1")
+    met = cut(met.select("key", "fp", "centre"))
+    star = cut(met.filter((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= most)).select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
+    part = met.join(components(star), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
+    sizes = part.groupBy("key", "part").agg(F.count("*").alias("n"))
+    torn = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    left = cut(part.join(torn, "key"))
+    a, b = left.filter("part <> most").alias("a"), left.alias("b")
+    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.most")) | (F.col("a.fp") < F.col("b.fp")))
+    both = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _linked(most))
+    return star.union(both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = BITS) -> DataFrame:
     """For each row doc_id, __id, __key, fp, component_id (the smallest doc_id that links reach) and root (the component's smallest fp)."""
     own = cut(fingerprints(docs, size))
-    roots = components(links(own, most))
+    roots = components(cluster_links(own, most))
     of_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = cut(of_fp.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
     ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))

@@ -195,6 +195,45 @@ def test_links_are_found_at_every_distance(spark):
     assert got == want and want
 
 
+def test_a_dense_cluster_has_few_links(spark):
+    """Links of a dense cluster and of chains connect the same fingerprints as all pairs do."""
+    r = random.Random(16)
+    centre = r.getrandbits(64)
+    values = {centre}
+    while len(values) < 2000:
+        v = centre
+        for b in r.sample(range(64), r.randint(1, 3)):
+            v ^= 1 << b
+        values.add(v)
+    for _ in range(30):
+        v = r.getrandbits(64)
+        for _ in range(6):
+            values.add(v)
+            for b in r.sample(range(64), 4):
+                v ^= 1 << b
+    values = list(values)
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    n_pairs = 0
+    for a, b in itertools.combinations(values, 2):
+        if (a ^ b).bit_count() <= 4:
+            n_pairs += 1
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    want = {frozenset(v for v in values if top(v) == t) for t in {top(v) for v in values}}
+    got = simhash.cluster_links(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")).collect()
+    assert all(((x.a ^ x.b) & (1 << 64) - 1).bit_count() <= 4 for x in got) and len(got) < n_pairs / 5
+    root = {v: v for v in values}
+    for x in got:
+        a, b = top(x.a % (1 << 64)), top(x.b % (1 << 64))
+        root[max(a, b)] = min(a, b)
+    assert {frozenset(v for v in values if top(v) == t) for t in {top(v) for v in values}} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i % 10 != 9] + [(5, 25), (100, 100)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
