@@ -78,3 +78,41 @@ def back_rank(board: Column) -> Column:
     at = F.call_function("locate", F.lit("K"), board) - 1
     before = [F.when((at % 8 + d >= 0) & (at % 8 + d < 8), F.substring(board, at - 8 + d + 1, F.lit(1)) == "P").otherwise(True) for d in (-1, 0, 1)]
     return (at >= 56) & before[0] & before[1] & before[2]
+
+
+def _man(board: Column, rank: Column, file: Column) -> Column:
+    """The man on a square by rank (0 at the top) and file; empty beside the board."""
+    return F.when(rank.between(0, 7) & file.between(0, 7), F.substring(board, rank * 8 + file + 1, F.lit(1))).otherwise("")
+
+
+def exposed_king(board: Column, king: str = "K") -> Column:
+    """A king without an own pawn on the three squares before it."""
+    at, up, pawn = F.call_function("locate", F.lit(king), board) - 1, -1 if king == "K" else 1, "P" if king == "K" else "p"
+    rank, file = F.floor(at / 8).cast("int"), at % 8
+    return (at >= 0) & ~F.exists(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _man(board, rank + up, file + d) == pawn)
+
+
+def knight_fork(board: Column, knight: str = "N") -> Column:
+    """A knight that attacks two or more of the other side's king, queen and rooks."""
+    prey = "kqr" if knight == "N" else "KQR"
+    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(f).alias("f")) for r in (-2, -1, 1, 2) for f in (-2, -1, 1, 2) if abs(r) != abs(f)))
+    hit = lambda i: lambda d: F.contains(F.lit(prey), m := _man(board, F.floor(i / 8).cast("int") + d["r"], i % 8 + d["f"])) & (m != "")
+    knights = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(board, i + 1, F.lit(1)) == knight)
+    return F.exists(knights, lambda i: F.size(F.filter(steps, hit(i))) >= 2)
+
+
+#: The vocabulary: each feature's name, and the test of it. Whatever labels or asks takes the names from here.
+VOCABULARY = {
+    **{f"open {c}-file": lambda b, c=c: F.contains(open_files(b), F.lit(c)) for c in "abcdefgh"},
+    "weak white back rank": back_rank,
+    "exposed white king": lambda b: exposed_king(b, "K"),
+    "exposed black king": lambda b: exposed_king(b, "k"),
+    "white knight fork": lambda b: knight_fork(b, "N"),
+    "black knight fork": lambda b: knight_fork(b, "n"),
+}
+
+
+def features(df: DataFrame, *keys: str) -> DataFrame:
+    """A row for each feature of each board."""
+    has = F.array(*(F.when(test(F.col("board")), name) for name, test in VOCABULARY.items()))
+    return df.select(*keys, F.explode(F.filter(has, lambda x: x.isNotNull())).alias("feature"))

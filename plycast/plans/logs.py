@@ -260,6 +260,27 @@ def position_features(spark, sf_dir):
     return boards(spark, sf_dir).select("puzzle_id", rt.open_files(F.col("board")).alias("open_files"), rt.back_rank(F.col("board")).alias("back_rank"))
 
 
+def _fork_sql(knight: str, prey: str) -> str:
+    steps = ", ".join(f"[{r}, {f}]" for r in (-2, -1, 1, 2) for f in (-2, -1, 1, 2) if abs(r) != abs(f))
+    return f"EXISTS (SELECT 1 FROM (SELECT i, count(*) AS n FROM range(64) AS u(i), unnest([{steps}]) AS v(d) WHERE board[i + 1] = '{knight}' AND i // 8 + d[1] BETWEEN 0 AND 7 AND i % 8 + d[2] BETWEEN 0 AND 7 AND contains('{prey}', board[i + d[1] * 8 + d[2] + 1]) GROUP BY i) WHERE n >= 2)"
+
+
+def _exposed_sql(king: str, pawn: str, up: int) -> str:
+    spot = f"(strpos(board, '{king}') - 1)"
+    return f"({spot} >= 0 AND " + " AND ".join(f"NOT ({spot} // 8 + {up} BETWEEN 0 AND 7 AND {spot} % 8 + {d} BETWEEN 0 AND 7 AND board[{spot} + {8 * up + d} + 1] = '{pawn}')" for d in (-1, 0, 1)) + ")"
+
+
+_TESTS = [(f"open {chr(97 + f)}-file", f"NOT regexp_matches(concat({', '.join(f'board[{r * 8 + f + 1}]' for r in range(8))}), '[Pp]')") for f in range(8)] + [
+    ("weak white back rank", "strpos(board, 'K') > 56 AND " + " AND ".join(f"((strpos(board, 'K') - 1) % 8 + {d} NOT BETWEEN 0 AND 7 OR board[strpos(board, 'K') - 8 + {d}] = 'P')" for d in (-1, 0, 1))),
+    ("exposed white king", _exposed_sql("K", "P", -1)), ("exposed black king", _exposed_sql("k", "p", 1)), ("white knight fork", _fork_sql("N", "kqr")), ("black knight fork", _fork_sql("n", "KQR")),
+]
+
+
+@query("feature_rows", B + " " + " UNION ALL ".join(f"SELECT puzzle_id, '{name}' AS feature FROM boards WHERE {test}" for name, test in _TESTS))
+def feature_rows(spark, sf_dir):
+    return rt.features(boards(spark, sf_dir), "puzzle_id")
+
+
 @query("corpus_dedup", "WITH n AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g'))) AS t FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM n GROUP BY t")
 def corpus_dedup(spark, sf_dir):
     return rt.exact_dedup(st.read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "copies")

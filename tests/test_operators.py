@@ -243,3 +243,14 @@ def test_neighbours_in_a_seeded_order(spark):
     for g in ("g0", "g1"):
         order = sorted((k for k in by if by[k][0] == g), key=lambda k: by[k][1])
         assert all(got[k] == b for b, k in zip([None, *order], order))
+
+
+def test_features_of_the_vocabulary(spark):
+    d = boards.with_board(spark.createDataFrame([("r3k3/2N5/8/8/8/8/5PPP/6K1 w - - 0 1",), ("4k3/8/8/8/8/3n4/8/1K3R2 w - - 0 1",), ("6k1/5ppp/8/8/8/8/8/R3K2n w - - 0 1",)], "fen string"))
+    got = {}
+    for r in retrieval.features(d, "fen").collect():
+        got.setdefault(r.fen[:2], set()).add(r.feature)
+    rest = lambda k: {x for x in got[k] if not x.startswith("open")}
+    assert rest("r3") == {"white knight fork", "weak white back rank", "exposed black king"}
+    assert rest("4k") == {"exposed white king", "exposed black king"}
+    assert rest("6k") == {"exposed white king"}
