@@ -55,7 +55,7 @@ _OUT = frozenset("head nav footer aside form button select menu dialog object ca
 #: Names that settle open cases, firmly and less so, and words that say nothing beside them.
 _FIRM = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus newsletter popup promo promotion replies sidebar sponsor sponsored".split())
 _SOFT = frozenset("banner breadcrumb breadcrumbs complementary contentinfo copyright footer form header login masthead modal nav navbar navigation notice notices related search share sharing signup social subscribe toolbar widget".split())
-_NEUTRAL = frozenset("area bar block body box button buttons container content group inner item items js layer left link links list main outer panel right row section slot text top unit wrap wrapper".split())
+_NEUTRAL = frozenset("area bar block body box button buttons container content group item items js layer global inner left link links list main outer panel right row section site slot text top unit wrap wrapper".split())
 #: Share of the host's article text from which on a group of such a name is part of the article.
 SHARES = (0.0, 0.25, 0.5)
 #: What an open element ends when it starts.
