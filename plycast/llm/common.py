@@ -104,16 +104,22 @@ def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
     return [(changed[f.name].cast(f.dataType) if f.name in changed else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema]
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
-    """Inner equality join with a ``right`` of one row per key that knows how many rows (``n``) of ``left`` have it.
+def heat(right: DataFrame, n: str) -> tuple[int, int]:
+    """The most rows of a key, and those of all."""
+    return tuple(x or 0 for x in right.agg(F.max(n), F.sum(n)).first())
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, known: tuple[int, int] | None = None) -> DataFrame:
+    """Inner equality join with a ``right`` of one row per key that knows how many rows (``n``) of ``left`` have it; its
+    ``heat`` may be ``known``.
 
     Keys of more than a thousandth of these rows, fewer than a thousand keys at any size, are sent to the tasks, so the
     rows of a hot key stay where they are; the others meet by a shuffle. ``left`` and ``right`` should be stored.
     """
-    many = right.agg(F.max(n), F.sum(n)).first()
-    if not many[1] or many[0] * 1000 <= many[1]:
+    most, total = known or heat(right, n)
+    if most < 1000 or most * 1000 <= total:
         return left.join(right.drop(n), on)
-    hot, cold = right.filter(F.col(n) * 1000 > many[1]), right.filter(F.col(n) * 1000 <= many[1])
+    hot, cold = right.filter(F.col(n) * 1000 > total), right.filter(F.col(n) * 1000 <= total)
     met = left.join(F.broadcast(hot.drop(n)), on)
     return met.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.drop(n), on))
 
