@@ -81,11 +81,6 @@ def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[list[list]
     return map_batches(df, schema, batches)
 
 
-def text_key(text: str = "text") -> Column:
-    """Rows of the same doc_id and text are one document; this tells texts under one doc_id apart."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def blank_null(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
