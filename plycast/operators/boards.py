@@ -48,10 +48,6 @@ def square_name(index: Column) -> Column:
     return F.concat(F.char(F.lit(97) + index % 8), (8 - F.floor(index / 8)).cast("string"))
 
 
-def square_index(name: Column) -> Column:
-    return ((8 - F.substring(name, 2, 1).cast("int")) * 8 + F.ascii(name) - 97).cast("int")
-
-
 def piece_name(piece: Column) -> Column:
     out = None
     for k, v in NAMES.items():

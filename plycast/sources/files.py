@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +39,32 @@ def tidy(spark: SparkSession) -> None:
 
 
 def read_puzzles(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """A puzzle CSV, plain or compressed; a header other than the declared one is an error. A compressed file is one
-    split, so ``partitions`` spreads its rows after the read."""
-    d = spark.read.csv(path, header=True, schema=PUZZLE_CSV, enforceSchema=False, mode="FAILFAST", escape='"')
+    """A puzzle CSV, plain or compressed (.zst too, which Spark's own reader needs a native library for); a header other than
+    the declared one is an error. A compressed file is one split, so ``partitions`` spreads its rows after the read."""
+    zst = path.endswith(".zst")
+    d = _read_zst(spark, path) if zst else spark.read.csv(path, header=True, schema=PUZZLE_CSV, enforceSchema=False, mode="FAILFAST", escape='"')
     d = d.select(*(F.col(a).alias(b) for a, b in PUZZLE_NAMES.items()))
     return d.repartition(partitions) if partitions else d
 
 
+def _read_zst(spark: SparkSession, path: str) -> DataFrame:
+    """Files up to the 2 GB that a row can hold, unpacked as a stream, a few thousand rows at a time."""
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        for pdf in it:
+            for content in pdf["content"]:
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True) as packed:
+                    found = csv.reader(io.TextIOWrapper(packed, "utf-8", newline=""))
+                    if next(found, None) != list(PUZZLE_HEADER):
+                        raise ValueError("header of a puzzle file is not the declared one")
+                    while block := list(itertools.islice(found, 5000)):
+                        yield pd.DataFrame([[x or None for x in r] for r in block], columns=list(PUZZLE_HEADER), dtype="object")
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, PUZZLE_CSV)
+
+
 def write_puzzles(df: DataFrame, path: str, compression: str = "none") -> None:
     df.select(*(F.col(b).alias(a) for a, b in PUZZLE_NAMES.items())).write.csv(path, header=True, compression=compression, escape='"')
 

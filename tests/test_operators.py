@@ -254,3 +254,17 @@ def test_features_of_the_vocabulary(spark):
     assert rest("r3") == {"white knight fork", "weak white back rank", "exposed black king"}
     assert rest("4k") == {"exposed white king", "exposed black king"}
     assert rest("6k") == {"exposed white king"}
+
+
+def test_a_zst_dump_is_read_as_a_plain_one(spark, tmp_path):
+    import zstandard
+
+    rows = [",".join(files.PUZZLE_HEADER), 'p1,fen w - - 0 1,e2e4 e7e5,1500,75,95,800,"fork, short",https://x,', "p2,fen,a2a3,,75,95,800,pin,https://y,Open_Game"]
+    text = ("\n".join(rows) + "\n").encode()
+    (tmp_path / "a.csv").write_bytes(text)
+    (tmp_path / "a.csv.zst").write_bytes(zstandard.ZstdCompressor().compress(text[:150]) + zstandard.ZstdCompressor().compress(text[150:]))
+    plain, packed = (sorted(map(tuple, files.read_puzzles(spark, str(tmp_path / x)).collect())) for x in ("a.csv", "a.csv.zst"))
+    assert plain == packed and len(packed) == 2 and packed[0][7] == "fork, short"
+    (tmp_path / "b.csv.zst").write_bytes(zstandard.ZstdCompressor().compress(b"PuzzleId,Fen\n1,2\n"))
+    with pytest.raises(Exception, match="header"):
+        files.read_puzzles(spark, str(tmp_path / "b.csv.zst")).collect()
