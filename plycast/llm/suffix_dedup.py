@@ -316,7 +316,7 @@ def _owned(data: bytes, at: int) -> bytes:
     return data[place - back : place - back + more + LENGTH]
 
 
-def covered(docs: DataFrame, texts: DataFrame) -> DataFrame:
+def covered(texts: DataFrame) -> DataFrame:
     """__id, __key, start and stop of byte runs that repeat; they may overlap. ``texts`` has __id, __key and text."""
     met = texts.mapInArrow(_first_pass, ROWS).repartition("h").sortWithinPartitions("h", "own").mapInArrow(_second_pass, "kind int, h long, __id long, __key long, at long")
     met = written(met)
@@ -343,7 +343,6 @@ def covered(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _with_text(look: DataFrame, texts: DataFrame) -> DataFrame:
     own = look.groupBy("__id", "__key").agg(F.collect_list(F.struct("kind", "h", "at")).alias("look"))
-    # copies of a text in one document's rows are one
     return texts.join(own, ["__id", "__key"]).select("__id", "__key", "text", "look")
 
 
@@ -391,5 +390,5 @@ def suffix_array_dedup(docs: DataFrame) -> DataFrame:
             yield None if row == -(1 << 63) else row, len(data), sum(z - a for a, z in runs), len(runs), kept.hexdigest()
 
     texts = keyed(docs.select("doc_id", "text")).select("__id", "__key", blank_null().alias("text"))
-    spans = covered(docs, texts).groupBy("__id", "__key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = covered(texts).groupBy("__id", "__key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return map_rows(texts.join(spans, ["__id", "__key"], "left").select("__id", "text", "spans"), RESULT, rows)
