@@ -59,12 +59,12 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _index(fps: DataFrame) -> DataFrame:
-    """key and fp: each distinct fingerprint under its 64 keys."""
+    """Each row of distinct fingerprints under its 64 keys."""
     keys = []
     for s, (at, width) in enumerate(SEGMENTS):
         seg = F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1)
         keys += [F.lit((s * 32 + j) << 22).bitwiseOR(seg.bitwiseAND(~(1 << j) & ((1 << width) - 1))) for j in range(width)]
-    return fps.select("fp").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "*")
 
 
 def _linked(most: int) -> Column:
@@ -82,22 +82,23 @@ def _linked(most: int) -> Column:
 
 def links(fps: DataFrame, most: int = BITS) -> DataFrame:
     """All pairs a < b of distinct ``fp`` values at ``most`` (at most 5) or fewer differing bits."""
-    a, b = _index(fps).alias("a"), _index(fps).alias("b")
+    index = _index(fps.select("fp").distinct())
+    a, b = index.alias("a"), index.alias("b")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _linked(most)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def cluster_links(fps: DataFrame, most: int = BITS) -> DataFrame:
     """Links that connect what ``links`` connects, without a dense cluster's pairs. At each key the members within reach of
-    the smallest one are linked to it alone. Where a key's members are not all connected by that, those outside of its
-    largest component are compared with all others that are in another one."""
-    own = Window.partitionBy("key")
-    met = _index(fps).withColumns({"centre": F.min("fp").over(own), "n": F.count("*").over(own)}).filter("n > 1")
-    met = cut(met.select("key", "fp", "centre"))
-    star = cut(met.filter((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= most)).select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
-    part = met.join(components(star), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
-    sizes = part.groupBy("key", "part").agg(F.count("*").alias("n"))
-    torn = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    left = cut(part.join(torn, "key"))
+    the smallest one are linked to it alone. Where a key's members are not all connected by that, those outside of that
+    one's component are compared with all that are in another component than theirs."""
+    own, known = Window.partitionBy("key"), fps.select("fp").distinct()
+    met = _index(known).withColumn("centre", F.min("fp").over(own))
+    near = (F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= most)
+    star = cut(met.filter(near).select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
+    part = known.join(components(star), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part"))
+    torn = F.min("part").over(own) != F.max("part").over(own)
+    left = _index(part).withColumns({"torn": torn, "most": F.min_by("part", "fp").over(own)}).filter("torn")
+    left = cut(left.select("key", "fp", "part", "most"))
     a, b = left.filter("part <> most").alias("a"), left.alias("b")
     apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.most")) | (F.col("a.fp") < F.col("b.fp")))
     both = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _linked(most))
