@@ -74,11 +74,14 @@ def grid_to_placement(labels: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, compress(F.array_join(F.col("x.p"), "")).alias("placement"))
 
 
+def _square_names() -> Column:
+    return F.array(*(F.lit(f"{chr(97 + i % 8)}{8 - i // 8}") for i in range(64)))
+
+
 def pieces(board: Column) -> Column:
     """White: Ke1, Qd1, ..., pawns a2 b2 and the same for Black; (none) for a side without pieces. No row leaves its place."""
-    man = lambda i: F.substring(board, i + 1, F.lit(1))
-    there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: man(i) != ".")
-    men = F.array_sort(F.transform(there, lambda i: F.struct(F.call_function("locate", man(i), F.lit("KQRBNPkqrbnp")).alias("k"), square_name(i).alias("s"))))
+    placed = F.transform(F.split(board, ""), lambda c, i: F.struct(F.call_function("locate", c, F.lit("KQRBNPkqrbnp")).alias("k"), F.get(_square_names(), i).alias("s")))
+    men = F.array_sort(F.filter(placed, lambda p: p["k"] > 0))
 
     def side(x: Column, first: int) -> Column:
         own = F.transform(F.filter(x, lambda p: p["k"].between(first, first + 4)), lambda p: F.concat(F.substring(F.lit("KQRBN"), p["k"] - first + 1, F.lit(1)), p["s"]))
