@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plycast.functions.lineage import settle
+
 UCI = "^[a-h][1-8][a-h][1-8][qrbn]?$"
 #: Caps (fixed values).
 MAX_LINES, MAX_PV, MAX_FEN, EXPLAIN_BYTES, SCAN_BYTES = 5, 12, 100, 16_384, 2_000_000
@@ -105,7 +107,8 @@ def gates(df: DataFrame, limit: int, window: str, cap: int) -> DataFrame:
     d = rate_limit(df, limit, window)
     early = F.when(~F.col("admitted"), "rate").when(~F.col("fits"), "size").when(F.col("reason").isNotNull(), "schema").when(~F.coalesce("legal", F.lit(False)), "legality")
     d = d.withColumn("early", early)
-    ok = daily_budget(d.filter("early is null").select("event_id", "ts"), F.lit(cap)).select("event_id", "within")
+    left = settle(d.filter("early is null").select("event_id", "ts"))  # two columns, read by each part of the budget
+    ok = daily_budget(left, F.lit(cap)).select("event_id", "within")
     j = d.join(ok, "event_id", "left")
     return j.withColumn("stage", F.coalesce("early", F.when(F.col("within"), "passed").otherwise("budget"))).drop("early", "admitted", "within")
 
