@@ -36,7 +36,7 @@ class _Hashes(dict):
     """Word to 32-bit hash; kept for a worker's life, emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = zlib.crc32(word)
         return h
