@@ -40,26 +40,57 @@ def rate_counts(stream: DataFrame, limit: int, window: str, late: str = "10 minu
     return g.select(F.col("window.start").alias("start"), client, "n", F.least("n", F.lit(limit)).alias("admitted"))
 
 
-def budget_batch(top: str, cap: int):
-    """A foreachBatch step that admits the first ``cap`` requests of each UTC day. What each batch used is written under
-    its number, so a batch that runs again starts from the same state and writes the same."""
+def _versions(spark: SparkSession, state: str) -> list[int]:
+    """Batches whose state is stored, ascending; half-written ones have another name."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def _replaced(df: DataFrame, path: str, aside: str) -> None:
+    """Writes a table beside its place and renames it, so that readers find it whole or not at all."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(aside)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot rename {aside}")
+
+
+def _state(spark: SparkSession, top: str, before: int | None = None) -> DataFrame:
+    known = [v for v in _versions(spark, f"{top}/state") if before is None or v < before]
+    schema = "utc_day date, used long"
+    return spark.read.schema(schema).parquet(f"{top}/state/version={known[-1]}") if known else spark.createDataFrame([], schema)
+
+
+def budget_batch(top: str, cap: int, keep: int = 3):
+    """A foreachBatch step that admits the first ``cap`` requests of each UTC day. The state after each batch is a table of a
+    row per day, stored under the batch's number: a batch that runs again starts from the state before it and writes the same.
+    The last ``keep`` states stay. A day's count stops one past the cap."""
     from plycast.operators.requests import daily_budget
 
     def step(batch: DataFrame, k: int) -> DataFrame:
-        spark, state = batch.sparkSession, f"{top}/state"
-        used = spark.createDataFrame([], "utc_day date, used long, version int")
-        if exists(spark, state):
-            used = spark.read.parquet(state).filter(F.col("version") < k)
-        used = used.groupBy("utc_day").agg(F.sum("used").alias("used"))
+        spark, day = batch.sparkSession, F.to_date("ts").alias("utc_day")
+        used = _state(spark, top, k)
+        fresh = batch.groupBy(day).agg(F.count("*").alias("used"))
+        now = used.unionByName(fresh).groupBy("utc_day").agg(F.least(F.sum("used"), F.lit(cap + 1)).alias("used"))
+        _replaced(now.coalesce(1), f"{top}/state/version={k}", f"{top}/state/_new-{k}")
+        for v in [v for v in _versions(spark, f"{top}/state") if v <= k][:-keep]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/state/version={v}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         d = batch.withColumn("utc_day", F.to_date("ts")).join(used, "utc_day", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-        out = daily_budget(d, F.lit(cap) - F.col("used")).drop("used")
-        mine = out.filter("within").groupBy("utc_day").agg(F.count("*").alias("used"))
-        mine.write.mode("overwrite").parquet(f"{state}/version={k}")
-        return out.drop("utc_day")
+        return daily_budget(d, F.lit(cap) - F.col("used")).drop("used", "utc_day")
 
     return step
 
 
+def budget_used(spark: SparkSession, top: str) -> DataFrame:
+    """utc_day and used, as a budget's last batch left them, for monitoring: nothing is counted or changed by reading."""
+    return _state(spark, top)
+
+
 def deepening(stream: DataFrame, key: str = "position_id") -> DataFrame:
     """Rows (key, seq, depth) deeper than all before them in their search; the deepest so far is the state."""
 
