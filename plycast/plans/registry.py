@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that hold the queries."""
-    from plycast.plans import dump, logs, positions, prompts, scores, squares, streams, texts  # noqa: F401
+    from plycast.plans import corpus, dump, logs, positions, prompts, scores, squares, streams, texts  # noqa: F401

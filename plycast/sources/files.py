@@ -111,6 +111,31 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_once(df: DataFrame, path: str, run: str, batch: int) -> bool:
+    """Appends a batch of a run as a whole or not at all, and once: it is written to a folder that readers pass over, and
+    renamed when all tasks are done. False if the batch is there already; what a crash left is written anew."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    top, aside, place = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", f"/_staged/{run}-{batch}", f"/run={run}/batch={batch}"))
+    fs = top.getFileSystem(conf)
+    if fs.exists(place):
+        return False
+    df.write.mode("overwrite").json(aside.toString())
+    fs.mkdirs(place.getParent())
+    if not fs.rename(aside, place):
+        raise OSError(f"cannot rename {aside.toString()}")
+    return True
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches that were finished, with run and batch."""
+    return spark.read.schema(f"{schema}, run string, batch int").json(path)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Queries and the ids that were picked for them by hand."""
+    return read_required(spark, path, "query_id long, ids array<long>")
+
+
 def write_shards(df: DataFrame, path: str, per_shard: int, split: str, order: str) -> None:
     from plycast.operators.sampling import shards
 
