@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plycast-shared").rstrip("/")
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one in the warehouse, which on
+    a cluster must not be a folder of one machine."""
+    if known := spark.conf.get("spark.checkpoint.dir", None):
+        return known.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/plycast-shared"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import io
 import itertools
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,20 +24,30 @@ PUZZLE_NAMES = dict(zip(PUZZLE_HEADER, ("puzzle_id", "csv_fen", "moves", "rating
 LINE = "struct<multipv:int,depth:int,cp:double,mate:double,pv:array<string>>"
 REQUEST = f"event_id long, ts timestamp, mode string, fen string, lines array<{LINE}>, verdict struct<moveUci:string,moveClass:string,winPctBefore:double,winPctAfter:double>, playedLine {LINE}, bestLine {LINE}"
 
-_HANDED_OUT: list[str] = []
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach. ``tidy`` removes those that have been handed out."""
-    _HANDED_OUT.append(f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
-    return _HANDED_OUT[-1]
-
-
-def tidy(spark: SparkSession) -> None:
-    """Removes scratch folders: for when what was read from them has been stored."""
-    while _HANDED_OUT:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """A new folder that all executors reach."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    if (scope := _SCRATCH.get()) is not None:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch folders that were handed out inside, to this call alone, at its end: what was read from them must
+    have been stored by then."""
+    mine: list[str] = []
+    before = _SCRATCH.set(mine)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_puzzles(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:

@@ -157,3 +157,21 @@ def test_prompts_are_asked_some_at_a_time(spark, in_flight):
     assert max(r.input_tokens or 0 for r in got) == in_flight
     assert {r.prompt: r.error for r in got if r.error} == {"7": "TimeoutError: busy", "8": "ValueError: refused"}
     assert got[9].text == "9:3" and got[10].text == "10:1"
+
+
+def test_scratch_folders_go_with_their_call(spark):
+    """Folders of a call that has ended go, those of others, threads and inner calls included, stay."""
+    import os
+
+    put = lambda name: (p := files.scratch(spark, name), spark.range(2).write.parquet(p))[0]
+    other = []
+    outside = put("outside")
+    with files.tidied(spark):
+        mine = put("mine")
+        t = threading.Thread(target=lambda: other.append(put("thread")))
+        t.start()
+        t.join()
+        with files.tidied(spark):
+            inner = put("inner")
+        assert not os.path.exists(inner) and os.path.exists(mine)
+    assert not os.path.exists(mine) and os.path.exists(outside) and os.path.exists(other[0])
