@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plycast.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from plycast.llm.common import discard, made, shared, table
+from plycast.llm.common import discard, shared, table, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        n = len(made())
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        discard(spark, *made(n), *([before] if before else []))
+        with tables() as mine:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        discard(spark, *mine, *([before] if before else []))
         before = f"{folder}/{name}"
         docs = spark.read.parquet(before)
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plycast-shared").rstrip("/")
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else one in the warehouse, which on
+    a cluster must not be a folder of one machine."""
+    if known := spark.conf.get("spark.checkpoint.dir", None):
+        return known.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/plycast-shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,22 +39,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_TABLES: list[str] = []
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """Names the tables that ``written`` stores inside, by this call alone: other threads and queries of the session have
+    scopes of their own, or none. The list is for ``discard``, when what reads the tables has been stored."""
+    mine: list[str] = []
+    before = _TABLES.set(mine)
+    try:
+        yield mine
+    finally:
+        _TABLES.reset(before)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed. ``made`` names it."""
+    """Like ``cut``, as a Parquet table in the shared folder: for larger tables, as it is compressed. A scope of ``tables`` names it."""
     path = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    if (scope := _TABLES.get()) is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def made(before: int = 0) -> list[str]:
-    """Paths of the tables that ``written`` has stored, but for the first ``before``."""
-    return _TABLES[before:]
-
-
 def discard(spark: SparkSession, *paths: str) -> None:
     """Removes tables: for when results that read them have been stored."""
     for path in paths:

@@ -5,7 +5,10 @@ a shingle, so that a text of n words has n + 4 of them and the shortest one has
 through ``SLOTS`` permutations x -> a x + b mod 2^64 (a odd) in numpy; a signature is the least value of each. A fingerprint
 keeps a byte of each (b-bit MinHash); the likeness of two is the share of equal bytes, less what chance makes equal.
 
-``near_duplicates`` joins bands of signatures in Spark and verifies the Jaccard similarity of what meets.
+``near_duplicates`` joins bands of four slots in Spark. In each bucket the smallest id meets the others, and the Jaccard
+similarity of their shingle sets, from the whole texts, decides whether they are linked. Where a bucket's members are in
+more than one class after that, those outside of its first class meet all that are in another class than theirs, so that no
+link between texts that share a band is lost, though those of one class are not all compared.
 
 Defined cases: a null text is empty; texts without words have a fingerprint of zeros, like each other and nothing else; rows
 are ordered by doc_id, null first, then by text; a single document is its own next one; other columns play no part. A
@@ -26,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plycast.llm.common import blank_null, map_batches, map_rows, written
+from plycast.llm.common import blank_null, components, cut, map_batches, map_rows, spread_join, written
 
-WORDS, SLOTS, PIECE, REMEMBERED = 5, 128, 1 << 20, 400_000
+WORDS, SLOTS, ROWS, PIECE, REMEMBERED = 5, 128, 4, 1 << 20, 400_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 BLANKS = np.zeros(WORDS - 1, np.uint64)
 #: How many shingles are permuted at once: SLOTS numbers each, which fit a processor's cache.
@@ -104,6 +107,61 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, (same * 256 - len(a)) / (len(a) * 255))
 
 
+def bands(signature: np.ndarray) -> list[int]:
+    """A hash of each ``ROWS`` slots and the band's number."""
+    return [xxhash.xxh64_intdigest(signature[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(signature), ROWS)]
+
+
+def _banded(columns: list[list]) -> Iterator[tuple]:
+    known, perms = _Hashes(), permutations()
+    for number, text in zip(*columns, strict=True):
+        yield number, bands(least(shingles(word_hashes(text, known)), perms))
+
+
+def _alike(share: float):
+    def rows(columns: list[list]) -> Iterator[tuple]:
+        known = _Hashes()
+        for a, b, one, other in zip(*columns, strict=True):
+            x, y = (np.unique(shingles(word_hashes(t, known))) for t in (one, other))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= share * (len(x) + len(y) - both):
+                yield a, b
+
+    return rows
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """Pairs a, b whose texts are alike."""
+    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    return cut(map_rows(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b"), "a long, b long", _alike(share)))
+
+
+def near_duplicates(docs: DataFrame, share: float = 0.8) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id that links of a Jaccard similarity of ``share`` or more reach, for each row.
+    Equal texts are one; null ids are none's class but their own texts'. With bands of four of 128 slots a pair at 0.8
+    meets in one at least but for one in ten million."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text"))
+    d = d.select("*", F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("n")).alias("same"))
+    equal = cut(d.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    one = d.groupBy("same").agg(F.first("text").alias("text"))
+    texts = written(one.join(equal, "same").select("id", "text"))
+    index = written(map_rows(texts, "id long, keys array<long>", _banded).select("id", F.explode("keys").alias("key")))
+    first = index.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    links = _verified(spread_join(index, first, ["key"], "n").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), texts, share)
+    part = cut(equal.select("id").join(components(links), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("part")))
+    held = index.join(part, "id")
+    torn = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "low", "n")
+    left = cut(spread_join(held, torn, ["key"], "n"))
+    a, b = left.filter("part <> low").alias("a"), left.alias("b")
+    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.low")) | (F.col("a.id") < F.col("b.id")))
+    more = a.join(b, (F.col("a.key") == F.col("b.key")) & apart).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    roots = components(links.unionByName(_verified(more, texts, share)))
+    own = equal.join(roots, F.col("id") == F.col("node"), "left").select("same", "least", "copies", F.coalesce("root", "id").alias("root"))
+    ids = own.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    of_text = cut(spread_join(cut(own), cut(ids), ["root"], "n").select("same", "copies", "class_id"))
+    return spread_join(d.select("doc_id", "same"), of_text, ["same"], "copies").select("doc_id", "class_id")
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points replaced by the first as many of the following text, or all of it."""
     n = len(text) // 4

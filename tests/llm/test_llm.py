@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -830,10 +831,36 @@ def test_sql_gives_the_same(spark, small):
     from plycast.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, small)
         got = con.execute(sql)
         cols = [x[0] for x in got.description]
         assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, got.fetchall()))
+
+
+def test_queries_of_one_session_keep_their_tables(spark, small):
+    """A pipeline that removes its stages' tables leaves those of queries in other threads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+    from plycast.llm import common
+    from plycast.llm.queries import QUERIES
+
+    left = lambda: {f for f in os.listdir(common.shared(spark)) if f.startswith("table-")}
+    before = left()
+    rows = lambda name: sorted(map(repr, QUERIES[name](spark, small).collect()))
+    names = ["op4_suffix_array_dedup", "op1_line_dedup", "op10_pii"] * 2
+    with ThreadPoolExecutor(4) as pool:
+        whole = pool.submit(lambda: sorted(map(repr, (r[:5] for r in corpus_pipeline.run(spark, small).collect()))))
+        found = list(pool.map(rows, names))
+        packed = whole.result()
+    assert packed == sorted(map(repr, (r[:5] for r in corpus_pipeline.run(spark, small).collect())))
+    assert found[:3] == found[3:] and all(found)
+    made = left() - before
+    with common.tables() as mine:
+        assert rows("op4_suffix_array_dedup") == found[0]
+    assert mine and {os.path.basename(p) for p in mine} == left() - before - made
+    common.discard(spark, *mine)
+    assert left() - before == made

@@ -263,3 +263,43 @@ def test_a_long_text_is_hashed_in_pieces(monkeypatch):
     monkeypatch.setattr(fingerprints, "PIECE", 700)
     assert fingerprints._Prints().alone(text) == whole
     assert fingerprints._Prints().pair(text, text) == (whole, whole)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Groups of near copies, chains, a dense group around no centre, equal texts, short and empty ones, null ids."""
+    r, rows = random.Random(2), []
+    for g in range(25):
+        base = prose(g, r.randint(40, 120)).split()
+        for _ in range(r.randint(1, 7)):
+            own = list(base)
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(len(own))] = f"changed{r.randint(0, 9)}"
+            rows.append((r.randint(0, 10**6), " ".join(own)))
+    base = prose(99, 150).split()
+    rows += [(2_000_000 + k, " ".join(f"new{i}" if i < 4 * k else w for i, w in enumerate(base))) for k in range(12)]  # a chain
+    rows += [(7, None), (8, ""), (9, " \n"), (11, "a b"), (12, "a b"), (12, "a  b"), (None, rows[0][1]), (None, "only a null id here")]
+    got = fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    h = fingerprints._Hashes()
+    sets = [frozenset(fingerprints.shingles(fingerprints.word_hashes(t or "", h)).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for k in range(i):
+            both = len(a & sets[k])
+            if both >= 0.8 * (len(a) + len(sets[k]) - both):
+                root[find(i)] = find(k)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(d)
+    want = sorted(((d, min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows)), key=repr)
+    assert sorted(((x.doc_id, x.class_id) for x in got), key=repr) == want
+    assert len(set(map(find, range(len(rows))))) < len(rows) - 40
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    assert fingerprints.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
