@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are canonicalised: numbers, names (capitalised inside a sentence) and units (after a number) become typed
-placeholders, all other words their lower-case letters without outer punctuation. Windows of ``WINDOW`` canonical
+Words are canonicalised: numbers (in digits or English words, a run of words being one), names (runs of words capitalised
+inside a sentence) and units (after a number, or glued to it, or a sign like that of a currency) become typed placeholders,
+all other words their lower-case letters without outer punctuation. Windows of ``WINDOW`` canonical
 words of the documents are hash-joined to those of the benchmark. A match carries the values in the slots of both
 sides; along one alignment, each value of the item must stand for one value of the document and the other way round,
 else the windows with that slot do not count. A document leaks an item if matching windows make up ``SHARE`` of the item's windows.
@@ -37,13 +38,35 @@ WINDOW, LITERALS, SHARE = 8, 4, 0.5
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 _UNITS = frozenset("mm cm m km in ft mi mg g kg lb lbs oz ml l s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years metre metres meter meters kilometre kilometres kilometers mile miles foot feet inch inches gram grams kilogram kilograms kilograms pound pounds litre litres liter liters dollar dollars euro euros cent cents percent degree degrees mph kmh".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*[a-z%]{0,3}")
+#: Numbers as English words (fixed values).
+_COUNTS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: Signs that stand for units (fixed values).
+_SIGNS = {"$": "dollars", "€": "euros", "£": "pounds", "%": "percent", "°": "degrees"}
+#: A number with a sign before it or a sign or letters behind it, without a gap.
+_GLUED = re.compile(r"([$€£])?([+-]?\d(?:[\d.,:/]*\d)?)([a-z]+|[€$£%°])?")
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 7)) for x in ("<number>", "<name>", "<unit>"))
 _EXACT = np.uint64(xxhash.xxh64_intdigest("<exact>", 7))  # keeps exact windows apart from the others
-_IS_NUM, _IS_NAME, _IS_UNIT, _ENDS = (np.uint64(1 << k) for k in range(4))
-_FLAGS = np.uint64(15)
+_IS_NUM, _IS_NAME, _IS_UNIT, _ENDS, _IS_GLUED, _IS_COUNT = (np.uint64(1 << k) for k in range(6))
+_FLAGS = np.uint64(63)
 _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
 
 
+_BESIDE = "".join(c for c in _OUTER if c not in "$%+-")
+
+
+def _apart(word: str) -> list[str] | None:
+    """The number and the unit of a word that has both, the end of the sentence kept."""
+    core = word.strip(_BESIDE)
+    met = _GLUED.fullmatch(core.lower())
+    if not met or bool(met[1]) == bool(met[3]):
+        return None
+    unit = _SIGNS.get(met[1] or met[3], met[3])
+    if unit not in _UNITS:
+        return None
+    tail = word.rstrip("\"')»“”’")[-1:]
+    return [met[2], unit + (tail if tail in tuple(".!?:…") else "")]
+
+
 class _Forms(dict):
     """A word's hash with flags in its lowest bits; 0 for a word of punctuation alone."""
 
@@ -56,9 +79,11 @@ class _Forms(dict):
             form = 0
         else:
             number = bool(_NUMBER.fullmatch(low))
+            count = not number and all(x in _COUNTS for x in low.split("-"))
             name = not number and core[0].isupper() and core[1:].islower()
-            form = xxhash.xxh64_intdigest(low, 7) & ~15 | number | name << 1 | (low in _UNITS) << 2 | (word.rstrip("\"')»“”’")[-1:] in tuple(".!?:…")) << 3
-            form = form or 16
+            form = xxhash.xxh64_intdigest(low, 7) & ~63 | number | name << 1 | (low in _UNITS) << 2 | (word.rstrip("\"')»“”’")[-1:] in tuple(".!?:…")) << 3
+            form |= (_apart(word) is not None) << 4 | count << 5
+            form = form or 64
         self[word] = form
         return form
 
@@ -66,20 +91,39 @@ class _Forms(dict):
 _FORMS = _Forms()
 
 
+def _forms(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_FORMS.__getitem__, words), np.uint64, len(words))
+
+
 def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Canonical hashes, whether each is a placeholder, the words they came from, and the words' own hashes."""
+    """Canonical hashes, whether each is a placeholder, the words they came from, and the words' own hashes. A number that a
+    unit is glued to becomes two words; a run of number words, or of names, becomes one."""
     words = text.split()
-    form = np.fromiter(map(_FORMS.__getitem__, words), np.uint64, len(words))
+    form = _forms(words)
     if not form.all():
         words = [w for w, f in zip(words, form, strict=True) if f]
         form = form[form > 0]
     if not len(form):
         return form, form > 0, words, form
-    number = form & _IS_NUM > 0
+    if (form & _IS_GLUED).any():
+        words = [x for w, glued in zip(words, (form & _IS_GLUED > 0).tolist(), strict=True) for x in (_apart(w) if glued else [w])]
+        form = _forms(words)
+    before = lambda x: np.concatenate([[False], x[:-1]])
+    count = form & _IS_COUNT > 0
+    number = (form & _IS_NUM > 0) | count
     starts = np.concatenate([[True], form[:-1] & _ENDS > 0])
-    unit = (form & _IS_UNIT > 0) & np.concatenate([[False], number[:-1]])
-    name = (form & _IS_NAME > 0) & ~starts & ~unit
+    unit = (form & _IS_UNIT > 0) & before(number)
+    name = (form & _IS_NAME > 0) & ~starts & ~unit & ~number
     own = form & ~_FLAGS
+    on = (count & before(number) | name & before(name)) & ~starts
+    if on.any():  # the rest of a run goes into its first word
+        first = np.flatnonzero(~on)
+        ends = np.append(first[1:], len(words))
+        words = [words[i] if k == i + 1 else " ".join(w.strip(_OUTER) for w in words[i:k]) for i, k in zip(first.tolist(), ends.tolist(), strict=True)]
+        joined = own[first]
+        for at in np.flatnonzero(ends - first > 1).tolist():
+            joined[at] = np.bitwise_xor.reduce(own[first[at] : ends[at]] * (2 * np.arange(ends[at] - first[at], dtype=np.uint64) + np.uint64(1)))
+        own, number, unit, name = joined, number[first], unit[first], name[first]
     out = own.copy()
     for mask, value in ((number, _NUM), (unit, _UNIT), (name, _NAME)):
         out[mask] = value
