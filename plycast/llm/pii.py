@@ -27,7 +27,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plycast.llm.common import blank_null, cut, keyed, unpacked, written
+from plycast.llm.common import blank_null, cut, keyed, spread_join, unpacked, written
 
 # Possessive quantifiers keep the patterns' matches but stop them from trying a long run again at each of its characters.
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -175,10 +175,10 @@ def _entities(found: DataFrame) -> DataFrame:
 
 
 def supported(entities: DataFrame, words: DataFrame) -> DataFrame:
-    """entity, term and d_et of the pairs that stand in documents enough with different surroundings."""
-    pairs = entities.join(words, ["__id", "__key"]).select("entity", "around", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-    return pairs.groupBy("entity", "term").agg(F.sum("n").alias("d_et"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT).drop("support")
+    """entity, d_e, term and d_et of the pairs that stand in documents enough with different surroundings."""
+    pairs = entities.join(words, ["__id", "__key"]).select("entity", "d_e", "around", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "d_e", "term", "around").agg(F.count("*").alias("n"))
+    return pairs.groupBy("entity", "d_e", "term").agg(F.sum("n").alias("d_et"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT).drop("support")
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
@@ -191,14 +191,14 @@ def disclosing(docs: DataFrame) -> DataFrame:
     some = written(some.select("__id", "__key", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))).filter(_SOME)
     entities = cut(_entities(some))
     words = written(some.select("__id", "__key", _terms(F.col("text")).alias("terms")).dropDuplicates(["__id", "__key"]))
-    # entities of fewer documents can have no support, and need no pairs
+    # entities of fewer documents can have no support, and need no pairs; kinds are entities of very many
     of_entity = cut(entities.groupBy("entity").agg(F.count("*").alias("d_e")).filter(F.col("d_e") >= SUPPORT))
-    entities = entities.join(of_entity.select("entity"), "entity", "left_semi")
+    entities = spread_join(entities, of_entity.withColumn("n", F.col("d_e")), ["entity"], "n")
     # a term stands in as many documents at least as it does beside entities; pairs that fail on that alone need no count
     beside = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("d_least"))
     pmi = lambda d_t: F.log(F.lit(n) * F.col("d_et") / (F.col("d_e") * F.col(d_t)))
     told = lambda d_t: (pmi(d_t) > 0) & (pmi(d_t) >= DISCLOSE * F.log(F.lit(n) / F.col("d_e"))) & (F.col("d_et") * pmi(d_t) >= EVIDENCE)
-    kept = cut(supported(entities, words).join(of_entity, "entity").join(beside, "term").filter(told("d_least")).drop("d_least"))
+    kept = cut(supported(entities, words).join(beside, "term").filter(told("d_least")).drop("d_least"))
     wanted = kept.select("term").distinct()
     n_wanted = wanted.count()
     if not n_wanted:
