@@ -8,17 +8,20 @@ the same way, so each task aligns its own pages and partial wrappers meet in two
 spread. The wrapper then decides, for each of its groups:
 
 - Constants of ``AGREE`` or more different pages are the host's own, no article text.
-- Groups whose text is links for the most part, around a repeated group, are menus.
+- Groups whose text is links for the most part, around a repeated group, are menus, unless their links differ from page to
+  page and paragraphs of the article stand before and behind them.
 - The article is where text slots outside of these hold most characters: down from the root to where that text splits
   up. An ``article`` or ``main`` element wins unless several times its text stands elsewhere.
 - Names (class, id, role) settle what this leaves open: a group in the article named as an advert, comment, notice and
   the like goes, unless its slots hold so much of the host's article text that it must be part of it.
 
-Only what an element is by HTML itself (scripts, styles, forms, ``nav``, ``aside``, ``footer``, page ``header``, hidden
-ones) goes without asking the wrapper. On a host of one page the wrapper is that page.
+Only what an element is by HTML itself (scripts, styles, ``nav``, ``aside``, ``footer``, page ``header``, hidden ones)
+goes without asking the wrapper. A form goes unless it holds a quarter of the host's article text or more, as where a whole
+page stands in one. On a host of one page the wrapper is that page.
 
 All steps take time in proportion to a page's size: trees are walked without recursion, alignment looks ``BAND``
-siblings ahead, and a wrapper node keeps ``MAX_KIDS`` groups, others becoming part of its text slot.
+siblings ahead, a wrapper node keeps ``MAX_KIDS`` groups and a stored wrapper ``MAX_NODES``, those with the least text
+becoming part of the text slot of the group that they are in.
 
 Defined cases: null or empty html, or a page with no text in its article, gives an empty text; a null or odd url is
 a host of its own, ''; repeated rows each get a row and copies of a page speak once; unclosed elements end with their
@@ -49,9 +52,9 @@ _HIDDEN = re.compile(r"display\s*+:\s*+none")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_HOLDS = frozenset("html body div section article main table tbody tr td center ul ol dl".split())
+_HOLDS = frozenset("html body div section article main form table tbody tr td center ul ol dl".split())
 #: Elements that are no article text by what they are.
-_OUT = frozenset("head nav footer aside form button select menu dialog object canvas".split()) | _RAW
+_OUT = frozenset("head nav footer aside button select menu dialog object canvas".split()) | _RAW
 #: Names that settle open cases, firmly and less so, and words that say nothing beside them.
 _FIRM = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus newsletter popup promo promotion replies sidebar sponsor sponsored".split())
 _SOFT = frozenset("banner breadcrumb breadcrumbs complementary contentinfo copyright footer form header login masthead modal nav navbar navigation notice notices related search share sharing signup social subscribe toolbar widget".split())
@@ -63,7 +66,7 @@ _ENDS = {"p": _BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd":
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
 AGREE, BAND, MAX_KIDS, MAX_NODES, PERIOD = 3, 32, 64, 4000, 6
-SALTS = 32
+SALTS = (1024, 32)
 #: Hosts' places are sent to all tasks up to this many, else joined.
 MAX_SENT = 50_000
 
@@ -98,7 +101,7 @@ def _attributes(tag: str, attrs: str) -> tuple[str, int, bool]:
                 label = ".".join([tag, *sorted(_DIGITS.sub("0", x) for x in value.split())])
         elif name == "hidden" or _HIDDEN.search(value):
             hidden = True
-    return label, 0 if tag in ("html", "body", "article", "main") else named, hidden
+    return label, 0 if tag in ("html", "body", "article", "main") else max(named, tag == "form"), hidden
 
 
 def parse(page: str) -> Block:
@@ -169,7 +172,7 @@ def parse(page: str) -> Block:
                 while len(stack) > k:
                     pop()
         _, above, out, link = stack[-1]
-        label, named, hidden = _attributes(tag, attrs) if attrs else (tag, 0, False)
+        label, named, hidden = _attributes(tag, attrs) if attrs else (tag, int(tag == "form"), False)
         if not out:
             out = tag in _OUT or hidden or (tag == "header" and above.tag not in ("article", "main", "section")) or (tag not in _BLOCK and named == 2)
         block = above
@@ -332,13 +335,37 @@ def wrap(root: Block) -> Group:
     return top
 
 
+def _lightest_to_slots(g: Group) -> None:
+    """Leaves ``MAX_NODES`` groups: those with the most text that is not links in and under them, then the most links. The
+    others become part of the text slot of the group that they were in."""
+    order = list(_under(g))
+    if len(order) <= MAX_NODES:
+        return
+    number = {id(x): i for i, x in enumerate(order)}
+    weight, above = [1] * len(order), [0] * len(order)
+    for i in range(len(order) - 1, -1, -1):  # a group outweighs each that is in it
+        weight[i] += 16 * max(0, order[i].chars - order[i].linked) + order[i].linked
+        for k in order[i].kids:
+            weight[i] += weight[number[id(k)]]
+            above[number[id(k)]] = i
+    stays = set(sorted(range(len(order)), key=lambda i: (-weight[i], i))[:MAX_NODES])
+    into = list(range(len(order)))
+    for i, x in enumerate(order):
+        if i not in stays:
+            into[i] = into[above[i]]
+            own = order[into[i]]
+            own.chars, own.linked, own.text = own.chars + x.chars, own.linked + x.linked, -1
+    for i in stays:
+        order[i].kids = [k for k in order[i].kids if number[id(k)] in stays]
+
+
 def dumped(g: Group) -> str:
-    rows, todo, left = [], [(0, g)], MAX_NODES
-    while todo and left:
+    _lightest_to_slots(g)
+    rows, todo = [], [(0, g)]
+    while todo:
         depth, x = todo.pop()
         rows.append([depth, *x.row()])
         todo += [(depth + 1, k) for k in reversed(x.kids)]
-        left -= 1
     return json.dumps(rows, ensure_ascii=False)
 
 
@@ -370,7 +397,7 @@ def place(w: Group) -> Place:
     order = list(_under(w))
     at, above, number = {id(w): 0}, {}, {id(g): i for i, g in enumerate(order)}
     constants, menus = [], []
-    chars, linked, mass = ([0] * len(order) for _ in range(3))
+    chars, linked, mass, own = ([0] * len(order) for _ in range(4))
     for g in order:
         for k in g.kids:
             at[id(k)], above[id(k)] = _step(at[id(g)], k.label), g
@@ -381,9 +408,10 @@ def place(w: Group) -> Place:
             constants.append(_constant(at[id(g)], g.text))
         inner = [number[id(k)] for k in g.kids]
         chars[i], linked[i] = g.chars + sum(chars[k] for k in inner), g.linked + sum(linked[k] for k in inner)
-        mass[i] = (0 if fixed else max(0, g.chars - g.linked)) + sum(mass[k] for k in inner)
+        own[i] = 0 if fixed else max(0, g.chars - g.linked)
+        mass[i] = own[i] + sum(mass[k] for k in inner)
         if g.tag in _HOLDS and linked[i] >= 0.7 * max(1, chars[i]) and any("+" in k.quant for k in g.kids):
-            menus.append(at[id(g)])
+            menus.append(g)
             mass[i] = 0
     of = lambda g: mass[number[id(g)]]
     # names are asked only where there is as much or more text besides
@@ -406,7 +434,15 @@ def place(w: Group) -> Place:
         path.append(g.label)
         g = above[id(g)]
     stay = [at[id(g)] for g in _under(top) if g.named and of(g) >= SHARES[g.named] * max(1, of(top))]
-    return path[::-1], sorted(set(constants)), sorted(set(menus)), sorted(set(stay))
+    # links that differ from page to page, with article text before and behind them, are a list in the article
+    inside, first, lists = list(_under(top)), number[id(top)], set()
+    texts = [first + k for k, g in enumerate(inside) if own[first + k] and "p" in (g.tag, *(x.tag for x in g.kids))]
+    for g in menus:
+        i = number[id(g)]
+        size = sum(1 for _ in _under(g)) if first < i < first + len(inside) else 0
+        if size and texts and texts[0] < i and texts[-1] >= i + size and not g.named and all(x.text is None or x.text < 0 or x.seen.bit_count() < AGREE for x in _under(g)):
+            lists.add(id(g))
+    return path[::-1], sorted(set(constants)), sorted({at[id(g)] for g in menus if id(g) not in lists}), sorted(set(stay))
 
 
 def article(page: str | Block, found: Place) -> str:
@@ -467,7 +503,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             texts = [dumped(w) for w in found.values()]
-            salts = [zlib.crc32(t.encode()) % SALTS for t in texts]
+            salts = [zlib.crc32(t.encode()) % SALTS[0] for t in texts]
             batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(salts, pa.int32()), pa.array(texts, pa.string())], ["host", "salt", "wrapper"])
             found.clear()
             return batch
@@ -482,7 +518,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield out()
 
     parts = pages.select(host_of().alias("host"), "html").mapInArrow(partial, "host string, salt int, wrapper string")
-    return _folded(_folded(parts, "host", "salt").drop("salt"), "host")
+    # in rounds, so that no task meets more than a share of a host's partial wrappers
+    for salts in SALTS:
+        parts = _folded(parts.withColumn("salt", F.col("salt") % salts), "host", "salt")
+    return _folded(parts.drop("salt"), "host")
 
 
 def extract(pages: DataFrame, infer: bool = True) -> DataFrame:

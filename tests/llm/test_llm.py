@@ -499,6 +499,54 @@ def test_the_wrapper_tells_article_from_boilerplate(spark):
     assert all(alone[k] == want[k] + "\nWrite to our desk for more of this" for k in alone)
 
 
+def extracted(spark, pages, infer=True):
+    d = spark.createDataFrame([(i, f"https://host.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extraction.extract(d.repartition(3), infer).collect()}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_thousands_of_groups_before_the_article(spark, tag):
+    """120 menus of 60 differently named blocks each, more groups than a stored wrapper keeps: the lightest give way."""
+    menus = ("<div class=m%s>%s</div>" % (chr(97 + k % 26) * (1 + k // 26), "".join(f"<div class=b{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}><a href=x>go</a></div>" for i in range(60))) for k in range(120))
+    rows = list(menus)
+    menus = "".join(f"<div class=part{c}>{''.join(rows[40 * j : 40 * j + 40])}</div>" for j, c in enumerate("abc"))
+    texts = [[prose(10 * n + k, 30) + "." for k in range(3)] for n in range(4)]
+    pages = [f"<html><body>{menus}<{tag} class=story>{''.join(f'<p>{t}</p>' for t in x)}</{tag}></body></html>" for x in texts]
+    assert sum(1 for _ in html_extraction._under(html_extraction.wrap(html_extraction.parse(pages[0])))) > html_extraction.MAX_NODES
+    assert extracted(spark, pages) == {n: "\n".join(x) for n, x in enumerate(texts)}
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_a_page_in_a_form_and_forms_in_pages(spark, n):
+    texts = [[prose(10 * k + j, 40) + "." for j in range(3)] for k in range(n)]
+    body = lambda x: "<div class=menu><a href=a>One</a> <a href=b>Two</a></div><div class=story>" + "".join(f"<p>{t}</p>" for t in x) + "<form action=join><p>Join our list today</p><input name=q><button>Go</button></form></div>"
+    whole = [f"<html><body><form id=aspnetForm method=post>{body(x)}</form></body></html>" for x in texts]
+    plain = [f"<html><body>{body(x)}<form><label>Search</label><input></form></body></html>" for x in texts]
+    want = {k: "\n".join(x) for k, x in enumerate(texts)}
+    assert extracted(spark, whole) == want
+    assert extracted(spark, plain) == want
+
+
+def test_lists_of_links_in_an_article_stay(spark):
+    """Between paragraphs, differing from page to page; the host's own menu and links behind the article go."""
+    links = lambda k, n: "".join(f"<li><a href=u{j}>{prose(100 * k + j, 3)}</a></li>" for j in range(n))
+    menu = "<ul>" + "".join(f"<li><a href=m{j}>Section {chr(65 + j)}</a></li>" for j in range(6)) + "</ul>"
+    pages, want = [], {}
+    for k in range(5):
+        one, two = prose(7 * k, 50) + ".", prose(7 * k + 1, 50) + "."
+        pages.append(f"<html><body>{menu}<article><p>{one}</p><ul>{links(k, 4 + k)}</ul><p>{two}</p></article></body></html>")
+        want[k] = "\n".join([one, *(prose(100 * k + j, 3) for j in range(4 + k)), two])
+    assert extracted(spark, pages) == want
+
+
+def test_rounds_of_folding_give_one_wrapper_a_host(spark):
+    pages = [(i, f"https://h{i % 7}.example/", f"<body><div class=a>{prose(i, 9)}</div><div class=b{'x' * (i % 3)}>same</div></body>") for i in range(200)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(40)
+    got = html_extraction.wrappers(d).collect()
+    assert sorted(r.host for r in got) == sorted(f"h{k}.example" for k in range(7))
+    assert sum(html_extraction.loaded(r.wrapper).pages for r in got) == 200
+
+
 def test_copies_of_a_page_are_no_boilerplate(spark):
     page = "<body><article><h1>One</h1><p>The same text on all pages of the host.</p></article></body>"
     d = spark.createDataFrame([(k, "http://h.example.org/x", page) for k in range(9)], "page_id long, url string, html string")
