@@ -44,6 +44,7 @@ _COUNTS = frozenset("zero one two three four five six seven eight nine ten eleve
 _SIGNS = {"$": "dollars", "€": "euros", "£": "pounds", "%": "percent", "°": "degrees"}
 #: A number with a sign before it or a sign or letters behind it, without a gap.
 _GLUED = re.compile(r"([$€£])?([+-]?\d(?:[\d.,:/]*\d)?)([a-z]+|[€$£%°])?")
+_DIGIT = re.compile(r"\d")
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 7)) for x in ("<number>", "<name>", "<unit>"))
 _EXACT = np.uint64(xxhash.xxh64_intdigest("<exact>", 7))  # keeps exact windows apart from the others
 _IS_NUM, _IS_NAME, _IS_UNIT, _ENDS, _IS_GLUED, _IS_COUNT = (np.uint64(1 << k) for k in range(6))
@@ -79,10 +80,10 @@ class _Forms(dict):
             form = 0
         else:
             number = bool(_NUMBER.fullmatch(low))
-            count = not number and all(x in _COUNTS for x in low.split("-"))
+            count = low in _COUNTS or "-" in low and all(x in _COUNTS for x in low.split("-"))
             name = not number and core[0].isupper() and core[1:].islower()
             form = xxhash.xxh64_intdigest(low, 7) & ~63 | number | name << 1 | (low in _UNITS) << 2 | (word.rstrip("\"')»“”’")[-1:] in tuple(".!?:…")) << 3
-            form |= (_apart(word) is not None) << 4 | count << 5
+            form |= (_DIGIT.search(low) is not None and _apart(word) is not None) << 4 | count << 5
             form = form or 64
         self[word] = form
         return form
