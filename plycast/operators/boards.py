@@ -74,22 +74,25 @@ def grid_to_placement(labels: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, compress(F.array_join(F.col("x.p"), "")).alias("placement"))
 
 
-def _square_names() -> Column:
-    return F.array(*(F.lit(f"{chr(97 + i % 8)}{8 - i // 8}") for i in range(64)))
+def _men(board: Column) -> Column:
+    """A number for each man, 64 times its kind (from white's king on) and its square's place in the order of names, sorted."""
+    whole = F.rpad(board, 64, ".")
+    on = [F.call_function("locate", F.substring(whole, (7 - r) * 8 + f + 1, 1), F.lit("KQRBNPkqrbnp")) * 64 + (f * 8 + r) for f in range(8) for r in range(8)]
+    return F.filter(F.sort_array(F.array(*on)), lambda m: m >= 64)
 
 
 def pieces(board: Column) -> Column:
     """White: Ke1, Qd1, ..., pawns a2 b2 and the same for Black; (none) for a side without pieces. No row leaves its place."""
-    placed = F.transform(F.split(board, ""), lambda c, i: F.struct(F.call_function("locate", c, F.lit("KQRBNPkqrbnp")).alias("k"), F.get(_square_names(), i).alias("s")))
-    men = F.array_sort(F.filter(placed, lambda p: p["k"] > 0))
+    square = lambda m: F.concat(F.char(F.lit(97) + F.shiftright(m.bitwiseAND(63), 3)), (m.bitwiseAND(7) + 1).cast("string"))
 
-    def side(x: Column, first: int) -> Column:
-        own = F.transform(F.filter(x, lambda p: p["k"].between(first, first + 4)), lambda p: F.concat(F.substring(F.lit("KQRBN"), p["k"] - first + 1, F.lit(1)), p["s"]))
-        pawns = F.transform(F.filter(x, lambda p: p["k"] == first + 5), lambda p: p["s"])
+    def side(men: Column, first: int) -> Column:
+        kind = lambda m: F.shiftright(m, 6) - first
+        own = F.transform(F.filter(men, lambda m: kind(m).between(0, 4)), lambda m: F.concat(F.substring(F.lit("KQRBN"), kind(m) + 1, F.lit(1)), square(m)))
+        pawns = F.transform(F.filter(men, lambda m: kind(m) == 5), square)
         text = F.concat_ws(", ", F.when(F.size(own) > 0, F.array_join(own, ", ")), F.when(F.size(pawns) > 0, F.concat(F.lit("pawns "), F.array_join(pawns, " "))))
         return F.when(text == "", "(none)").otherwise(text)
 
-    return F.transform(F.array(men), lambda x: F.concat(F.lit("White: "), side(x, 1), F.lit("\nBlack: "), side(x, 7)))[0]
+    return F.transform(F.array(_men(board)), lambda men: F.concat(F.lit("White: "), side(men, 1), F.lit("\nBlack: "), side(men, 7)))[0]
 
 
 def piece_list(df: DataFrame, *keys: str) -> DataFrame:

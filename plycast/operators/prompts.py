@@ -34,8 +34,15 @@ def candidate_rows(lines: DataFrame, key: str) -> DataFrame:
     return g.select(key, "depth", F.array_join("x.row", "\n").alias("candidates"))
 
 
-def candidates_prompt(positions: DataFrame, rows: DataFrame, key: str, template: str = CANDIDATES, retrieval: str = "") -> DataFrame:
-    d = positions.join(rows, key)
+def candidate_text(lines: Column, side: Column) -> Column:
+    """The numbered rows of lines that a position carries itself, as an array of multipv, san, cp and mate: no row moves."""
+    row = lambda x: F.concat(x["multipv"].cast("string"), F.lit(". "), line_text(x["san"], x["cp"], x["mate"], side))
+    return F.array_join(F.transform(F.array_sort(lines), row), "\n")
+
+
+def candidates_prompt(positions: DataFrame, rows: DataFrame | None, key: str, template: str = CANDIDATES, retrieval: str = "") -> DataFrame:
+    """Positions with fen and pieces, and ``rows`` with their depth and candidates, if positions have not got these."""
+    d = positions if rows is None else positions.join(rows, key)
     values = {"fen": F.col("fen"), "side_to_move": side_name(F.col("fen")), "pieces": F.col("pieces"), "depth": F.col("depth").cast("string"), "candidates": F.col("candidates"), "retrieval": retrieval}
     return d.select(key, fill(template, values).alias("prompt"))
 

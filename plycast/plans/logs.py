@@ -163,12 +163,26 @@ def stream_deepening(spark, sf_dir):
 
 
 # files, there and back
-@query("puzzle_csv", "WITH " + st.PUZZLES_SQL + " SELECT puzzle_id, csv_fen, moves, trim(nb_plays) AS nb_plays, themes, coalesce(opening_tags, '') AS opening_tags FROM raw")
+PUZZLE_ROWS = "WITH " + st.PUZZLES_SQL + " SELECT puzzle_id, csv_fen, moves, trim(nb_plays) AS nb_plays, themes, coalesce(opening_tags, '') AS opening_tags FROM raw"
+
+
+def _puzzle_rows(d):
+    return d.select("puzzle_id", "csv_fen", "moves", F.trim("nb_plays").alias("nb_plays"), "themes", F.coalesce("opening_tags", F.lit("")).alias("opening_tags"))
+
+
+@query("puzzle_csv", PUZZLE_ROWS)
 def puzzle_csv(spark, sf_dir):
     path = files.scratch(spark, "puzzles")
     files.write_puzzles(st.puzzles(spark, sf_dir), path, "gzip")
-    d = files.read_puzzles(spark, path)
-    return d.select("puzzle_id", "csv_fen", "moves", F.trim("nb_plays").alias("nb_plays"), "themes", F.coalesce("opening_tags", F.lit("")).alias("opening_tags"))
+    return _puzzle_rows(files.read_puzzles(spark, path))
+
+
+@query("puzzle_zst", PUZZLE_ROWS)
+def puzzle_zst(spark, sf_dir):
+    """The same by files of zstd frames that end inside of records."""
+    path = files.scratch(spark, "puzzles") + ".zst"
+    files.write_puzzles_zst(st.puzzles(spark, sf_dir), path, 1 << 20)
+    return _puzzle_rows(files.read_puzzles(spark, path))
 
 
 @query("jsonl_records", "SELECT doc_id, (quality + toxic)::INTEGER AS score FROM labels ORDER BY doc_id")

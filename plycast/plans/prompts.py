@@ -37,9 +37,8 @@ def facts(spark, sf_dir):
 @query("candidates_prompt", SQL + f" SELECT puzzle_id, md5('FEN: ' || fen || chr(10) || side || ' is to move.' || chr(10) || pieces || chr(10) || 'Lines to depth ' || depth || ':' || chr(10) || '1. ' || san || ' — ' || {_phrase('cp')} || chr(10) || '2. ' || san || ' — ' || {_phrase('cp2')} || chr(10) || chr(10) || 'What should ' || side || ' play, and why?') AS prompt_md5 FROM named")
 def candidates_prompt(spark, sf_dir):
     d = facts(spark, sf_dir)
-    line = F.explode(F.array(F.struct(F.lit(1).alias("multipv"), F.col("cp").alias("c")), F.struct(F.lit(2).alias("multipv"), F.col("cp2").alias("c"))))
-    lines = d.select("puzzle_id", "depth", "san", F.col("turn").alias("side"), line.alias("l")).select("puzzle_id", "depth", "san", "side", "l.multipv", F.col("l.c").alias("cp"), F.lit(None).cast("int").alias("mate"))
-    p = pr.candidates_prompt(d.select("puzzle_id", "fen", "pieces"), pr.candidate_rows(lines, "puzzle_id"), "puzzle_id")
+    lines = F.array(*(F.struct(F.lit(n).alias("multipv"), "san", F.col(c).alias("cp"), F.lit(None).cast("int").alias("mate")) for n, c in ((1, "cp"), (2, "cp2"))))
+    p = pr.candidates_prompt(d.withColumn("candidates", pr.candidate_text(lines, F.col("turn"))), None, "puzzle_id")
     return p.select("puzzle_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import itertools
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +47,9 @@ def tidied(spark: SparkSession) -> Iterator[None]:
 
 
 def read_puzzles(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """A puzzle CSV, plain or compressed (.zst too, which Spark's own reader needs a native library for); a header other than
-    the declared one is an error. A compressed file is one split, so ``partitions`` spreads its rows after the read."""
+    """A puzzle CSV, plain or compressed; a header other than the declared one is an error. In files of zstd frames (.zst, or
+    a folder of such) each frame is a split and a record is a line; another compressed file is one split, so ``partitions``
+    spreads its rows after the read."""
     zst = path.endswith(".zst")
     d = _read_zst(spark, path) if zst else spark.read.csv(path, header=True, schema=PUZZLE_CSV, enforceSchema=False, mode="FAILFAST", escape='"')
     d = d.select(*(F.col(a).alias(b) for a, b in PUZZLE_NAMES.items()))
@@ -60,21 +57,19 @@ def read_puzzles(spark: SparkSession, path: str, partitions: int | None = None)
 
 
 def _read_zst(spark: SparkSession, path: str) -> DataFrame:
-    """Files up to the 2 GB that a row can hold, unpacked as a stream, a few thousand rows at a time."""
+    from plycast.sources import zst
 
-    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
+    wrong = F.raise_error("header of a puzzle file is not the declared one").cast("boolean")
+    rows = zst.read_lines(spark, path).filter(F.when(~F.col("first"), True).when(F.col("line") == ",".join(PUZZLE_HEADER), False).otherwise(wrong)).filter("line <> ''")
+    return rows.select(F.from_csv("line", PUZZLE_CSV.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST", "escape": '"'}).alias("r")).select("r.*")
 
-        for pdf in it:
-            for content in pdf["content"]:
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True) as packed:
-                    found = csv.reader(io.TextIOWrapper(packed, "utf-8", newline=""))
-                    if next(found, None) != list(PUZZLE_HEADER):
-                        raise ValueError("header of a puzzle file is not the declared one")
-                    while block := list(itertools.islice(found, 5000)):
-                        yield pd.DataFrame([[x or None for x in r] for r in block], columns=list(PUZZLE_HEADER), dtype="object")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, PUZZLE_CSV)
+def write_puzzles_zst(df: DataFrame, path: str, frame: int = 1 << 27) -> None:
+    """A folder (its name ends with .zst) of zstd files that begin with the header, a frame for each ``frame`` bytes."""
+    from plycast.sources import zst
+
+    line = F.to_csv(F.struct(*(F.col(b).alias(a) for a, b in PUZZLE_NAMES.items())), {"escape": '"'})
+    zst.append_lines(df.select(line.alias("line")), path, frame, ",".join(PUZZLE_HEADER))
 
 
 def write_puzzles(df: DataFrame, path: str, compression: str = "none") -> None:

@@ -268,3 +268,14 @@ def test_a_zst_dump_is_read_as_a_plain_one(spark, tmp_path):
     (tmp_path / "b.csv.zst").write_bytes(zstandard.ZstdCompressor().compress(b"PuzzleId,Fen\n1,2\n"))
     with pytest.raises(Exception, match="header"):
         files.read_puzzles(spark, str(tmp_path / "b.csv.zst")).collect()
+
+
+def test_candidates_in_place_and_from_a_table(spark):
+    from plycast.operators import prompts
+
+    rows = [("a", 2, 9, "e4", 35, None, "w"), ("a", 1, 11, "d4", -120, None, "w"), ("b", 1, 7, "Nf6", None, 3, "b")]
+    lines = spark.createDataFrame(rows, "id string, multipv int, depth int, san string, cp int, mate int, side string")
+    one = {r.id: r.candidates for r in prompts.candidate_rows(lines, "id").collect()}
+    held = lines.groupBy("id", "side").agg(F.collect_list(F.struct("multipv", "san", "cp", "mate")).alias("x"))
+    assert one == {r.id: r.t for r in held.select("id", prompts.candidate_text(F.col("x"), F.col("side")).alias("t")).collect()}
+    assert one["a"].splitlines()[0].startswith("1. d4 — ") and len(one["a"].splitlines()) == 2
