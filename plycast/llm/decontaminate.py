@@ -8,7 +8,9 @@ sides; along one alignment, each value of the item must stand for one value of t
 else the windows with that slot do not count. A document leaks an item if matching windows make up ``SHARE`` of the item's windows.
 
 A Bloom filter, sized by the number of the benchmark's windows up to a fixed bound, keeps most document windows from
-being shuffled at all; the join after it is exact and needs no broadcast.
+being shuffled at all; the join after it is exact and needs no broadcast. Items that differ in their slots' values only are one
+template and are told apart again at the end. Documents meet templates at the templates' rarest windows, as many as a
+leaking document cannot lack; only for the pairs so found are all windows looked up.
 
 Placeholders alone would miss copies of short items, where a first word may count as a name on one side only, and of items
 of numbers and names. Items of one window at most, or without a window of ``LITERALS`` words besides placeholders, are
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plycast.llm.common import cut, keyed, map_rows, unpacked
+from plycast.llm.common import cut, keyed, map_rows, spread_join, unpacked
 
 WINDOW, LITERALS, SHARE = 8, 4, 0.5
 #: Bits of the Bloom filter: 16 for each benchmark window, at least and at most so many (64 MB, for 33 million windows).
@@ -182,6 +184,9 @@ def _values(words: list[str], slots: np.ndarray, at: int, size: int) -> list[str
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
+    """The windows of each item. Items of one ``template`` have the same windows, and values in their slots that are equal or
+    differ at the same places, so that they leak alike; the values themselves are numbered from the item's start."""
+
     def rows(cols: list[list]) -> Iterator[tuple]:
         for item_id, text in zip(*cols, strict=True):
             tokens, slots, words, own = canonical(text or "")
@@ -190,20 +195,34 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
                 continue
             h, good = windows(tokens, slots, size)
             good &= size >= LITERALS
-            n = int(good.sum())
-            for at in np.flatnonzero(good).tolist():
-                yield item_id, at, size, False, n, int(h[at].astype(np.int64)), _values(words, slots, at, size)
+            n, number = int(good.sum()), {}
+            held = [(at, size, False, n, int(h[at].astype(np.int64)), [str(number.setdefault(v, len(number))) for v in _values(words, slots, at, size)]) for at in np.flatnonzero(good).tolist()]
             if not n or len(h) == 1:
                 h = exact_windows(own, size)
-                for at, x in enumerate(h.astype(np.int64).tolist()):
-                    yield item_id, at, size, True, len(h), x, []
-
-    return map_rows(items.select(F.col("item_id").cast("long"), "text"), "item_id long, item_at int, size int, exact boolean, n_windows int, h long, item_slots array<string>", rows)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """A row for each document and each item that it leaks; ``text_key`` tells apart texts under one doc_id."""
-    bench = cut(benchmark_windows(items))
+                held += [(at, size, True, len(h), x, []) for at, x in enumerate(h.astype(np.int64).tolist())]
+            template = xxhash.xxh3_128_hexdigest(repr(held))
+            for row in held:
+                yield item_id, template, *row
+
+    return map_rows(items.select(F.col("item_id").cast("long"), "text"), "item_id long, template string, item_at int, size int, exact boolean, n_windows int, h long, item_slots array<string>", rows)
+
+
+def candidates(found: DataFrame, bench: DataFrame, share: float) -> DataFrame:
+    """__id, text_key and template of all that can reach ``share``. To do so with k of a template's m windows, a document must
+    hold one of any m - k + 1 of them: the rarest are taken, so that a window of very many templates and documents makes
+    pairs only for templates that have nothing rarer."""
+    seen = found.groupBy("h").agg(F.count("*").alias("n"))
+    all_of = Window.partitionBy("template")  # an item's windows
+    rank = F.row_number().over(all_of.orderBy(F.coalesce("n", F.lit(0)), "item_at", "exact"))
+    most = F.count("*").over(all_of) - F.greatest(F.ceil(F.col("n_windows") * share), F.lit(1)) + 1
+    rare = cut(bench.join(seen, "h", "left").withColumns({"rank": rank, "most": most}).filter("rank <= most and n is not null").select("h", "template", "n").distinct())
+    return spread_join(found.select("__id", "text_key", "h"), rare, ["h"], "n").select("__id", "text_key", "template").distinct()
+
+
+def leaking_templates(docs: DataFrame, items: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """A row for each document and each template that it leaks, and the items of the templates."""
+    held_by = cut(benchmark_windows(items))
+    bench = held_by.drop("item_id").distinct()
     sizes = [tuple(r) for r in bench.select("size", "exact").distinct().collect()]  # twice WINDOW values at most
     bloom = bloom_of(bench)
     held = docs.sparkSession.sparkContext.broadcast(bloom)
@@ -225,23 +244,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
 
     own = keyed(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("__key").alias("text_key"), "text")
     found = map_rows(own, "doc_id long, text_key long, doc_at int, h long, doc_slots array<string>", rows)
-    both = found.join(bench, "h").filter(F.size("doc_slots") == F.size("item_slots")).withColumn("line", F.col("doc_at") - F.col("item_at")).distinct()
-    both = cut(both)
-    on = ["doc_id", "text_key", "item_id", "line"]
+    found = cut(found.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    near = cut(candidates(found, bench, share))
+    asked = cut(bench.join(near.groupBy("template").agg(F.count("*").alias("n")), "template"))
+    both = spread_join(near, asked, ["template"], "n").join(found, ["__id", "text_key", "h"])
+    both = cut(both.filter(F.size("doc_slots") == F.size("item_slots")).withColumn("line", F.col("doc_at") - F.col("item_at")).distinct())
+    on = ["__id", "text_key", "template", "line"]
     # one value on either side for each value on the other
     pairs = both.select(*on, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*on, F.col("s.item_slots").alias("item"), F.col("s.doc_slots").alias("doc")).distinct()
     good = both
     for own, other, slots in (("item", "doc", "item_slots"), ("doc", "item", "doc_slots")):
         torn = pairs.groupBy(*on, own).agg(F.count(other).alias("n")).filter("n > 1").groupBy(*on).agg(F.collect_set(own).alias("torn"))
-        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in on]
-        good = good.alias("b").join(torn.alias("t"), same, "left").filter(f"torn is null or not arrays_overlap({slots}, torn)").select("b.*")
-    hits = good.groupBy("doc_id", "text_key", "item_id").agg(
+        good = good.join(torn, on, "left").filter(f"torn is null or not arrays_overlap({slots}, torn)").drop("torn")
+    hits = good.groupBy("doc_id", "text_key", "template").agg(
         F.countDistinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.min("doc_at").cast("long").alias("first_word"),
         (F.max(F.col("doc_at") + F.col("size"))).cast("long").alias("end_word"), F.count_distinct(F.when(F.size("item_slots") > 0, F.col("item_at"))).alias("n_slotted"))
-    return hits.filter(F.col("n_matched") >= share * F.col("n_windows"))
+    return hits.filter(F.col("n_matched") >= share * F.col("n_windows")), held_by.select("item_id", "template").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """A row for each document and each item that it leaks; ``text_key`` tells apart texts under one doc_id. If an item_id has
+    several texts, the row is that of the one with the most windows matched."""
+    hits, items_of = leaking_templates(docs, items, share)
+    figures = ("n_matched", "n_windows", "first_word", "end_word", "n_slotted")
+    one = hits.join(items_of, "template").groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(*figures)).alias("x"))
+    return one.select("doc_id", "text_key", "item_id", *(f"x.{c}" for c in figures))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that leak no item, with the same columns."""
-    bad = decontaminate(docs, items, share).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    bad = leaking_templates(docs, items, share)[0].select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__key")).distinct()
     return keyed(docs).join(bad, ["__id", "__key"], "left_anti").select(*unpacked(docs))

@@ -356,7 +356,19 @@ REWORDED = [
 ]
 
 
-@pytest.mark.parametrize("asked", ["If {Anna} drives 250 km along the coast road in 4 hours and then rests for 2 hours before supper how fast was the car on average", "If {Anna} drives 30 dollars along the coast road in 4 percent and then rests for 2 percent before supper how fast was the car on average", "If {Anna Lee Smith} drives two hundred km along the coast road in 4h and then rests for 2h before supper how fast was the car on average"])
+def test_items_of_one_template_and_one_opening(spark):
+    opening = "please read the following question with care and answer it in one word"
+    same = [(k, f"A farmer sells {k + 3} sheep and {2 * k + 50} goats at the market every single week") for k in range(300)]
+    other = [(1000 + k, f"{opening} {' '.join(f'w{k}x{j}' for j in range(30))}") for k in range(300)]
+    item = spark.createDataFrame(same + other, "item_id long, text string")
+    rows = [(k, f"note{k} {opening} and then nothing more about it note{k}") for k in range(300)]
+    rows += [(500, "so A farmer sells 77 sheep and 81 goats at the market every single week then"), (501, f"see {other[7][1]} end"), (502, "A farmer sells 5 sheep and 5 goats at the market every single week")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, item).collect()}
+    assert {i for d, i in got if d == 500} == set(range(300)) and {i for d, i in got if d == 501} == {1007} and {d for d, _ in got} <= {500, 501, 502}
+    assert decontaminate.benchmark_windows(item).filter("item_id < 1000").select("template").distinct().count() == 1
+
+
 def test_rewordings_of_seven_kinds_are_found(spark, asked):
     """Each within other words, and each with numbers that contradict the item's equal ones is not whole any more."""
     plain = lambda t: t.replace("{", "").replace("}", "")
