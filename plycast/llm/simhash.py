@@ -5,7 +5,8 @@ linked fingerprints agree in that segment but for one bit. Every fingerprint is
 one of its bits left out (64 keys), and keys are joined by equality. The join's condition verifies the distance and
 keeps a pair at one key only: at its first segment with at most one differing bit, and there at that bit. Distinct
 fingerprints take part, so copies cost nothing, and a dense cluster is linked to one representative at each key instead
-of pair by pair; links become components by star contraction.
+of pair by pair; links become components by star contraction. Rows of a hot key stay where they are, and its figures are
+sent to them; at a crowded key only members that also agree in one of five slices of their other bits are compared.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows get equal results; a
 component of null doc_ids only has a null component_id; of the rows that tie for a component's smallest doc_id
@@ -26,6 +27,8 @@ from plycast.llm.common import components, cut, keyed, map_rows, spread_join, un
 
 SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: A key of more than total / HOT fingerprints is hot, one of more than CROWD is crowded.
+HOT, CROWD = 100, 1000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -87,21 +90,60 @@ def links(fps: DataFrame, most: int = BITS) -> DataFrame:
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _linked(most)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def cluster_links(fps: DataFrame, most: int = BITS) -> DataFrame:
+def hot_keys(known: DataFrame, share: int = HOT) -> DataFrame | None:
+    """The keys that hold more than one in ``share`` of the distinct fingerprints (some with half as many are among them), or
+    None. A key's members are those of two values of its segment, so the values are counted, three rows a fingerprint; fewer
+    than 2 * share values of a segment, and 22 keys of each, can be hot."""
+    masks = [((1 << width) - 1) << at for at, width in SEGMENTS]
+    values = [F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(m - (1 << 64) if m >> 63 else m).alias("fp")) for s, m in enumerate(masks)]
+    n = known.count()
+    counted = known.select(F.explode(F.array(*values)).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    keys = _index(counted.filter(F.col("n") * 2 * share > max(n, CROWD * share)).select("v.fp", "v.s"))
+    hot = cut(keys.filter(F.shiftright("key", 27) == F.col("s")).select("key").distinct())
+    return None if hot.isEmpty() else hot
+
+
+def _with_figures(index: DataFrame, hot: DataFrame | None, **figures: Column) -> DataFrame:
+    """Rows of the index with aggregates of their key. Hot keys are summed up in the tasks, and their figures, bounded like
+    the keys, are sent to their rows; the others meet by a shuffle."""
+    own = Window.partitionBy("key")
+    cold = index if hot is None else index.join(F.broadcast(hot), "key", "left_anti")
+    cold = cold.withColumns({k: c.over(own) for k, c in figures.items()})
+    if hot is None:
+        return cold
+    warm = index.join(F.broadcast(hot), "key", "left_semi")
+    told = cut(warm.groupBy("key").agg(*(c.alias(k) for k, c in figures.items())))
+    return cold.unionByName(warm.join(F.broadcast(told), "key"))
+
+
+def _slices(most: int) -> Column:
+    """The bits outside of the key's segment in ``most`` + 1 slices, one of which is equal in any linked pair."""
+    width = -(-43 // (most + 1))
+    segment = F.shiftright("key", 27)
+    rest = F.when(segment == 0, F.shiftrightunsigned("fp", 22))
+    for s, (at, long) in enumerate(SEGMENTS[1:], 1):
+        low, high = F.col("fp").bitwiseAND((1 << at) - 1), F.shiftrightunsigned("fp", at + long) if at + long < 64 else F.lit(0).cast("long")
+        rest = rest.when(segment == s, low.bitwiseOR(F.shiftleft(high, at)))
+    return F.array(*(F.shiftrightunsigned(rest, i * width).bitwiseAND((1 << width) - 1).bitwiseOR((i + 1) << width) for i in range(most + 1)))
+
+
+def cluster_links(fps: DataFrame, most: int = BITS, share: int = HOT, crowd: int = CROWD) -> DataFrame:
     """Links that connect what ``links`` connects, without a dense cluster's pairs. At each key the members within reach of
     the smallest one are linked to it alone. Where a key's members are not all connected by that, those outside of that
-    one's component are compared with all that are in another component than theirs."""
-    own, known = Window.partitionBy("key"), fps.select("fp").distinct()
-    met = _index(known).withColumn("centre", F.min("fp").over(own))
+    one's component are compared with all that are in another component than theirs; where they are more than ``crowd``,
+    with those of them that share a slice of the other bits."""
+    known = cut(fps.select("fp").distinct())
+    hot = hot_keys(known, share)
+    met = _with_figures(_index(known), hot, centre=F.min("fp"))
     near = (F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= most)
     star = cut(met.filter(near).select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
-    part = known.join(components(star), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part"))
-    torn = F.min("part").over(own) != F.max("part").over(own)
-    left = _index(part).withColumns({"torn": torn, "most": F.min_by("part", "fp").over(own)}).filter("torn")
-    left = cut(left.select("key", "fp", "part", "most"))
+    part = cut(known.join(components(star), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part")))
+    left = _with_figures(_index(part), hot, low=F.min("part"), high=F.max("part"), most=F.min_by("part", "fp"), n=F.count("*"))
+    left = cut(left.filter("low <> high").select("key", "fp", "part", "most", "n"))
+    left = left.withColumn("slice", F.explode(F.when(F.col("n") > crowd, _slices(most)).otherwise(F.array(F.lit(0).cast("long")))))
     a, b = left.filter("part <> most").alias("a"), left.alias("b")
     apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.most")) | (F.col("a.fp") < F.col("b.fp")))
-    both = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _linked(most))
+    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.slice") == F.col("b.slice")) & apart & _linked(most))
     return star.union(both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))).distinct()
 
 

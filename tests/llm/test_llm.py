@@ -236,6 +236,26 @@ def test_a_dense_cluster_has_few_links(spark):
     assert {frozenset(v for v in values if top(v) == t) for t in {top(v) for v in values}} == want
 
 
+@pytest.mark.parametrize("share, crowd", [(simhash.HOT, simhash.CROWD), (1, 10**9)])
+def test_links_at_a_hot_key(spark, share, crowd):
+    """Unlike fingerprints with one segment in common are not compared pair by pair, and no link of theirs is lost."""
+    r = random.Random(26)
+    at, width = simhash.SEGMENTS[1]
+    same = r.getrandbits(width) << at
+    values = {r.getrandbits(64) & ~(((1 << width) - 1) << at) | same for _ in range(1200)}
+    for v in sorted(values)[:200]:
+        for b in r.sample(range(64), r.randint(1, 4)):
+            v ^= 1 << b
+        values.add(v)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    assert simhash.hot_keys(fps, share).count() == width and simhash.hot_keys(fps.limit(300), share) is None
+    known = np.array(sorted(values), np.uint64)
+    want = {frozenset((int(a), int(b))) for a in known for b in known[np.bitwise_count(known ^ a) <= simhash.BITS] if a != b}
+    got = [frozenset((x.a % (1 << 64), x.b % (1 << 64))) for x in simhash.cluster_links(fps, share=share, crowd=crowd).collect()]
+    assert len(want) >= 200 and set(got) == want and len(got) == len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i % 10 != 9] + [(5, 25), (100, 100)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
