@@ -2,13 +2,17 @@
 
 Near copies are found by MinHash: the least of ``SLOTS`` hashes over a text's shingles of five words, in bands of ``ROWS``
 slots. In each bucket of a band the smallest id leads; the others are verified against it by the Jaccard similarity of their
-shingle sets, and those that fail stay for the next round with a leader of their own. So a bucket gives no more than a pair
-for each member and leader, however large it is.
+shingle sets, and those that fail stay for the next leader among them. A round tries twice as many leaders as the one before,
+so the rounds grow with the logarithm of a bucket's leaders, and a member meets at most twice as many as there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plycast.functions.lineage import settle
@@ -24,20 +28,59 @@ def speaks_of_positions(text: Column) -> Column:
     return F.coalesce(text.rlike(MOVE) & text.rlike(PLAN), F.lit(False))
 
 
+def _word(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number's own pseudo-random one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingles(lower: pd.Series) -> pd.Series:
+    known: dict[str, int] = {}
+
+    def of(text: str | None) -> np.ndarray:
+        words = [w for w in (text or "").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w]
+        if len(known) > 200_000:
+            known.clear()
+        x = np.array([known[w] if w in known else known.setdefault(w, _word(w)) for w in words], np.uint64)
+        if not len(x):
+            return x.astype(np.int64)
+        n = min(WORDS, len(x))
+        h = np.full(len(x) - n + 1, n, np.uint64)
+        for i in range(n):  # each place of a word changes what comes out
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(h)])
+        return np.unique(h).view(np.int64)
+
+    return pd.Series([of(t) for t in lower], dtype="object")
+
+
 def shingle_set(text: Column) -> Column:
     """Hashes of each five words in a row, in lower case, once each; of fewer words, of them all; of none, nothing."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\r\n]+"), lambda w: w != "")
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - WORDS + 1, F.lit(1)))
-    hashed = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(WORDS)), " "))))
-    return F.when(F.size(words) > 0, hashed).otherwise(F.array().cast("array<bigint>"))
+    return F.pandas_udf(_shingles, "array<bigint>")(F.lower(text))
+
+
+def _least(shingles: pd.Series, slots: pd.Series) -> pd.Series:
+    """The least hash of each slot, from shingles by parts, so that a long text takes no more memory than a short one."""
+    add = _mixed(np.arange(1, 1 + int(slots.iloc[0]) if len(slots) else 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def of(x: np.ndarray) -> np.ndarray:
+        h, low = np.asarray(x, np.int64).view(np.uint64), np.full(len(add), 2**64 - 1, np.uint64)
+        for i in range(0, len(h), 4096):
+            low = np.minimum(low, _mixed(h[None, i : i + 4096] ^ add[:, None]).min(1))
+        return low.view(np.int64)
+
+    return pd.Series([of(x) for x in shingles], dtype="object")
 
 
 def signatures(sets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """id and bands, the hash of each ``ROWS`` least values, from id and shingles."""
-    each = sets.select("id", F.explode("shingles").alias("h"))
-    least = each.groupBy("id").agg(*(F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(slots)))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + i}" for i in range(ROWS))) for b in range(slots // ROWS)))
-    return least.select("id", bands.alias("bands"))
+    """id and bands, the hash of each ``ROWS`` least values, from id and shingles; sets without any have none."""
+    least = sets.filter(F.size("shingles") > 0).withColumn("least", F.pandas_udf(_least, "array<bigint>")("shingles", F.lit(slots)))
+    band = lambda b: F.xxhash64(b, F.slice("least", b * ROWS + 1, F.lit(ROWS)))
+    return least.select("id", F.transform(F.sequence(F.lit(0), F.lit(slots // ROWS - 1)), band).alias("bands"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -45,27 +88,43 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _followers(near: Column) -> Column:
+    """Of pairs (id, leader) in order of id, the ids whose leader is not itself one of them."""
+    none = F.slice(F.transform(near, lambda x: x["id"]), 1, 0)
+    return F.aggregate(near, none, lambda s, x: F.when(F.array_contains(s, x["leader"]), s).otherwise(F.array_union(s, F.array(x["id"]))))
+
+
 def near_copies(df: DataFrame, id: str, text: str, least: float = LEAST) -> DataFrame:
     """id, leader and copies for each row: of texts with equal shingle sets the smallest id stands for all (``copies`` of
     them); it has the smallest leader that it meets in a bucket at a Jaccard similarity of ``least`` or more, or itself.
     Texts without words are copies of each other."""
     sets = df.select(F.col(id).alias("id"), shingle_set(F.col(text)).alias("shingles"))
-    known = F.xxhash64(F.array_sort("shingles")), F.xxhash64(F.lit(1), F.array_sort("shingles")), F.size("shingles")
+    known = F.xxhash64("shingles"), F.xxhash64(F.lit(1), "shingles"), F.size("shingles")
     sets = settle(sets.select("id", "shingles", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(known))).alias("same")))
     first = settle(sets.groupBy("same").agg(F.min("id").alias("stand"), F.count("*").alias("copies")))
     own = settle(sets.join(first.select(F.col("stand").alias("id")), "id").select("id", "shingles"))
-    left = settle(signatures(own).select("id", F.explode("bands").alias("key")))
-    links = None
-    while True:
-        lead = left.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-        met = settle(left.join(lead, "key").filter("id <> leader"))
-        if met.isEmpty():
-            break
-        pairs = met.select("id", "leader").distinct()
-        j = pairs.join(own, "id").join(own.select(F.col("id").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-        good = settle(j.filter(jaccard(F.col("shingles"), F.col("theirs")) >= least).select("id", "leader"))
-        links = good if links is None else links.unionByName(good)
-        left = met.join(good, ["id", "leader"], "left_anti").select("id", "key")
+    left = settle(own.join(signatures(own), "id").select("id", F.size("shingles").alias("n"), F.explode("bands").alias("key")))
+    left = settle(left.join(left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "key"))
+    links, width = None, 1
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        tried = settle(left.withColumn("place", place).filter(F.col("place") <= width).select("key", F.col("id").alias("leader"), F.col("n").alias("its")))
+        # sets of unlike sizes can't be similar enough, so they need not be fetched
+        met = left.join(tried, "key").filter((F.col("id") > F.col("leader")) & (F.least("n", "its") >= F.greatest("n", "its") * least))
+        met = settle(met.select("key", "id", "leader"))
+        j = met.select("id", "leader").distinct().join(own, "id").join(own.select(F.col("id").alias("leader"), F.col("shingles").alias("theirs")), "leader")
+        good = j.filter(jaccard(F.col("shingles"), F.col("theirs")) >= least).select("id", "leader")
+        good = settle(met.join(good, ["id", "leader"]))
+        if width > 1:  # one that is near a leader before it is none
+            among = good.join(tried.select("key", F.col("leader").alias("id")), ["key", "id"])
+            near = F.array_sort(F.collect_list(F.struct("id", "leader")))
+            good = settle(good.join(among.groupBy("key").agg(_followers(near).alias("leader")).select("key", F.explode("leader").alias("leader")), ["key", "leader"], "left_anti"))
+        found = good.select("id", "leader").distinct()
+        links = found if links is None else links.unionByName(found)
+        last = tried.groupBy("key").agg(F.max("leader").alias("last"))
+        left = left.join(last, "key").filter(F.col("id") > F.col("last")).drop("last")
+        left = settle(left.join(good.select("key", "id").distinct(), ["key", "id"], "left_anti"))
+        width *= 2
     found = first.select("stand", "copies") if links is None else first.join(links.groupBy(F.col("id").alias("stand")).agg(F.min("leader").alias("leader")), "stand", "left")
     found = found.withColumn("leader", F.least("stand", F.coalesce("leader", "stand")) if links is not None else F.col("stand"))
     return sets.select("id", "same").join(first.select("same", "stand"), "same").join(found, "stand").select("id", "stand", "leader", "copies")

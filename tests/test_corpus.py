@@ -104,6 +104,42 @@ def test_near_copies_against_all_pairs(spark):
     assert len(linked) > 30 and sum(got[k][1] != k for k in linked) >= 0.9 * len(linked)
 
 
+def test_near_copies_in_buckets_of_many_unlike_members(spark, monkeypatch):
+    """As with a leader at a time, but the rounds grow with the logarithm of a bucket's leaders."""
+    r, common, texts = random.Random(5), prose(99, 60), {}
+    for g in range(100):
+        own = prose(1000 + g, 10)
+        for _ in range(3 if g % 10 == 0 else 1):
+            texts[len(texts)] = " ".join(common + own[: 10 - r.randint(0, 2)])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    calls, settle = [], nd.settle
+    monkeypatch.setattr(nd, "settle", lambda df: calls.append(1) or settle(df))
+    got = {x.id: x.leader for x in nd.near_copies(d, "doc_id", "text").collect()}
+    assert len(calls) <= 50
+    sets, buckets = {k: shingles(t) for k, t in texts.items()}, {}
+    stand = {k: min(i for i in sets if sets[i] == s) for k, s in sets.items()}
+    own = d.select(F.col("doc_id").alias("id"), nd.shingle_set(F.col("text")).alias("shingles"))
+    for x in nd.signatures(own).collect():
+        for band in x.bands if stand[x.id] == x.id else ():
+            buckets.setdefault(band, []).append(x.id)
+    want = dict(stand)
+    for ids in buckets.values():
+        leaders = []
+        for k in sorted(ids):
+            at = next((x for x in leaders if len(sets[k] & sets[x]) >= 0.8 * len(sets[k] | sets[x])), None)
+            leaders += [k] if at is None else []
+            want[k] = min(want[k], k if at is None else at)
+    assert max(map(len, buckets.values())) > 30 and got == {k: want[stand[k]] for k in texts}
+    assert any(got[k] != stand[k] for k in texts)
+
+
+def test_shingles_of_a_long_text_take_linear_time(spark):
+    text = " ".join(f"w{i}" for i in range(40_000))
+    since = time.monotonic()
+    rows = spark.createDataFrame([(text,), ("A b\tC\nd  e f",), ("a B",), (" \n",), (None,)], "t string").coalesce(1).select(nd.shingle_set(F.col("t")).alias("s")).collect()
+    assert time.monotonic() - since < 30 and [len(x.s) for x in rows] == [39_996, 2, 1, 0, 0]
+
+
 def test_near_copies_of_an_empty_table(spark):
     assert nd.near_copies(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
