@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plycast.functions.lineage import settle
 from plycast.operators import index as ix
 from plycast.operators import neardup as nd
 from plycast.plans import standins as st
@@ -15,11 +16,15 @@ WANTED = "case when id % 100 = 0 then array() when id % 40 = 0 then array(tags[2
 TAGS_SQL = "['l' || label, 'm' || vec_id % 3, 'w' || vec_id % 7]"
 
 
-def _search(spark, sf_dir, probes):
+def _indexed(spark, sf_dir):
     c = st.read(spark, sf_dir, "embeddings").selectExpr("vec_id as id", f"{TAGS} as tags", "embedding as vector").filter("vector is not null")
-    q = c.filter("id % 20 = 0").withColumn("tags", F.expr(WANTED))
     middle = ix.centres(c)
-    return ix.search(ix.build(c, middle), q, middle, 5, probes)
+    return settle(ix.build(c, middle)), c.filter("id % 20 = 0").withColumn("tags", F.expr(WANTED)), middle
+
+
+def _search(spark, sf_dir, probes):
+    index, q, middle = _indexed(spark, sf_dir)
+    return ix.search(index, q, middle, 5, probes)
 
 
 FOUND = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, {TAGS_SQL} AS tags FROM embeddings WHERE embedding IS NOT NULL),
@@ -38,9 +43,10 @@ def tag_set_top_k(spark, sf_dir):
 def index_recall(spark, sf_dir):
     """Recall of ``PROBES`` of the cells against the exact result, as golden table; the bar is 0.9."""
     path = files.scratch(spark, "golden")
-    exact = _search(spark, sf_dir, None).groupBy("query_id").agg(F.collect_list("id").alias("ids"))
+    index, q, middle = _indexed(spark, sf_dir)
+    exact = ix.search(index, q, middle, 5).groupBy("query_id").agg(F.collect_list("id").alias("ids"))
     exact.write.json(path)
-    return ix.recall_gate(_search(spark, sf_dir, ix.PROBES), files.read_golden(spark, path), 0.9).select("n", "passed")
+    return ix.recall_gate(ix.search(index, q, middle, 5, ix.PROBES), files.read_golden(spark, path), 0.9).select("n", "passed")
 
 
 @query("retrieval_gate", FOUND + ", g AS (SELECT query_id, id FROM top WHERE place % 2 = 1 UNION SELECT query_id, query_id + 1 FROM q), r AS (SELECT g.query_id, count(t.id) / count(*) AS r FROM g LEFT JOIN top AS t ON t.query_id = g.query_id AND t.id = g.id GROUP BY 1) SELECT count(*) AS n, round(avg(r), 6) AS recall, avg(r) >= 0.6 AS passed FROM r")
