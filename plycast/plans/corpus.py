@@ -53,7 +53,7 @@ def index_recall(spark, sf_dir):
 def retrieval_gate(spark, sf_dir):
     """A golden table in a file: picks that the search finds, and one for each query that it may not find."""
     path = files.scratch(spark, "golden")
-    found = _search(spark, sf_dir, None)
+    found = settle(_search(spark, sf_dir, None))
     asked = st.read(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("id"))
     picks = found.filter("place % 2 = 1").select("query_id", "id").unionByName(asked)
     picks.groupBy("query_id").agg(F.collect_set("id").alias("ids")).write.json(path)
