@@ -92,15 +92,24 @@ def budget_used(spark: SparkSession, top: str) -> DataFrame:
 
 
 def deepening(stream: DataFrame, key: str = "position_id") -> DataFrame:
-    """Rows (key, seq, depth) deeper than all before them in their search; the deepest so far is the state."""
+    """Rows (key, seq, depth) deeper than all before them in their search; the deepest so far is the state. A batch's rows of a
+    search come in parts and in any order: of each part what could still be deepest at its place stays, a row per depth at
+    most, and goes out when all parts have been seen. Rows of one seq go by depth; a row without a depth is none."""
+
+    def rising(pdf: pd.DataFrame, deepest: int) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "depth"])
+        so_far = pdf["depth"].cummax().shift(fill_value=deepest).clip(lower=deepest)
+        return pdf.loc[pdf["depth"] > so_far, [key, "seq", "depth"]]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        deepest = state.get[0] if state.exists else -1
+        deepest = state.get[0] if state.exists else -(2**31)
+        steps = None
         for pdf in frames:
-            pdf = pdf.sort_values("seq")
-            so_far = pdf["depth"].cummax().shift(fill_value=deepest).clip(lower=deepest)
-            yield pdf.loc[pdf["depth"] > so_far, [key, "seq", "depth"]]
-            deepest = max(deepest, int(pdf["depth"].max()))
+            pdf = pdf.dropna(subset=["depth"])
+            steps = rising(pdf if steps is None else pd.concat([steps, pdf]), deepest)
+        if steps is not None and len(steps):
+            yield steps
+            deepest = max(deepest, int(steps["depth"].max()))
         state.update((deepest,))
 
     from pyspark.sql.streaming.state import GroupStateTimeout
