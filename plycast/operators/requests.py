@@ -106,10 +106,10 @@ def gates(df: DataFrame, limit: int, window: str, cap: int) -> DataFrame:
     and ``legal`` are columns of the log; a null ``legal`` is no. Only requests that pass the others use up the budget."""
     d = rate_limit(df, limit, window)
     early = F.when(~F.col("admitted"), "rate").when(~F.col("fits"), "size").when(F.col("reason").isNotNull(), "schema").when(~F.coalesce("legal", F.lit(False)), "legality")
-    known = settle(d.select("event_id", "ts", early.alias("early")))  # validated and counted once, read by each part of the budget
+    known = settle(d.select(*df.columns, early.alias("early")))  # validated and counted once, read by each part of the budget
     ok = daily_budget(known.filter("early is null").select("event_id", "ts"), F.lit(cap)).select("event_id", "within")
     stage = F.coalesce("early", F.when(F.col("within"), "passed").otherwise("budget"))
-    return df.join(known.join(ok, "event_id", "left").select("event_id", stage.alias("stage")), "event_id")
+    return known.join(ok, "event_id", "left").select(*df.columns, stage.alias("stage"))
 
 
 def debounced(df: DataFrame, millis: int, key: str, ts: str = "ts", id: str = "event_id") -> DataFrame:

@@ -288,3 +288,17 @@ def test_squares_of_a_board_are_summed_up_before_they_are_sent(spark):
     assert {r.id: r.placement for r in back.collect()} == {i: f.split(" ")[0] for i, f in enumerate(fens)}
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "partial_bit_or" in plan  # a board's rows are no list
+
+
+def test_gates_read_their_requests_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def legal(i):
+        seen.add(1)
+        return i % 2 == 0
+
+    d = spark.range(20).selectExpr("id as event_id", "timestamp_seconds(id * 60) as ts", "'c' as client", "cast(null as string) as reason", "true as fits").withColumn("legal", legal("event_id"))
+    got = {r.event_id: (r.stage, r.legal) for r in requests.gates(d, 12, "1 hour", 4).collect()}
+    assert {i: s for i, (s, _) in got.items()} == {i: "rate" if i >= 12 else "legality" if i % 2 else "passed" if i < 8 else "budget" for i in range(20)}
+    assert seen.value == 20
