@@ -5,8 +5,10 @@ linked fingerprints agree in that segment but for one bit. Every fingerprint is
 one of its bits left out (64 keys), and keys are joined by equality. The join's condition verifies the distance and
 keeps a pair at one key only: at its first segment with at most one differing bit, and there at that bit. Distinct
 fingerprints take part, so copies cost nothing, and a dense cluster is linked to one representative at each key instead
-of pair by pair; links become components by star contraction. Rows of a hot key stay where they are, and its figures are
-sent to them; at a crowded key only members that also agree in one of five slices of their other bits are compared.
+of pair by pair; links become components by star contraction. Keys are short, so unlike fingerprints meet by chance, the
+more the larger the table is: the members of a key are compared where they were sorted, and only links leave the task.
+Rows of a hot key stay where they are, and its figures are sent to them; at a crowded key only members that also agree
+in one of five slices of their other bits are compared.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows get equal results; a
 component of null doc_ids only has a null component_id; of the rows that tie for a component's smallest doc_id
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A key of more than total / HOT fingerprints is hot, one of more than CROWD is crowded.
 HOT, CROWD = 100, 1000
+#: Keys of at most so many members are compared many at a time.
+SMALL = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -103,17 +108,17 @@ def hot_keys(known: DataFrame, share: int = HOT) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def _with_figures(index: DataFrame, hot: DataFrame | None, **figures: Column) -> DataFrame:
-    """Rows of the index with aggregates of their key. Hot keys are summed up in the tasks, and their figures, bounded like
-    the keys, are sent to their rows; the others meet by a shuffle."""
-    own = Window.partitionBy("key")
-    cold = index if hot is None else index.join(F.broadcast(hot), "key", "left_anti")
-    cold = cold.withColumns({k: c.over(own) for k, c in figures.items()})
+def _split(index: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the index at other keys and at hot ones."""
     if hot is None:
-        return cold
-    warm = index.join(F.broadcast(hot), "key", "left_semi")
+        return index, None
+    return index.join(F.broadcast(hot), "key", "left_anti"), index.join(F.broadcast(hot), "key", "left_semi")
+
+
+def _told(warm: DataFrame, **figures: Column) -> DataFrame:
+    """Rows of hot keys with aggregates of their key: summed up in the tasks and, bounded like the keys, sent to the rows."""
     told = cut(warm.groupBy("key").agg(*(c.alias(k) for k, c in figures.items())))
-    return cold.unionByName(warm.join(F.broadcast(told), "key"))
+    return warm.join(F.broadcast(told), "key")
 
 
 def _slices(most: int) -> Column:
@@ -127,24 +132,116 @@ def _slices(most: int) -> Column:
     return F.array(*(F.shiftrightunsigned(rest, i * width).bitwiseAND((1 << width) - 1).bitwiseOR((i + 1) << width) for i in range(most + 1)))
 
 
+def _sliced(segment: int, fp: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """What ``_slices`` gives for members of one key of that segment, slice by slice."""
+    at, long = SEGMENTS[segment]
+    width, bits = -(-43 // (most + 1)), fp.view(np.uint64)
+    rest = bits & np.uint64((1 << at) - 1)
+    if at + long < 64:
+        rest = rest | bits >> np.uint64(at + long) << np.uint64(at)
+    for i in range(most + 1):
+        yield rest >> np.uint64(i * width) & np.uint64((1 << width) - 1)
+
+
+def _apart(fp: np.ndarray, part: np.ndarray, main: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different parts at ``most`` or fewer differing bits, each once: those outside of part ``main`` with all."""
+    outside = np.flatnonzero(part != main)
+    step = max(1, 1_000_000 // len(fp))
+    for at in range(0, len(outside), step):
+        a = outside[at : at + step, None]
+        near = (np.bitwise_count((fp[a] ^ fp).view(np.uint64)) <= most) & (part[a] != part) & ((part == main) | (fp[a] < fp))
+        i, j = np.nonzero(near)
+        yield fp[a[i, 0]], fp[j]
+
+
+def _compared(key: np.ndarray, fp: np.ndarray, part: np.ndarray, most: int, crowd: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, a and b of the pairs of different parts in reach of each other, from whole keys in order."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    few = sizes <= SMALL
+    ends, at = np.repeat((starts + sizes)[few], sizes[few]), np.flatnonzero(np.repeat(few, sizes))
+    for d in range(1, SMALL):
+        left = at + d < ends
+        at, ends = at[left], ends[left]
+        near = (part[at] != part[at + d]) & (np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= most)
+        yield key[at[near]], fp[at[near]], fp[at[near] + d]
+    for start, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+        own, of = fp[start : start + n], part[start : start + n]
+        parts, counts = np.unique(of, return_counts=True)
+        if len(parts) == 1:
+            continue
+        main = parts[counts.argmax()]
+        if n <= crowd:
+            met = list(_apart(own, of, main, most))
+        else:
+            met = []
+            for value in _sliced(int(key[start]) >> 27, own, most):
+                order = np.argsort(value, kind="stable")
+                for same in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+                    met += _apart(own[same], of[same], main, most)
+        for a, b in met:
+            yield np.full(len(a), key[start]), a, b
+
+
+def _met(index: DataFrame, most: int, crowd: int) -> DataFrame:
+    """Links between different parts. A key's rows meet in a task, in which they are compared; pairs in reach leave it."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for cols in _compared(*(np.concatenate(c) for c in zip(*rows, strict=True)), most, crowd):
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            key = cols[0]
+            at = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if at or (held and held[-1][0][-1] != key[-1]):
+                yield from done([*held, [c[:at] for c in cols]])
+                held = []
+            held.append([c[at:].copy() for c in cols])
+        if held:
+            yield from done(held)
+
+    own = index.select("key", "fp", "part").repartition("key").sortWithinPartitions("key")
+    pairs = own.mapInArrow(batches, "key long, a long, b long")
+    pairs = pairs.select(F.struct("key", F.col("a").alias("fp")).alias("a"), F.struct(F.col("b").alias("fp")).alias("b"))
+    return pairs.filter(_linked(most)).select("a.fp", "b.fp").toDF("a", "b")
+
+
+def _met_hot(warm: DataFrame, most: int, crowd: int) -> DataFrame:
+    """The same at hot keys, whose rows do not meet in one task."""
+    left = _told(warm, low=F.min("part"), high=F.max("part"), most=F.min_by("part", "fp"), n=F.count("*"))
+    left = cut(left.filter("low <> high").select("key", "fp", "part", "most", "n"))
+    left = left.withColumn("slice", F.explode(F.when(F.col("n") > crowd, _slices(most)).otherwise(F.array(F.lit(0).cast("long")))))
+    a, b = left.filter("part <> most").alias("a"), left.alias("b")
+    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.most")) | (F.col("a.fp") < F.col("b.fp")))
+    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.slice") == F.col("b.slice")) & apart & _linked(most))
+    return both.select("a.fp", "b.fp").toDF("a", "b")
+
+
 def cluster_links(fps: DataFrame, most: int = BITS, share: int = HOT, crowd: int = CROWD) -> DataFrame:
     """Links that connect what ``links`` connects, without a dense cluster's pairs. At each key the members within reach of
-    the smallest one are linked to it alone. Where a key's members are not all connected by that, those outside of that
-    one's component are compared with all that are in another component than theirs; where they are more than ``crowd``,
-    with those of them that share a slice of the other bits."""
+    the smallest one are linked to it alone. Where a key's members are not all connected by that, those outside of one
+    component are compared with all that are in another component than theirs; where they are more than ``crowd``, with
+    those of them that share a slice of the other bits."""
     known = cut(fps.select("fp").distinct())
     hot = hot_keys(known, share)
-    met = _with_figures(_index(known), hot, centre=F.min("fp"))
+    cold, warm = _split(_index(known), hot)
+    met = cold.withColumn("centre", F.min("fp").over(Window.partitionBy("key")))
+    if warm is not None:
+        met = met.unionByName(_told(warm, centre=F.min("fp")))
     near = (F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= most)
     star = cut(met.filter(near).select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
     part = cut(known.join(components(star), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part")))
-    left = _with_figures(_index(part), hot, low=F.min("part"), high=F.max("part"), most=F.min_by("part", "fp"), n=F.count("*"))
-    left = cut(left.filter("low <> high").select("key", "fp", "part", "most", "n"))
-    left = left.withColumn("slice", F.explode(F.when(F.col("n") > crowd, _slices(most)).otherwise(F.array(F.lit(0).cast("long")))))
-    a, b = left.filter("part <> most").alias("a"), left.alias("b")
-    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.most")) | (F.col("a.fp") < F.col("b.fp")))
-    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.slice") == F.col("b.slice")) & apart & _linked(most))
-    return star.union(both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))).distinct()
+    cold, warm = _split(_index(part), hot)
+    both = _met(cold, most, crowd)
+    if warm is not None:
+        both = both.union(_met_hot(warm, most, crowd))
+    return star.union(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = BITS) -> DataFrame:

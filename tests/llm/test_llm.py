@@ -256,6 +256,38 @@ def test_links_at_a_hot_key(spark, share, crowd):
     assert len(want) >= 200 and set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 40])
+def test_keys_that_meet_by_chance_are_compared_in_place(spark, crowd, tmp_path):
+    """Unlike fingerprints at one key leave no rows behind the index: only links do, and none of them is lost."""
+    r = random.Random(36)
+    at, width = simhash.SEGMENTS[0]
+    same = [r.getrandbits(width) for _ in range(30)]
+    values = {r.getrandbits(64) >> width << width | same[i % 30] for i in range(3000)}
+    for v in sorted(values)[::10]:
+        for b in r.sample(range(64), r.randint(1, 4)):
+            v ^= 1 << b
+        values.add(v)
+    known = np.array(sorted(values), np.uint64)
+    want = {frozenset((int(a), int(b))) for a in known for b in known[np.bitwise_count(known ^ a) <= simhash.BITS] if a != b}
+    fps = spark.createDataFrame([(int(v),) for v in known.view(np.int64)], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        links = simhash.cluster_links(fps, crowd=crowd)
+        got = [frozenset((x.a % (1 << 64), x.b % (1 << 64))) for x in links.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) >= 300 and set(got) == want and len(got) == len(want)
+    index = simhash._index(fps).count()
+    nodes, seen = [links._jdf.queryExecution().executedPlan().finalPhysicalPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Generate":
+            seen.append(node.metrics().apply("numOutputRows").value())
+        below = node.plan() if "QueryStage" in node.nodeName() else None
+        nodes += [below] if below is not None else [node.children().apply(i) for i in range(node.children().size())]
+    assert seen == [index], seen
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i % 10 != 9] + [(5, 25), (100, 100)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
