@@ -143,54 +143,96 @@ def _sliced(segment: int, fp: np.ndarray, most: int) -> Iterator[np.ndarray]:
         yield rest >> np.uint64(i * width) & np.uint64((1 << width) - 1)
 
 
-def _apart(fp: np.ndarray, part: np.ndarray, main: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different parts at ``most`` or fewer differing bits, each once: those outside of part ``main`` with all."""
+def _counts(key: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What ``_linked`` says of the key: for differences ``x`` of pairs at most 5 bits apart, whether they count there."""
+    parts = np.stack([x >> np.uint64(at) & np.uint64((1 << width) - 1) for at, width in SEGMENTS])
+    segment, bit = key >> 27, key >> 22 & 31
+    part = parts[segment, np.arange(len(x))]
+    bits = np.bitwise_count(part)
+    first = (np.bitwise_count(parts) <= 1).argmax(axis=0)
+    return (segment == first) & np.where(bits == 0, bit == 0, part == np.uint64(1) << bit.astype(np.uint64))
+
+
+def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs that connect what all pairs (a, b) connect; ``label`` has the smallest member reached so far, before
+    and after."""
+    picked, rest = [], np.arange(len(a))
+    while True:
+        low, high = np.minimum(label[a[rest]], label[b[rest]]), np.maximum(label[a[rest]], label[b[rest]])
+        apart = low != high
+        if not apart.any():
+            return np.concatenate([*picked, np.empty(0, np.int64)]).astype(np.int64)
+        rest, low, high = rest[apart], low[apart], high[apart]
+        taken, at = np.unique(high, return_index=True)
+        picked.append(rest[at])
+        to = np.arange(len(label))
+        to[taken] = low[at]
+        while not np.array_equal(further := to[to], to):
+            to = further
+        label[:] = to[label]
+
+
+def _apart(key: int, fp: np.ndarray, part: np.ndarray, main: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different parts at ``most`` or fewer differing bits that count at the key, in blocks: those outside
+    of part ``main`` with all."""
     outside = np.flatnonzero(part != main)
     step = max(1, 1_000_000 // len(fp))
     for at in range(0, len(outside), step):
-        a = outside[at : at + step, None]
-        near = (np.bitwise_count((fp[a] ^ fp).view(np.uint64)) <= most) & (part[a] != part) & ((part == main) | (fp[a] < fp))
-        i, j = np.nonzero(near)
-        yield fp[a[i, 0]], fp[j]
+        a = outside[at : at + step]
+        x = (fp[a, None] ^ fp).view(np.uint64)
+        i, j = np.nonzero((np.bitwise_count(x) <= most) & (part[a, None] != part) & ((part == main) | (fp[a, None] < fp)))
+        once = _counts(np.full(len(i), key), x[i, j])
+        yield a[i[once]], j[once]
 
 
-def _compared(key: np.ndarray, fp: np.ndarray, part: np.ndarray, most: int, crowd: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """key, a and b of the pairs of different parts in reach of each other, from whole keys in order."""
+def _compared(key: np.ndarray, fp: np.ndarray, part: np.ndarray, most: int, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints a and b of pairs that connect, at each key, what the links that count there connect; from whole keys in
+    order. Fewer pairs than members leave a key."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     few = sizes <= SMALL
     ends, at = np.repeat((starts + sizes)[few], sizes[few]), np.flatnonzero(np.repeat(few, sizes))
+    a, b = [], []
     for d in range(1, SMALL):
         left = at + d < ends
         at, ends = at[left], ends[left]
-        near = (part[at] != part[at + d]) & (np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= most)
-        yield key[at[near]], fp[at[near]], fp[at[near] + d]
+        x = (fp[at] ^ fp[at + d]).view(np.uint64)
+        near = np.flatnonzero((part[at] != part[at + d]) & (np.bitwise_count(x) <= most))
+        near = near[_counts(key[at[near]], x[near])]
+        a.append(at[near])
+        b.append(at[near] + d)
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(a):
+        picked = _spanning(np.arange(len(key)), a, b)
+        yield fp[a[picked]], fp[b[picked]]
     for start, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
         own, of = fp[start : start + n], part[start : start + n]
-        parts, counts = np.unique(of, return_counts=True)
+        parts, at, place, counts = np.unique(of, return_index=True, return_inverse=True, return_counts=True)
         if len(parts) == 1:
             continue
-        main = parts[counts.argmax()]
-        if n <= crowd:
-            met = list(_apart(own, of, main, most))
-        else:
-            met = []
-            for value in _sliced(int(key[start]) >> 27, own, most):
-                order = np.argsort(value, kind="stable")
-                for same in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
-                    met += _apart(own[same], of[same], main, most)
-        for a, b in met:
-            yield np.full(len(a), key[start]), a, b
+        main, label, k = parts[counts.argmax()], at[place], int(key[start])
+        for same in [np.arange(n)] if n <= crowd else _same_slice(k >> 27, own, most):
+            for a, b in _apart(k, own[same], of[same], main, most):
+                a, b = same[a], same[b]
+                picked = _spanning(label, a, b)
+                yield own[a[picked]], own[b[picked]]
+
+
+def _same_slice(segment: int, fp: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of members of one key that share a slice."""
+    for value in _sliced(segment, fp, most):
+        order = np.argsort(value, kind="stable")
+        yield from np.split(order, np.flatnonzero(np.diff(value[order])) + 1)
 
 
 def _met(index: DataFrame, most: int, crowd: int) -> DataFrame:
-    """Links between different parts. A key's rows meet in a task, in which they are compared; pairs in reach leave it."""
+    """Links between different parts. A key's rows meet in a task, in which they are compared; links that connect them leave it."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for cols in _compared(*(np.concatenate(c) for c in zip(*rows, strict=True)), most, crowd):
                 if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b"])
 
         held: list[list[np.ndarray]] = []
         for batch in it:
@@ -207,9 +249,7 @@ def _met(index: DataFrame, most: int, crowd: int) -> DataFrame:
             yield from done(held)
 
     own = index.select("key", "fp", "part").repartition("key").sortWithinPartitions("key")
-    pairs = own.mapInArrow(batches, "key long, a long, b long")
-    pairs = pairs.select(F.struct("key", F.col("a").alias("fp")).alias("a"), F.struct(F.col("b").alias("fp")).alias("b"))
-    return pairs.filter(_linked(most)).select("a.fp", "b.fp").toDF("a", "b")
+    return own.mapInArrow(batches, "a long, b long")
 
 
 def _met_hot(warm: DataFrame, most: int, crowd: int) -> DataFrame:

@@ -288,6 +288,19 @@ def test_keys_that_meet_by_chance_are_compared_in_place(spark, crowd, tmp_path):
     assert seen == [index], seen
 
 
+def test_a_key_gives_fewer_links_than_members():
+    """Members of a dense key that no centre connects are connected by few links, with slices too."""
+    r = random.Random(46)
+    centre = r.getrandbits(42) << 22
+    members = sorted({centre ^ sum(1 << b for b in r.sample(range(22, 64), 2)) for _ in range(500)} | {centre ^ (1 << 42) - (1 << 22)})
+    fp = np.array(members, np.uint64).view(np.int64)
+    for crowd in (10**9, 100):
+        got = list(simhash._compared(np.zeros(len(fp), np.int64), fp, fp, 4, crowd))
+        a, b = (np.concatenate(c) for c in zip(*got, strict=True))
+        assert len(a) == len(fp) - 2 and (np.bitwise_count((a ^ b).view(np.uint64)) <= 4).all()
+        assert len(simhash._spanning(np.arange(len(fp)), np.searchsorted(np.array(members), a.view(np.uint64)), np.searchsorted(np.array(members), b.view(np.uint64)))) == len(fp) - 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30) if i % 10 != 9] + [(5, 25), (100, 100)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
