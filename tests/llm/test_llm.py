@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plycast.llm import decontaminate, html_extraction, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
+from plycast.llm import common, decontaminate, html_extraction, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -307,6 +307,38 @@ def test_components(spark):
     assert all(got.get(i, i) == (0 if i < 10 or i >= 20 else 10) for i in range(30))
 
 
+def test_components_of_stars_take_one_look(spark, monkeypatch):
+    """Edges that are stars already are not dealt out again to see that nothing changes; others end as stars."""
+    cuts = []
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: cuts.append(1) or cut(df))
+    found = common.components(spark.createDataFrame([(9, i) for i in range(10, 20)] + [(3, 2), (5, 5)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(3, 2), *((i, 9) for i in range(10, 20))] and len(cuts) == 2
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    r = random.Random(56)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    least = list(range(300))
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = common.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(i, x) for i, x in enumerate(least) if i != x]
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark):
+    """Shuffle files of a stored step go at once, not when the driver collects its garbage; the session's setting stays."""
+    top = spark.conf.get("spark.local.dir")
+    files = lambda: {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    stored = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert common.heat(stored, "count") == (143, 1000)
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and stored.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 ITEMS = [(1, "When Anna walked 12 km from the old mill to the wide river, how long did she need at 4 km per hour?"), (2, prose(20, 30)), (3, "short one"), (4, None), (5, prose(21, 6))]
 
 
