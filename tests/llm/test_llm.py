@@ -104,6 +104,24 @@ def test_line_dedup_against_brute_force(spark):
     assert found == {(k, i + 1): n for (k, i), n in want.items() if n}
 
 
+def test_line_dedup_steps_are_few_and_send_no_samples(spark, monkeypatch):
+    """Ranks are numbered, not sorted by ranges whose samples the driver gets; a step of intervals without many rows is one
+    execution; those with many are counted first and give the same."""
+    r = random.Random(7)
+    whole = [f"line {r.randint(0, 50)}" for _ in range(40)]
+    texts = [(k, "\n".join(whole[a : a + r.randint(2, 30)])) for k, a in enumerate(r.choices(range(30), k=30))] + [(99, "\n".join(whole))]
+    lines = line_dedup.numbered(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    found = lambda: sorted(map(tuple, line_dedup.common_prefixes(line_dedup.ranks(lines)).collect()))
+    few = found()
+    assert not any("rangepartitioning" in p for p in plans)
+    steps, levels = len(plans), (max(x[-1] for x in few)).bit_length()
+    assert levels >= 4 and steps <= 4 + 2 * levels
+    monkeypatch.setattr(line_dedup, "MANY", 2)
+    assert found() == few and len(plans) > 2 * steps
+
+
 def test_line_dedup_finds_runs_over_lines(spark):
     """Runs of short lines, longer than one doubling step, in order only."""
     run = "\n".join(f"part {k}" for k in range(12))
