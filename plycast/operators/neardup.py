@@ -4,20 +4,28 @@ Near copies are found by MinHash: the least of ``SLOTS`` hashes over a text's sh
 slots. In each bucket of a band the smallest id leads; the others are verified against it by the Jaccard similarity of their
 shingle sets, and those that fail stay for the next leader among them. A round tries twice as many leaders as the one before,
 so the rounds grow with the logarithm of a bucket's leaders, and a member meets at most twice as many as there are.
+
+Of each text only two hashes of its shingle set, the set's size and the bands are stored; the shingles, which take more room
+than the text, are made again where two texts are compared. Only texts that share a bucket are stored for that, and only
+while the rounds run; a leader is sent to its members by parts of ``PART`` of them, and shuffle files go with each step.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plycast.functions.lineage import settle
+from plycast.functions import lineage
 
 WORDS, SLOTS, ROWS, LEAST = 5, 64, 4, 0.8
+#: Members of a leader that are compared in one task, and pairs up to which they are sent to the texts instead of meeting them.
+PART, FEW = 1000, 20_000
 #: What a chunk that is worth retrieving speaks of: a move or square, or a plan.
 MOVE = r"(?i)\b(?:[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?[+#]?|O-O(?:-O)?)(?![\w-])"
 PLAN = r"(?i)\b(?:plan|idea|threat|weak\w*|attack\w*|defen[cs]\w*|better|worse|because|instead|should|control\w*|develop\w*|pressure|initiative)\b"
@@ -76,16 +84,77 @@ def _least(shingles: pd.Series, slots: pd.Series) -> pd.Series:
     return pd.Series([of(x) for x in shingles], dtype="object")
 
 
+def _bands(least: str, slots: int) -> Column:
+    band = lambda b: F.xxhash64(b, F.slice(least, b * ROWS + 1, F.lit(ROWS)))
+    return F.transform(F.sequence(F.lit(0), F.lit(slots // ROWS - 1)), band)
+
+
 def signatures(sets: DataFrame, slots: int = SLOTS) -> DataFrame:
     """id and bands, the hash of each ``ROWS`` least values, from id and shingles; sets without any have none."""
     least = sets.filter(F.size("shingles") > 0).withColumn("least", F.pandas_udf(_least, "array<bigint>")("shingles", F.lit(slots)))
-    band = lambda b: F.xxhash64(b, F.slice("least", b * ROWS + 1, F.lit(ROWS)))
-    return least.select("id", F.transform(F.sequence(F.lit(0), F.lit(slots // ROWS - 1)), band).alias("bands"))
+    return least.select("id", _bands("least", slots).alias("bands"))
+
+
+def _marks(lower: pd.Series, slots: pd.Series) -> pd.DataFrame:
+    """128 hashed bits of each shingle set (a and b), its size (n) and its least hashes."""
+    sets = _shingles(lower)
+    hashed = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+    a, b = (np.array([int.from_bytes(h[i : i + 8], "little", signed=True) for h in hashed], np.int64) for i in (0, 8))
+    return pd.DataFrame({"a": a, "b": b, "n": np.array([len(x) for x in sets], np.int32), "least": _least(sets, slots)})
+
+
+def marks(df: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """id, same (equal for equal shingle sets, with their size n) and bands, from id and text."""
+    mark = F.pandas_udf(_marks, "a bigint, b bigint, n int, least array<bigint>")(F.lower("text"), F.lit(slots))
+    m = df.select("id", mark.alias("mark")).select("id", "mark.*")
+    return m.select("id", F.struct("a", "b", "n").alias("same"), _bands("least", slots).alias("bands"))
+
+
+def _near(least: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a member and a leader whose Jaccard similarity is ``least`` or more, from rows in order of leader, part and id,
+    so that the leader's own row comes before its members'."""
+
+    def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / (len(a) + len(b) - both)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, theirs = None, []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):  # so that not all of a batch's shingles are held at once
+                leaders, parts, ids, texts = (c.to_pylist() for c in whole.slice(start, 1000).columns)
+                pairs = []
+                for leader, part, id, own in zip(leaders, parts, ids, _shingles(texts), strict=True):
+                    if (leader, part) != at:
+                        at, theirs = (leader, part), []
+                    if id == leader:
+                        theirs.append(own)
+                    elif any(jaccard(own, x) >= least for x in theirs):
+                        pairs.append((id, leader))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True), schema, strict=True)], schema=schema)
+
+    return found
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of the different pairs (id, leader; id is the larger) whose texts' shingle sets are similar enough. Each text that
+    is needed goes where its leader is."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = pairs.join(parts, "leader").select("id", "leader", F.pmod(F.hash("id"), "parts").alias("part"))
+    wanted = members.unionByName(parts.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    if pairs.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    rows = texts.join(wanted, "id").select("leader", "part", "id", F.lower("text").alias("text"))
+    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "id")
+    return rows.mapInArrow(_near(least, to_arrow_schema(pairs.select("id", "leader").schema)), pairs.select("id", "leader").schema).distinct()
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+
+def settle(df: DataFrame) -> DataFrame:
+    """A checkpoint whose shuffle files go when it is made."""
+    return lineage.settle(lineage.once(df))
 
 
 def _followers(near: Column) -> Column:
@@ -94,17 +163,8 @@ def _followers(near: Column) -> Column:
     return F.aggregate(near, none, lambda s, x: F.when(F.array_contains(s, x["leader"]), s).otherwise(F.array_union(s, F.array(x["id"]))))
 
 
-def near_copies(df: DataFrame, id: str, text: str, least: float = LEAST) -> DataFrame:
-    """id, leader and copies for each row: of texts with equal shingle sets the smallest id stands for all (``copies`` of
-    them); it has the smallest leader that it meets in a bucket at a Jaccard similarity of ``least`` or more, or itself.
-    Texts without words are copies of each other."""
-    sets = df.select(F.col(id).alias("id"), shingle_set(F.col(text)).alias("shingles"))
-    known = F.xxhash64("shingles"), F.xxhash64(F.lit(1), "shingles"), F.size("shingles")
-    sets = settle(sets.select("id", "shingles", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(known))).alias("same")))
-    first = settle(sets.groupBy("same").agg(F.min("id").alias("stand"), F.count("*").alias("copies")))
-    own = settle(sets.join(first.select(F.col("stand").alias("id")), "id").select("id", "shingles"))
-    left = settle(own.join(signatures(own), "id").select("id", F.size("shingles").alias("n"), F.explode("bands").alias("key")))
-    left = settle(left.join(left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "key"))
+def _links(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """id and leader of those that are near a leader of a bucket, from the buckets' members (key, id, n) and their texts."""
     links, width = None, 1
     while not left.isEmpty():
         place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
@@ -112,9 +172,7 @@ def near_copies(df: DataFrame, id: str, text: str, least: float = LEAST) -> Data
         # sets of unlike sizes can't be similar enough, so they need not be fetched
         met = left.join(tried, "key").filter((F.col("id") > F.col("leader")) & (F.least("n", "its") >= F.greatest("n", "its") * least))
         met = settle(met.select("key", "id", "leader"))
-        j = met.select("id", "leader").distinct().join(own, "id").join(own.select(F.col("id").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-        good = j.filter(jaccard(F.col("shingles"), F.col("theirs")) >= least).select("id", "leader")
-        good = settle(met.join(good, ["id", "leader"]))
+        good = settle(met.join(verified(met.select("id", "leader").distinct(), texts, least), ["id", "leader"]))
         if width > 1:  # one that is near a leader before it is none
             among = good.join(tried.select("key", F.col("leader").alias("id")), ["key", "id"])
             near = F.array_sort(F.collect_list(F.struct("id", "leader")))
@@ -125,6 +183,22 @@ def near_copies(df: DataFrame, id: str, text: str, least: float = LEAST) -> Data
         left = left.join(last, "key").filter(F.col("id") > F.col("last")).drop("last")
         left = settle(left.join(good.select("key", "id").distinct(), ["key", "id"], "left_anti"))
         width *= 2
+    return links
+
+
+def near_copies(df: DataFrame, id: str, text: str, least: float = LEAST) -> DataFrame:
+    """id, leader and copies for each row: of texts with equal shingle sets the smallest id stands for all (``copies`` of
+    them); it has the smallest leader that it meets in a bucket at a Jaccard similarity of ``least`` or more, or itself.
+    Texts without words are copies of each other."""
+    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    every = settle(marks(docs))
+    first = settle(every.groupBy("same").agg(F.min("id").alias("stand"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")))
+    left = first.filter("same.n > 0").select(F.col("stand").alias("id"), "same.n", F.explode("bands").alias("key"))
+    left = settle(left.join(left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "key"))
+    links = None
+    if not left.isEmpty():
+        with lineage.stored(docs.join(left.select("id").distinct(), "id", "left_semi")) as texts:
+            links = _links(left, texts, least)
     found = first.select("stand", "copies") if links is None else first.join(links.groupBy(F.col("id").alias("stand")).agg(F.min("leader").alias("leader")), "stand", "left")
     found = found.withColumn("leader", F.least("stand", F.coalesce("leader", "stand")) if links is not None else F.col("stand"))
-    return sets.select("id", "same").join(first.select("same", "stand"), "same").join(found, "stand").select("id", "stand", "leader", "copies")
+    return every.select("id", "same").join(first.select("same", "stand"), "same").join(found, "stand").select("id", "stand", "leader", "copies")

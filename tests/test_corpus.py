@@ -1,8 +1,11 @@
 """The corpus index, near copies, atomic appends and the hook for models."""
 
+import os
 import random
+import re
 import threading
 import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plycast.functions import lineage
 from plycast.operators import completion
 from plycast.operators import index as ix
 from plycast.operators import neardup as nd
@@ -167,6 +171,29 @@ def test_near_copies_in_buckets_of_many_unlike_members(spark, monkeypatch):
     assert any(got[k] != stand[k] for k in texts)
 
 
+def test_near_copies_need_less_disk_than_their_texts(spark, monkeypatch, tmp_path):
+    """Shingles are not stored, and steps leave no shuffle files; leaders dealt by parts, and texts that meet pairs instead of
+    getting them, give the same."""
+    r, texts = random.Random(8), {}
+    for k in range(300):
+        own = prose(k, 1500) if k % 10 else list(prose(1000, 1500))
+        own[r.randrange(1500)] = f"changed{k}"
+        texts[k] = " ".join(own)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    d, blocks = spark.read.parquet(f"{tmp_path}/docs"), spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    folders = [lineage.shared(spark).removeprefix("file:"), *(x.getPath() for x in blocks.localDirs())]
+    used = lambda: sum(f.stat().st_size for top in folders for f in Path(top).rglob("*") if f.is_file() and not re.search("broadcast_", f.name))
+    before = used()
+    got = sorted(map(tuple, nd.near_copies(d, "doc_id", "text").collect()))
+    took = used() - before
+    assert took < sum(map(len, texts.values())) / 3
+    assert not [f for f in os.listdir(folders[0]) if f.startswith("table-")]
+    assert sum(x[2] != x[0] for x in got) == 29 and [x for x in got if x[0] % 10 == 0] == [(k, k, 0, 1) for k in range(0, 300, 10)]
+    monkeypatch.setattr(nd, "PART", 3)
+    monkeypatch.setattr(nd, "FEW", 0)
+    assert sorted(map(tuple, nd.near_copies(d, "doc_id", "text").collect())) == got
+
+
 def test_shingles_of_a_long_text_take_linear_time(spark):
     text = " ".join(f"w{i}" for i in range(40_000))
     since = time.monotonic()
