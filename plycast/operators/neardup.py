@@ -7,7 +7,8 @@ so the rounds grow with the logarithm of a bucket's leaders, and a member meets
 
 Of each text only two hashes of its shingle set, the set's size and the bands are stored; the shingles, which take more room
 than the text, are made again where two texts are compared. Only texts that share a bucket are stored for that, and only
-while the rounds run; a leader is sent to its members by parts of ``PART`` of them, and shuffle files go with each step.
+while the rounds run; a bucket's leaders are sent to its members by parts of ``PART`` of them, and shuffle files go with each
+step.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from plycast.functions import lineage
 
 WORDS, SLOTS, ROWS, LEAST = 5, 64, 4, 0.8
-#: Members of a leader that are compared in one task, and pairs up to which they are sent to the texts instead of meeting them.
+#: Members of a bucket that are compared in one task, and pairs up to which they are sent to the texts instead of meeting them.
 PART, FEW = 1000, 20_000
 #: What a chunk that is worth retrieving speaks of: a move or square, or a plan.
 MOVE = r"(?i)\b(?:[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?[+#]?|O-O(?:-O)?)(?![\w-])"
@@ -111,45 +112,49 @@ def marks(df: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def _near(least: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a member and a leader whose Jaccard similarity is ``least`` or more, from rows in order of leader, part and id,
-    so that the leader's own row comes before its members'."""
+    """Pairs of a member and one of its ``leaders`` whose Jaccard similarity is ``least`` or more, from rows in order of key and
+    part in which the leaders, which have no such list, come before the members."""
 
     def jaccard(a: np.ndarray, b: np.ndarray) -> float:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both / (len(a) + len(b) - both)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, theirs = None, []
+        at, theirs = None, {}
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):  # so that not all of a batch's shingles are held at once
-                leaders, parts, ids, texts = (c.to_pylist() for c in whole.slice(start, 1000).columns)
+                keys, parts, ids, texts, lists = (c.to_pylist() for c in whole.slice(start, 1000).columns)
                 pairs = []
-                for leader, part, id, own in zip(leaders, parts, ids, _shingles(texts), strict=True):
-                    if (leader, part) != at:
-                        at, theirs = (leader, part), []
-                    if id == leader:
-                        theirs.append(own)
-                    elif any(jaccard(own, x) >= least for x in theirs):
-                        pairs.append((id, leader))
+                for key, part, id, own, leaders in zip(keys, parts, ids, _shingles(texts), lists, strict=True):
+                    if (key, part) != at:
+                        at, theirs = (key, part), {}
+                    if leaders is None:
+                        theirs.setdefault(id, []).append(own)
+                    else:
+                        pairs += [(id, x) for x in leaders if any(jaccard(own, y) >= least for y in theirs.get(x, ()))]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True), schema, strict=True)], schema=schema)
 
     return found
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the different pairs (id, leader; id is the larger) whose texts' shingle sets are similar enough. Each text that
-    is needed goes where its leader is."""
+def verified(met: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of the different pairs (id, leader) of ``met`` whose texts' shingle sets are similar enough. A pair is compared at
+    the smallest key it meets at, so that a member's text is sent once for all of its leaders there."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = pairs.join(parts, "leader").select("id", "leader", F.pmod(F.hash("id"), "parts").alias("part"))
-    wanted = members.unionByName(parts.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    pairs = met.groupBy("id", "leader").agg(F.min("key").alias("key"))
+    members = pairs.groupBy("key", "id").agg(F.collect_list("leader").alias("leaders"))
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = members.join(parts, "key").select("id", "key", F.pmod(F.hash("id"), "parts").alias("part"), "leaders")
+    leaders = pairs.select(F.col("leader").alias("id"), "key").distinct().join(parts, "key")
+    wanted = dealt.unionByName(leaders.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), allowMissingColumns=True)
     if pairs.count() <= FEW:
         wanted = F.broadcast(wanted)
-    rows = texts.join(wanted, "id").select("leader", "part", "id", F.lower("text").alias("text"))
-    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "id")
-    return rows.mapInArrow(_near(least, to_arrow_schema(pairs.select("id", "leader").schema)), pairs.select("id", "leader").schema).distinct()
+    rows = texts.join(wanted, "id").select("key", "part", "id", F.lower("text").alias("text"), "leaders")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.col("leaders").isNotNull())
+    schema = met.select("id", "leader").schema
+    return rows.mapInArrow(_near(least, to_arrow_schema(schema)), schema).distinct()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -172,7 +177,7 @@ def _links(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         # sets of unlike sizes can't be similar enough, so they need not be fetched
         met = left.join(tried, "key").filter((F.col("id") > F.col("leader")) & (F.least("n", "its") >= F.greatest("n", "its") * least))
         met = settle(met.select("key", "id", "leader"))
-        good = settle(met.join(verified(met.select("id", "leader").distinct(), texts, least), ["id", "leader"]))
+        good = settle(met.join(verified(met, texts, least), ["id", "leader"]))
         if width > 1:  # one that is near a leader before it is none
             among = good.join(tried.select("key", F.col("leader").alias("id")), ["key", "id"])
             near = F.array_sort(F.collect_list(F.struct("id", "leader")))
